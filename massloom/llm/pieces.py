@@ -63,13 +63,10 @@ class PieceModel:
             self.segment = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         else:
             self.segment = re.compile(r"[\s\S]+")
-        before: dict[str, set[str]] = {c: set() for c in string.punctuation}
-        for p in multi:
-            for x, c in zip(p, p[1:], strict=False):
-                if c in before and (x.isalnum() or x == "_"):
-                    before[c].add(x)
-        #: an alphanumeric character that no piece holds right before the mark that follows it
-        self.closing = re.compile("|".join(rf"[^\W_{re.escape(''.join(sorted(seen)))}](?={re.escape(c)})" for c, seen in before.items()))
+        marks = set(string.punctuation)
+        joined = {x for p in multi for x, c in zip(p, p[1:], strict=False) if c in marks and x.isalnum()}
+        #: an alphanumeric character before a mark, a pair that no piece holds
+        self.closing = re.compile(rf"[^\W_{re.escape(''.join(sorted(joined)))}](?=[{re.escape(string.punctuation)}])")
         #: identity normaliser only: the tables below know nothing of a character map
         if lib.normalize("ﬁ Å") != f"{MARK}ﬁ{MARK}Å":
             raise ValueError("the model normalises characters; only identity normalisation is supported")
