@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massloom.llm import chat, contamination, lines, neardup, pieces, quality, topk, toxicity, warc
+from massloom.llm import chat, contamination, lines, neardup, pieces, quality, substrings, topk, toxicity, warc
 from massloom.session import new_path, table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -66,6 +66,14 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(F.col("key").alias("page_id"), F.col("n_bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = substrings.remove_repeats(docs)
+    removed = F.aggregate("removed_spans", F.lit(0).cast("long"), lambda s, x: s + x[1] - x[0])
+    out = out.select("doc_id", F.length("kept").cast("long").alias("left"), removed.alias("n_removed"), F.size("removed_spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", (F.col("left") + F.col("n_removed")).alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -88,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_quality": op6_quality,
     "op7_warc": op7_warc,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_neardup": op9_neardup,
     "op10_decontamination": op10_decontamination,
 }
