@@ -25,9 +25,9 @@ from pyspark.sql import types as T
 from massloom.llm.arrow import add_columns, column
 
 MARK = "▁"
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 CACHE_LENGTH = 48
-PAIR_ENTRIES = 1_000_000
+PAIR_ENTRIES = 500_000
 PAIR_STEP = 1 << 22  # above every token, symbols without a piece included
 
 
