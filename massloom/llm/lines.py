@@ -66,7 +66,7 @@ counts AS (SELECT site, line, count(*) AS n FROM lines WHERE line <> '' GROUP BY
 bad AS (SELECT c.site, list(c.line) AS marks FROM counts c JOIN totals t ON c.site = t.site
         WHERE c.n >= {min_pages} AND c.n > {ratio} * t.pages GROUP BY c.site),
 split AS (SELECT d.{key}, d.t, string_split(d.t, chr(10)) AS ls, b.marks FROM docs d LEFT JOIN bad b ON d.site = b.site),
-kept AS (SELECT {key}, t, ls, list_filter(ls, x -> x = '' OR marks IS NULL OR NOT list_contains(marks, x)) AS ks FROM split)
+kept AS (SELECT {key}, t, ls, list_filter(ls, lambda x: x = '' OR marks IS NULL OR NOT list_contains(marks, x)) AS ks FROM split)
 SELECT {key}, CASE WHEN t IS NULL THEN NULL ELSE array_to_string(ks, chr(10)) END AS {text},
        CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(ls) - len(ks), 0) AS BIGINT) AS n_dropped
 FROM kept"""
