@@ -1,6 +1,446 @@
-"""Registered queries over the driver's tables and the SQL that must agree with them."""
+"""Registered queries over the driver's tables and the SQL that must agree with them.
+
+The tables stand in for the domain's: ``lineitem`` rows are matches (order = spectrum,
+part = peptide, supplier = protein, price = score, return flag R = decoy), ``orders`` are mass
+windows and ``events`` are scans in time. Every query runs over its whole tables.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from massloom.functions import sequence as S
+from massloom.operators import confidence, counting, digestion, joins, ranking
+from massloom.session import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+#: A total order over matches needs all of these.
+TIE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
+_TIE = ", ".join(TIE)
+_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL where there is one."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return put
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem")
+
+
+_COUNTS = """c AS (SELECT l_extendedprice AS s, count(*) FILTER (WHERE l_returnflag <> 'R') AS t,
+  count(*) FILTER (WHERE l_returnflag = 'R') AS d FROM lineitem GROUP BY 1)"""
+_BEFORE = f"""{_COUNTS}, b AS (SELECT s, t, d,
+  coalesce(sum(t) OVER (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS tb,
+  coalesce(sum(d) OVER (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS db FROM c)"""
+
+
+@query(f"""WITH {_BEFORE},
+f AS (SELECT s, least(1.0, CAST(db + 1 AS DOUBLE) / CAST(tb + 1 AS DOUBLE)) AS fdr FROM b WHERE t > 0),
+q AS (SELECT s, min(fdr) OVER (ORDER BY s DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS q FROM f)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, round(q, 9) AS q_value
+FROM lineitem JOIN q ON l_extendedprice = s WHERE l_returnflag <> 'R'""")
+def tdc_qvalue(spark, sf_dir):
+    rows = confidence.tdc_qvalues(_lines(spark, sf_dir), "l_extendedprice", F.col("l_returnflag") == "R")
+    return rows.select(*_KEY, F.round("q_value", 9).alias("q_value"))
+
+
+@query(f"""WITH {_BEFORE} SELECT s AS score, CAST(t AS BIGINT) AS targets, CAST(d AS BIGINT) AS decoys,
+CAST(tb + t AS BIGINT) AS n_w_ge, CAST(db + d AS BIGINT) AS n_z_ge FROM b""")
+def mixmax_counts(spark, sf_dir):
+    return confidence.mixmax_counts(_lines(spark, sf_dir), "l_extendedprice", F.col("l_returnflag") == "R")
+
+
+@query(f"""WITH {_BEFORE}, n AS (SELECT sum(t) AS w, sum(d) AS z FROM c),
+p AS (SELECT b.*, CAST(w - tb AS DOUBLE) AS wl, CAST(z - db AS DOUBLE) AS zl FROM b CROSS JOIN n),
+e AS (SELECT s, t, d, tb, db, CASE WHEN d > 0 THEN least(1.0, greatest(0.0, (wl - 0.6 * zl) / (0.4 * zl))) * 0.4 * d ELSE 0 END AS e FROM p),
+r AS (SELECT *, sum(e) OVER (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM e),
+f AS (SELECT s, least(1.0, (0.6 * (db + d) + run) / (tb + t)) AS fdr FROM r WHERE t > 0)
+SELECT s AS score, round(min(fdr) OVER (ORDER BY s DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) AS q FROM f""")
+def mixmax_qvalue(spark, sf_dir):
+    rows = confidence.mixmax_table(_lines(spark, sf_dir), "l_extendedprice", F.col("l_returnflag") == "R", pi0=0.6)
+    return rows.select("score", F.round("q", 6).alias("q"))
+
+
+@query(f"""WITH m AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linestatus ORDER BY l_extendedprice DESC, {_TIE}) AS n FROM lineitem),
+t AS (SELECT * FROM m WHERE n = 1 AND l_linestatus = 'O'), d AS (SELECT * FROM m WHERE n = 1 AND l_linestatus = 'F'),
+w AS (SELECT t.l_orderkey, d.l_orderkey IS NULL OR t.l_extendedprice >= d.l_extendedprice AS won, t.l_partkey AS tp, d.l_partkey AS dp, t.l_extendedprice AS ts, d.l_extendedprice AS ds
+      FROM t LEFT JOIN d ON t.l_orderkey = d.l_orderkey)
+SELECT l_orderkey, CASE WHEN won THEN tp ELSE dp END AS l_partkey, CASE WHEN won THEN ts ELSE ds END AS l_extendedprice, NOT won AS is_decoy FROM w""")
+def tdc_competition(spark, sf_dir):
+    rows = _lines(spark, sf_dir).select(*TIE, "l_linestatus")
+    order = [F.desc("l_extendedprice"), *map(F.col, TIE)]
+    won = confidence.competition(rows, ["l_orderkey"], F.col("l_linestatus") == "F", order, F.col("t.l_extendedprice") >= F.col("d.l_extendedprice"))
+    return won.select("l_orderkey", "l_partkey", "l_extendedprice", "is_decoy")
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, rank FROM (SELECT *,
+CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, {_TIE}) AS INTEGER) AS rank FROM lineitem) WHERE rank <= 3""")
+def psm_top_n(spark, sf_dir):
+    return ranking.top_n(_lines(spark, sf_dir).select(*TIE), ["l_orderkey"], "l_extendedprice", 3, TIE).select(*_KEY, "rank")
+
+
+@query(f"""WITH m AS (SELECT *, row_number() OVER w AS n, lead(l_extendedprice) OVER w AS nx, count(*) OVER (PARTITION BY l_orderkey) AS c FROM lineitem
+  WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, {_TIE})),
+l AS (SELECT *, max(CASE WHEN n = least(5, c) THEN l_extendedprice END) OVER (PARTITION BY l_orderkey) AS la FROM m)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
+round(coalesce((l_extendedprice - nx) / greatest(l_extendedprice, 1.0), 0.0), 9) AS delta_cn,
+round((l_extendedprice - la) / greatest(l_extendedprice, 1.0), 9) AS delta_lcn FROM l""")
+def delta_cn(spark, sf_dir):
+    rows = ranking.delta_scores(_lines(spark, sf_dir).select(*TIE), ["l_orderkey"], "l_extendedprice", 5, TIE)
+    return rows.select(*_KEY, F.round("delta_cn", 9).alias("delta_cn"), F.round("delta_lcn", 9).alias("delta_lcn"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
+CAST(dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC) AS INTEGER) AS rank FROM lineitem""")
+def dense_rank_score(spark, sf_dir):
+    return ranking.dense_ranks(_lines(spark, sf_dir), ["l_orderkey"], "l_extendedprice").select(*_KEY, "rank")
+
+
+@query(f"""WITH m AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice DESC, {_TIE}) AS n, count(*) OVER (PARTITION BY l_partkey) AS c FROM lineitem),
+q AS (SELECT *, max(CASE WHEN n = least(greatest(CAST(floor(0.01 * c + 0.5) AS BIGINT) - 1, 2), c - 1) + 1 THEN l_extendedprice END) OVER (PARTITION BY l_partkey) AS q FROM m)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, round((l_extendedprice + 5) / (q + 5), 9) AS tailor_score FROM q""")
+def tailor_score(spark, sf_dir):
+    rows = ranking.tailor_scores(_lines(spark, sf_dir).select(*TIE), ["l_partkey"], "l_extendedprice", TIE)
+    return rows.select(*_KEY, F.round("tailor_score", 9).alias("tailor_score"))
+
+
+@query(f"""SELECT l_partkey, l_orderkey, l_linenumber, l_extendedprice FROM (SELECT *,
+row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice DESC, {_TIE}) AS n FROM lineitem) WHERE n = 1""")
+def peptide_level_best(spark, sf_dir):
+    return confidence.best_per_peptide(_lines(spark, sf_dir).select(*TIE), ["l_partkey"], "l_extendedprice", tie=TIE).select("l_partkey", "l_orderkey", "l_linenumber", "l_extendedprice")
+
+
+@query("""SELECT l_orderkey, min(l_discount) AS p, count(*) AS n, round(1 - power(1 - min(l_discount), count(*)), 9) AS adjusted FROM lineitem GROUP BY l_orderkey""")
+def sidak(spark, sf_dir):
+    best = _lines(spark, sf_dir).groupBy("l_orderkey").agg(F.min("l_discount").alias("p"), F.count("*").alias("n"))
+    return best.withColumn("adjusted", F.round(confidence.sidak(F.col("p"), F.col("n")), 9))
+
+
+@query("""SELECT count(*) FILTER (WHERE l_returnflag <> 'R' AND l_discount <= 0.01) AS at_1_percent, count(*) FILTER (WHERE l_returnflag <> 'R' AND l_discount <= 0.05) AS at_5_percent,
+count(*) FILTER (WHERE l_returnflag <> 'R' AND l_discount <= 0.1) AS at_10_percent FROM lineitem""")
+def fdr_counts(spark, sf_dir):
+    return confidence.decoy_counts(_lines(spark, sf_dir), "l_discount", F.col("l_returnflag") == "R")
+
+
+def _spectral(spark, sf_dir):
+    rows = _lines(spark, sf_dir).where("l_quantity <= 1").select(F.col("l_partkey").alias("peptide"), F.col("l_suppkey").alias("protein"), F.col("l_extendedprice").alias("intensity"))
+    suppliers = table(spark, sf_dir, "supplier")
+    lengths = suppliers.select(F.col("s_suppkey").alias("protein"), (F.length("s_name") + F.col("s_nationkey") + 1).alias("length"))
+    return counting.peptide_scores(rows), rows.select("peptide", "protein").distinct(), lengths, rows
+
+
+_SPEC = """x AS (SELECT l_partkey AS peptide, l_suppkey AS protein, l_extendedprice AS intensity FROM lineitem WHERE l_quantity <= 1),
+sc AS (SELECT peptide, CAST(count(*) AS DOUBLE) AS s, sum(intensity) AS si FROM x GROUP BY 1), pr AS (SELECT DISTINCT peptide, protein FROM x),
+ln AS (SELECT s_suppkey AS protein, length(s_name) + s_nationkey + 1 AS len FROM supplier),
+rw AS (SELECT protein, sum(s) AS s, sum(si) AS si FROM sc JOIN pr USING (peptide) GROUP BY protein)"""
+
+
+@query(f"WITH {_SPEC} SELECT protein, s AS score FROM rw")
+def spectral_raw(spark, sf_dir):
+    scores, pairs, _, _ = _spectral(spark, sf_dir)
+    return counting.raw(scores, pairs)
+
+
+@query(f"WITH {_SPEC}, y AS (SELECT protein, s / len AS v FROM rw JOIN ln USING (protein)) SELECT protein, round(v / (SELECT sum(v) FROM y), 9) AS score FROM y")
+def nsaf(spark, sf_dir):
+    scores, pairs, lengths, _ = _spectral(spark, sf_dir)
+    return counting.nsaf(scores, pairs, lengths).withColumn("score", F.round("score", 9))
+
+
+@query(f"""WITH {_SPEC}, o AS (SELECT peptide, protein, s, count(*) OVER (PARTITION BY peptide) AS n FROM pr JOIN sc USING (peptide)),
+u AS (SELECT protein, sum(s) AS u FROM o WHERE n = 1 GROUP BY 1),
+h AS (SELECT protein, s * u / sum(u) OVER (PARTITION BY peptide) AS part FROM o JOIN u USING (protein) WHERE n > 1),
+g AS (SELECT protein, sum(part) AS e FROM h GROUP BY 1),
+y AS (SELECT protein, (u + coalesce(e, 0)) / len AS v FROM u LEFT JOIN g USING (protein) JOIN ln USING (protein))
+SELECT protein, round(v / (SELECT sum(v) FROM y), 9) AS score FROM y""")
+def dnsaf(spark, sf_dir):
+    scores, pairs, lengths, _ = _spectral(spark, sf_dir)
+    return counting.dnsaf(scores, pairs, lengths).withColumn("score", F.round("score", 9))
+
+
+@query(f"""WITH {_SPEC}, ps AS (SELECT l_suppkey AS protein, count(DISTINCT l_partkey) AS p FROM lineitem GROUP BY 1),
+y AS (SELECT protein, power(10.0, CAST(count(*) AS DOUBLE) / p) - 1 AS v FROM pr JOIN ps USING (protein) GROUP BY protein, p)
+SELECT protein, round(v / (SELECT sum(v) FROM y), 9) AS score FROM y""")
+def empai(spark, sf_dir):
+    _, pairs, _, _ = _spectral(spark, sf_dir)
+    possible = _lines(spark, sf_dir).groupBy(F.col("l_suppkey").alias("protein")).agg(F.count_distinct("l_partkey").alias("possible"))
+    return counting.empai(pairs, possible).withColumn("score", F.round("score", 9))
+
+
+@query(f"WITH {_SPEC} SELECT protein, round(si / (SELECT sum(si) FROM rw) / len, 9) AS score FROM rw JOIN ln USING (protein)")
+def sin(spark, sf_dir):
+    _, pairs, lengths, rows = _spectral(spark, sf_dir)
+    return counting.sin(counting.peptide_scores(rows, weight="intensity"), pairs, lengths).withColumn("score", F.round("score", 9))
+
+
+@query(f"WITH {_SPEC} SELECT peptide, round(s / (SELECT sum(s) FROM sc) / (length(p_name) + 1), 9) AS score FROM sc JOIN part ON peptide = p_partkey")
+def peptide_normalised(spark, sf_dir):
+    scores, _, _, _ = _spectral(spark, sf_dir)
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("peptide"), (F.length("p_name") + 1).alias("length"))
+    return counting.normalise_peptides(scores.join(parts, "peptide"), F.col("length")).withColumn("score", F.round("score", 9))
+
+
+@query(f"WITH {_SPEC}, k AS (SELECT peptide, count(*) AS n FROM pr GROUP BY 1) SELECT pr.peptide, pr.protein FROM pr JOIN k USING (peptide) WHERE n = 1")
+def unique_mapping(spark, sf_dir):
+    _, pairs, _, _ = _spectral(spark, sf_dir)
+    return counting.unique_mapping(pairs)
+
+
+def _metas(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    pairs = orders.select(F.col("o_custkey").alias("protein"), F.col("o_orderpriority").alias("peptide"))
+    return counting.meta_proteins(pairs), orders
+
+
+_META = """p AS (SELECT DISTINCT o_custkey AS protein, o_orderpriority AS peptide FROM orders),
+s AS (SELECT protein, string_agg(peptide, '|' ORDER BY peptide) AS peptides FROM p GROUP BY 1)"""
+
+
+@query(f"WITH {_META} SELECT peptides, count(*) AS n, min(protein) AS first_protein FROM s GROUP BY 1")
+def meta_protein(spark, sf_dir):
+    metas, _ = _metas(spark, sf_dir)
+    return metas.select(F.array_join("peptides", "|").alias("peptides"), F.size("proteins").cast("long").alias("n"), F.col("proteins")[0].alias("first_protein"))
+
+
+@query(f"""WITH {_META}, c AS (SELECT o_custkey AS protein, count(*) AS score FROM orders GROUP BY 1),
+m AS (SELECT peptides, min(protein) AS first_protein, max(score) AS score FROM s JOIN c USING (protein) GROUP BY 1)
+SELECT first_protein, score, CAST(rank() OVER (ORDER BY score DESC) AS BIGINT) AS rank FROM m""")
+def meta_rank(spark, sf_dir):
+    metas, orders = _metas(spark, sf_dir)
+    scores = orders.groupBy(F.col("o_custkey").alias("protein")).agg(F.count("*").alias("score"))
+    return counting.meta_ranks(metas, scores).select(F.col("proteins")[0].alias("first_protein"), "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query()
+def greedy_parsimony(spark, sf_dir):
+    _, pairs, _, _ = _spectral(spark, sf_dir)
+    return counting.greedy_parsimony(pairs)
+
+
+@query("""SELECT o_orderkey, l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM orders JOIN lineitem
+ON l_extendedprice BETWEEN o_totalprice * (1 - 50 / 1e6) AND o_totalprice * (1 + 50 / 1e6)""")
+def interval_join_ppm(spark, sf_dir):
+    lo, hi = S.ppm_bounds(F.col("o_totalprice"), 50.0)
+    windows = table(spark, sf_dir, "orders").select("o_orderkey", lo.alias("lo"), hi.alias("hi"))
+    hits = joins.log_interval_join(_lines(spark, sf_dir), windows, "l_extendedprice", "lo", "hi", 50.0)
+    return hits.select("o_orderkey", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+
+
+@query("""SELECT o_orderkey, i AS isotope, l_orderkey, l_linenumber, l_partkey FROM orders, (VALUES (0), (1), (2)) t(i), lineitem
+WHERE l_extendedprice >= o_totalprice - i * 1.00335483 - 0.05 AND l_extendedprice <= o_totalprice - i * 1.00335483 + 0.05""")
+def interval_join_isotopes(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("neutral_mass"))
+    windows = joins.mass_windows(orders, "mass", 0.05, isotopes=(0, 1, 2)).select("o_orderkey", F.explode("windows").alias("w")).select("o_orderkey", "w.*")
+    return joins.interval_join(_lines(spark, sf_dir), windows, "l_extendedprice", "lo", "hi", 0.5).select("o_orderkey", "isotope", "l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_totalprice, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey),
+j AS (SELECT c.c_custkey, o.o_orderkey, row_number() OVER (PARTITION BY c.c_custkey ORDER BY abs(c.c_acctbal - o.o_totalprice), o.o_orderkey) AS n
+      FROM customer c JOIN o ON c.c_mktsegment = o.c_mktsegment AND abs(c.c_acctbal - o.o_totalprice) <= 100)
+SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT * FROM j WHERE n = 1) USING (c_custkey)""")
+def nearest_join(spark, sf_dir):
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    orders = table(spark, sf_dir, "orders").join(customers.select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_totalprice", "c_mktsegment")
+    return joins.nearest_join(customers, orders, "c_custkey", "c_acctbal", "o_totalprice", 100.0, ["c_mktsegment"], ["o_orderkey"]).select("c_custkey", "o_orderkey")
+
+
+@query("""SELECT e.event_id, (SELECT max(p.ts) FROM events p WHERE p.user_id = e.user_id AND p.event_type <> 'click' AND p.ts < e.ts) AS last_ts
+FROM events e WHERE e.event_type = 'click'""")
+def asof_events(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
+    right = events.where("event_type <> 'click'").select("user_id", F.col("ts").alias("scan_ts"))
+    found = joins.asof_join(events.where("event_type = 'click'"), right, ["user_id"], "ts", "scan_ts", ["scan_ts"])
+    return found.select("event_id", F.col("scan_ts").alias("last_ts"))
+
+
+@query("""WITH m AS (SELECT event_id, user_id, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS h FROM events), d AS (SELECT DISTINCT user_id, h FROM m),
+n AS (SELECT *, CASE WHEN h - lag(h) OVER (PARTITION BY user_id ORDER BY h) > 25 THEN 1 ELSE 0 END AS new FROM d)
+SELECT user_id, h, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY h ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM n""")
+def gap_islands(spark, sf_dir):
+    hours = table(spark, sf_dir, "events").select("user_id", F.floor(F.col("ts").cast("timestamp").cast("double") / 3600).cast("long").alias("h")).distinct()
+    return ranking.gaps_and_islands(hours, ["user_id"], "h", 24).select("user_id", "h", F.col("island").cast("long").alias("island"))
+
+
+@query("""SELECT event_id, lag(event_id) OVER w AS prev_event_id, lag(value) OVER w AS prev_value FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+def prev_pairing(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
+    return joins.previous_pairs(events, ["user_id"], ["ts", "event_id"], ["event_id", "value"]).select("event_id", "prev_event_id", "prev_value")
+
+
+@query("""SELECT user_id, CAST(abs(a.v - b.v) AS BIGINT) AS distance, count(*) AS n FROM
+(SELECT user_id, event_id, CAST(floor(value) AS BIGINT) AS v FROM events) a JOIN (SELECT user_id, event_id, CAST(floor(value) AS BIGINT) AS v FROM events) b USING (user_id)
+WHERE b.event_id > a.event_id AND b.event_id <= a.event_id + 50 GROUP BY ALL""")
+def scan_window_pairs(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", F.floor("value").cast("long").alias("v"))
+    return joins.scan_window_pairs(events, ["user_id"], "event_id", 50, "v")
+
+
+@query("""SELECT p_partkey, p_name FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity = 1)""")
+def anti_join(spark, sf_dir):
+    sold = _lines(spark, sf_dir).where("l_quantity = 1").select(F.col("l_partkey").alias("p_partkey"))
+    return table(spark, sf_dir, "part").join(sold, "p_partkey", "left_anti").select("p_partkey", "p_name")
+
+
+@query("""SELECT p_partkey, p_name FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity = 1)""")
+def semi_join(spark, sf_dir):
+    sold = _lines(spark, sf_dir).where("l_quantity = 1").select(F.col("l_partkey").alias("p_partkey"))
+    return table(spark, sf_dir, "part").join(sold, "p_partkey", "left_semi").select("p_partkey", "p_name")
+
+
+@query("""SELECT a.p_partkey, a.p_name FROM part a WHERE NOT EXISTS (SELECT 1 FROM part b WHERE b.p_size > 25 AND b.p_name = a.p_name AND round(b.p_retailprice, 4) = round(a.p_retailprice, 4))""")
+def subtract_index(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    one = part.select("p_partkey", "p_name", F.col("p_retailprice").alias("mass"), F.col("p_name").alias("mod_sequence"))
+    return joins.subtract_index(one, one.join(part.where("p_size > 25").select("p_partkey"), "p_partkey", "left_semi")).select("p_partkey", "p_name")
+
+
+@query("""SELECT l_orderkey, l_partkey, l_extendedprice, 'target' AS kind FROM lineitem WHERE l_returnflag <> 'R'
+UNION ALL SELECT l_orderkey, l_partkey, l_extendedprice, 'decoy' FROM lineitem WHERE l_returnflag = 'R'""")
+def union_psms(spark, sf_dir):
+    rows = _lines(spark, sf_dir).select("l_orderkey", "l_partkey", "l_extendedprice", "l_returnflag")
+    targets = rows.where("l_returnflag <> 'R'").drop("l_returnflag").withColumn("kind", F.lit("target"))
+    return targets.unionByName(rows.where("l_returnflag = 'R'").drop("l_returnflag").withColumn("kind", F.lit("decoy")), allowMissingColumns=True)
+
+
+@query("SELECT DISTINCT p_type, p_size FROM part")
+def distinct_seq(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_type", "p_size").distinct()
+
+
+@query("""WITH s AS (SELECT l_suppkey, list_sort(list(DISTINCT l_partkey) FILTER (WHERE l_returnflag = 'R')) AS a, list_sort(list(DISTINCT l_partkey) FILTER (WHERE l_returnflag <> 'R')) AS b FROM lineitem GROUP BY 1)
+SELECT l_suppkey, CAST(len(list_filter(a, lambda x: NOT list_contains(b, x))) AS BIGINT) AS only_decoy, CAST(len(list_filter(a, lambda x: list_contains(b, x))) AS BIGINT) AS both FROM s""")
+def array_difference(spark, sf_dir):
+    rows = _lines(spark, sf_dir).groupBy("l_suppkey").agg(F.collect_set(F.when(F.col("l_returnflag") == "R", F.col("l_partkey"))).alias("a"), F.collect_set(F.when(F.col("l_returnflag") != "R", F.col("l_partkey"))).alias("b"))
+    return rows.select("l_suppkey", F.size(F.array_except("a", "b")).cast("long").alias("only_decoy"), F.size(F.array_intersect("a", "b")).cast("long").alias("both"))
+
+
+@query("""SELECT event_id, round(value - avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 75 PRECEDING AND 75 FOLLOWING), 4) AS cleaned FROM events""")
+def background_subtraction(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(-75, 75)
+    return table(spark, sf_dir, "events").select("event_id", F.round(F.col("value") - F.avg("value").over(w), 4).alias("cleaned"))
+
+
+@query("""WITH m AS (SELECT max(event_id) + 1 AS n FROM events)
+SELECT event_id, CAST(event_id * 10 // n AS INTEGER) AS region, round(value / max(value) OVER (PARTITION BY event_id * 10 // n), 9) AS scaled FROM events, m""")
+def region_max_normalise(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id", "value")
+    n = events.agg(F.max("event_id")).first()[0] + 1
+    rows = events.withColumn("region", F.expr(f"event_id * 10 div {n}").cast("int"))
+    tops = rows.groupBy("region").agg(F.max("value").alias("top"))  # ten rows
+    return rows.join(F.broadcast(tops), "region").select("event_id", "region", F.round(F.col("value") / F.col("top"), 9).alias("scaled"))
+
+
+_RESIDUES = "".join(S.RESIDUE_MASS)
+
+
+def _proteins(spark, sf_dir):
+    letters = F.regexp_replace(F.upper("p_name"), "[^A-Z]", "")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("protein_id"), letters.alias("residues"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS protein_id, regexp_replace(upper(p_name), '[^A-Z]', '', 'g') AS r FROM part),
+c AS (SELECT protein_id, string_split(regexp_replace(regexp_replace(r, '([KR])', '\\1|', 'g'), '\\|(P|$)', '\\1', 'g'), '|') AS ps FROM p WHERE r <> ''),
+i AS (SELECT protein_id, ps, unnest(range(1, len(ps) + 1)) AS k FROM c)
+SELECT protein_id, CAST(coalesce(list_sum(list_transform(ps[1:k - 1], lambda x: length(x))), 0) AS INTEGER) AS start, ps[k] AS sequence FROM i WHERE length(ps[k]) BETWEEN 2 AND 50""")
+def digest_tokens(spark, sf_dir):
+    return digestion.digest(_proteins(spark, sf_dir), min_length=2, max_length=50)
+
+
+@query("""WITH p AS (SELECT DISTINCT regexp_replace(upper(p_name), '[^A-Z]', '', 'g') AS r FROM part)
+SELECT r AS residues, r[1] || reverse(substring(r, 2, length(r) - 2)) || r[length(r)] AS decoy FROM p WHERE length(r) > 3""")
+def decoy_reverse(spark, sf_dir):
+    rows = _proteins(spark, sf_dir).select("residues").distinct().where(F.length("residues") > 3)
+    return rows.withColumn("decoy", digestion.reversed_sequence(F.col("residues")))
+
+
+@query(f"""WITH m(residue, mass) AS (VALUES {', '.join(f"('{r}', {m!r})" for r, m in S.RESIDUE_MASS.items())}),
+p AS (SELECT p_partkey AS protein_id, regexp_replace(upper(p_name), '[^{_RESIDUES}]', '', 'g') AS r FROM part),
+l AS (SELECT protein_id, unnest(string_split(r, '')) AS residue FROM p WHERE r <> '')
+SELECT protein_id, round(sum(CAST(mass AS DOUBLE)) + {S.WATER!r}, 6) AS mass FROM l JOIN m USING (residue) GROUP BY 1""")
+def sequence_mass(spark, sf_dir):
+    r = F.regexp_replace(F.upper("p_name"), f"[^{_RESIDUES}]", "")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("protein_id"), r.alias("r")).where("r <> ''").select("protein_id", F.round(S.peptide_mass(F.col("r")), 6).alias("mass"))
+
+
+@query("""SELECT CAST(floor(l_extendedprice / 0.02 + 1 - 0.4) AS INTEGER) AS bin, count(*) AS n FROM lineitem GROUP BY 1""")
+def mass2bin_hist(spark, sf_dir):
+    return _lines(spark, sf_dir).groupBy(S.mass2bin(F.col("l_extendedprice")).alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH s AS (SELECT label, min(vec_id) AS first FROM embeddings GROUP BY 1),
+p AS (SELECT s.label, v.embedding AS p FROM s JOIN embeddings v ON v.vec_id = s.first)
+SELECT e.vec_id, round(list_sum(list_transform(list_zip(e.embedding, p.p), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))
+ / sqrt(list_sum(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) * list_sum(list_transform(p.p, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 6) AS cosine
+FROM embeddings e JOIN p ON e.label = p.label""")
+def cosine_embeddings(spark, sf_dir):
+    from massloom.functions.arrays import normalised_dot
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
+    first = vectors.groupBy("label").agg(F.min_by("e", "vec_id").alias("p"))
+    return vectors.join(first, "label").select("vec_id", F.round(normalised_dot(F.col("e"), F.col("p")), 6).alias("cosine"))
+
+
+@query("SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem GROUP BY 1")
+def pearson_group(spark, sf_dir):
+    return _lines(spark, sf_dir).groupBy("l_returnflag").agg(F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("r"))
+
+
+@query("SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 2) AS intercept FROM lineitem GROUP BY 1")
+def regr_group(spark, sf_dir):
+    return _lines(spark, sf_dir).groupBy("l_returnflag").agg(F.round(F.regr_slope("l_extendedprice", "l_quantity"), 4).alias("slope"), F.round(F.regr_intercept("l_extendedprice", "l_quantity"), 2).alias("intercept"))
+
+
+@query("SELECT l_returnflag, round(avg(l_quantity), 6) AS mean, round(var_pop(l_quantity), 6) AS variance, round(stddev_pop(l_quantity), 6) AS sd, median(l_quantity) AS median FROM lineitem GROUP BY 1")
+def summary_group(spark, sf_dir):
+    return _lines(spark, sf_dir).groupBy("l_returnflag").agg(F.round(F.avg("l_quantity"), 6).alias("mean"), F.round(F.var_pop("l_quantity"), 6).alias("variance"), F.round(F.stddev_pop("l_quantity"), 6).alias("sd"), F.median("l_quantity").alias("median"))
+
+
+@query("""WITH p AS (SELECT l_returnflag, l_partkey, avg(l_extendedprice) FILTER (WHERE l_linestatus = 'O') AS o, avg(l_extendedprice) FILTER (WHERE l_linestatus = 'F') AS f FROM lineitem GROUP BY 1, 2)
+SELECT l_returnflag, round(median(o / f), 6) AS factor FROM p WHERE o IS NOT NULL AND f IS NOT NULL GROUP BY 1""")
+def median_ratio_normalise(spark, sf_dir):
+    means = _lines(spark, sf_dir).groupBy("l_returnflag", "l_partkey").agg(F.avg(F.when(F.col("l_linestatus") == "O", F.col("l_extendedprice"))).alias("o"), F.avg(F.when(F.col("l_linestatus") == "F", F.col("l_extendedprice"))).alias("f"))
+    return means.where("o is not null and f is not null").groupBy("l_returnflag").agg(F.round(F.median(F.col("o") / F.col("f")), 6).alias("factor"))
+
+
+@query("""WITH o AS (SELECT l_extendedprice AS v, row_number() OVER (ORDER BY l_extendedprice) - 1 AS n, count(*) OVER () AS c FROM lineitem)
+SELECT max(CASE WHEN n = least(CAST(floor(0.01 * c + 0.5) AS BIGINT), c - 1) THEN v END) AS low, max(CASE WHEN n = least(CAST(floor(0.99 * c + 0.5) AS BIGINT), c - 1) THEN v END) AS high FROM o""")
+def quantile_scale(spark, sf_dir):
+    low, high = ranking.scaled_position(_lines(spark, sf_dir).select("l_extendedprice"), "l_extendedprice", (0.01, 0.99))
+    return spark.range(1).select(F.lit(low).alias("low"), F.lit(high).alias("high"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, CAST(CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS INTEGER) AS label,
+CAST(l_linenumber = 1 AS INTEGER) AS charge1, CAST(l_linenumber = 2 AS INTEGER) AS charge2, CAST(l_linenumber = 3 AS INTEGER) AS charge3, round(ln(l_extendedprice), 6) AS ln_score FROM lineitem""")
+def pin_features(spark, sf_dir):
+    from massloom.sources.sinks import one_hot
+
+    rows = _lines(spark, sf_dir).select(*_KEY, F.when(F.col("l_returnflag") == "R", -1).otherwise(1).alias("label"), F.round(F.ln("l_extendedprice"), 6).alias("ln_score"))
+    return one_hot(rows, "l_linenumber", (1, 2, 3), "charge")
+
+
+@query("""SELECT l_partkey, round(sum(l_extendedprice) FILTER (WHERE l_returnflag = 'A'), 2) AS A, round(sum(l_extendedprice) FILTER (WHERE l_returnflag = 'N'), 2) AS N, round(sum(l_extendedprice) FILTER (WHERE l_returnflag = 'R'), 2) AS R FROM lineitem GROUP BY 1""")
+def lfq_pivot(spark, sf_dir):
+    return _lines(spark, sf_dir).groupBy("l_partkey").pivot("l_returnflag", ["A", "N", "R"]).agg(F.round(F.sum("l_extendedprice"), 2))
+
+
+@query(f"""WITH e AS (SELECT *, l_discount - l_tax AS ens FROM lineitem), b AS (SELECT l_orderkey, ens AS base FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, {_TIE}) AS n FROM e) WHERE n = 1)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM e JOIN b USING (l_orderkey) WHERE ens >= base - 1e-6""")
+def ensemble_filter(spark, sf_dir):
+    from massloom.operators.dia import ensemble_filter as keep
+
+    rows = _lines(spark, sf_dir).withColumn("ens", F.col("l_discount") - F.col("l_tax"))
+    return keep(rows, ["l_orderkey"], "ens", [F.desc("l_extendedprice"), *map(F.col, TIE)]).select(*_KEY)
