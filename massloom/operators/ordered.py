@@ -2,7 +2,8 @@
 
 A window without ``partitionBy`` runs in one task. Here the order key (made distinct by
 grouping first) is cut at approximate quantiles into ranges; each range is windowed on its
-own and shifted by the totals of the ranges before it, a table of a few hundred rows.
+own and shifted by the totals of the ranges before it, a table of a few hundred rows. The
+input is written first, since its quantiles, its totals and its rows are each read.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from massloom.session import written
+
 RANGES = 256
 #: Below this many keys one range is enough.
 SMALL = 200_000
@@ -36,7 +39,7 @@ def running_before(df: DataFrame, key: str, sums: Iterable[str], descending: boo
 
     ``key`` must be distinct in ``df``. Better is larger where ``descending``. Rows with a null key come last.
     """
-    ranged = with_range(df, key)
+    ranged = with_range(written(df, "ordered"), key)
     order = F.col(key).desc_nulls_last() if descending else F.col(key).asc_nulls_last()
     rank = F.col("__range").desc_nulls_last() if descending else F.col("__range").asc_nulls_last()
     totals = ranged.groupBy("__range").agg(*(F.sum(c).alias(f"__t_{c}") for c in sums))
@@ -50,7 +53,7 @@ def running_before(df: DataFrame, key: str, sums: Iterable[str], descending: boo
 
 def running_extreme(df: DataFrame, key: str, value: str, out: str, descending: bool, from_worst: bool = True) -> DataFrame:
     """Append the least ``value`` from each key on to the worst key (or from the best key up to it)."""
-    ranged = with_range(df, key)
+    ranged = with_range(written(df, "ordered"), key)
     best_first = F.col(key).desc_nulls_last() if descending else F.col(key).asc_nulls_last()
     rank = F.col("__range").desc_nulls_last() if descending else F.col("__range").asc_nulls_last()
     frame = (1, Window.unboundedFollowing) if from_worst else (Window.unboundedPreceding, -1)

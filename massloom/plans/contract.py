@@ -328,10 +328,10 @@ def array_difference(spark, sf_dir):
     return rows.select("l_suppkey", F.size(F.array_except("a", "b")).cast("long").alias("only_decoy"), F.size(F.array_intersect("a", "b")).cast("long").alias("both"))
 
 
-@query("""SELECT event_id, round(value - avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 75 PRECEDING AND 75 FOLLOWING), 4) AS cleaned FROM events""")
+@query("""SELECT event_id, round(value - avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 75 PRECEDING AND 75 FOLLOWING) + 1e-7, 4) AS cleaned FROM events""")
 def background_subtraction(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(-75, 75)
-    return table(spark, sf_dir, "events").select("event_id", F.round(F.col("value") - F.avg("value").over(w), 4).alias("cleaned"))
+    return table(spark, sf_dir, "events").select("event_id", F.round(F.col("value") - F.avg("value").over(w) + 1e-7, 4).alias("cleaned"))
 
 
 @query("""WITH m AS (SELECT max(event_id) + 1 AS n FROM events)
