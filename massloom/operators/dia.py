@@ -93,3 +93,56 @@ def isolation_gap(spectra: DataFrame, by: list[str], precursor: str = "precursor
     w = Window.partitionBy(*by).orderBy(precursor)
     steps = spectra.select(*by, precursor).distinct().withColumn("__d", F.col(precursor) - F.lag(precursor).over(w))
     return steps.groupBy(*by).agg(F.avg("__d").alias("gap"))
+
+
+def static_fragment_score(matched: DataFrame, by: list[str], intensity: str = "intensity", series: str = "ion") -> DataFrame:
+    """(by, static_fragment): ln(n_b!) + ln(n_y!) + ln(1 + sum of squared intensities of b and of y ions)."""
+    rows = matched.groupBy(*by).agg(*(F.count_if(F.col(series) == s).alias(f"n_{s}") for s in "by"), *(F.sum(F.when(F.col(series) == s, F.pow(intensity, F.lit(2))).otherwise(0.0)).alias(f"i_{s}") for s in "by"))
+
+    def log_factorial(n: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1)).cast("int")), F.lit(0.0), lambda s, k: s + F.ln(k))
+
+    parts = [log_factorial(F.col(f"n_{s}")) + F.log1p(F.col(f"i_{s}")) for s in "by"]
+    return rows.select(*by, (parts[0] + parts[1]).alias("static_fragment"))
+
+
+def dynamic_fragment_score(psms: DataFrame, trials: str, hits: str, chance: str, out: str = "dynamic_fragment") -> DataFrame:
+    """Append -ln of the binomial chance of at least ``hits`` of ``trials`` ions matching at random with ``chance`` each."""
+
+    def log_choose(n: Column, k: Column) -> Column:
+        top = F.aggregate(F.sequence(F.lit(1), F.greatest(k, F.lit(1)).cast("int")), F.lit(0.0), lambda s, j: s + F.ln((n - k + j) / j))
+        return F.when(k > 0, top).otherwise(0.0)
+
+    n, k, p = F.col(trials), F.col(hits), F.least(F.greatest(F.col(chance), F.lit(1e-12)), F.lit(1 - 1e-12))
+    terms = F.transform(F.sequence(k.cast("int"), n.cast("int")), lambda j: log_choose(n, j) + j * F.ln(p) + (n - j) * F.ln(1 - p))
+    most = F.array_max(terms)
+    tail = most + F.ln(total(F.transform(terms, lambda t: F.exp(t - most))))
+    return psms.withColumn(out, F.when(k > 0, -tail).otherwise(0.0))
+
+
+def targets_at(psms: DataFrame, score: str, peptide: list[str], is_decoy: Column, limit: float = 0.01) -> int:
+    """How many peptides (their best match each) a score accepts at decoys / targets <= ``limit``."""
+    from massloom.operators.confidence import best_per_peptide, score_counts
+    from massloom.operators.ordered import running_before, running_extreme
+
+    best = best_per_peptide(psms.withColumn("__decoy", is_decoy), [*peptide, "__decoy"], score)
+    before = running_before(score_counts(best, score, F.col("__decoy")), "score", ["targets", "decoys"], descending=True)
+    rated = before.withColumn("fdr", (F.col("decoys_before") + F.col("decoys")) / F.greatest(F.col("targets_before") + F.col("targets"), F.lit(1)))
+    rows = running_extreme(rated, "score", "fdr", "q", descending=True)
+    return rows.where(F.col("q") <= limit).agg(F.max(F.col("targets_before") + F.col("targets"))).first()[0] or 0
+
+
+def choose_weights(psms: DataFrame, parts: list[str], peptide: list[str], is_decoy: Column, grid: tuple[float, ...] = (0.25, 1.0, 4.0), limit: float = 0.01) -> tuple[float, ...]:
+    """Weights of tailor, rt difference, precursor, fragment and elution (the columns ``parts``) that accept most peptides.
+
+    The first weight stays 1; the others run over the grid one after another, so the jobs grow with their number, not with its power.
+    """
+    weights = [1.0] * len(parts)
+    for k in range(1, len(parts)):
+        tried = {}
+        for g in grid:
+            now = [*weights[:k], g, *weights[k + 1 :]]
+            scored = psms.withColumn("__ensemble", ensemble_score(*(F.col(p) for p in parts), weights=tuple(now)))
+            tried[g] = targets_at(scored, "__ensemble", peptide, is_decoy, limit)
+        weights[k] = max(grid, key=lambda g: (tried[g], -abs(g - 1.0)))
+    return tuple(weights)
