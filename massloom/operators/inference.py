@@ -100,41 +100,36 @@ def mass_errors(spectra: DataFrame, least_pairs: int = LEAST_PAIRS, **options) -
     return {"precursor_sigma": precursor, "fragment_sigma": fragment, "precursor_ppm": None if precursor is None else PRECURSOR_FACTOR * precursor, "fragment_bin": None if fragment is None else FRAGMENT_FACTOR * fragment}
 
 
-def _near(mz: float, tolerance: float) -> Column:
-    return F.coalesce(F.aggregate(F.zip_with("mz", "intensity", lambda m, i: F.when(F.abs(m - mz) <= tolerance, i).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x) / F.nullif(F.array_max("intensity"), F.lit(0.0)), F.lit(0.0))
+def _share_at(place: Column, tolerance: float) -> Column:
+    """Summed intensity within ``tolerance`` of a place, as a share of the strongest peak."""
+    near = F.aggregate(F.arrays_zip("mz", "intensity"), F.lit(0.0), lambda s, p: s + F.when(F.abs(p["mz"] - place) <= tolerance, p["intensity"]).otherwise(0.0))
+    return F.coalesce(near / F.nullif(F.array_max("intensity"), F.lit(0.0)), F.lit(0.0))
 
 
-def reporter_ions(spectra: DataFrame, tolerance: float = 0.003, z_limit: float = 3.5) -> dict[str, bool]:
+def reporter_ions(spectra: DataFrame, tolerance: float = 0.003, t_limit: float = 3.5) -> dict[str, bool]:
     """Which reporter sets stand out: the mean share of each ion against places 0.05 and 0.1 beside it, as a t value over spectra."""
     ions = sorted({m for ms in REPORTERS.values() for m in ms})
-    found = []
-    for k, m in enumerate(ions):
-        gap = _near(m, tolerance) - (_near(m - 0.05, tolerance) + _near(m + 0.05, tolerance) + _near(m - 0.1, tolerance) + _near(m + 0.1, tolerance)) / 4
-        found += [F.avg(gap).alias(f"m{k}"), F.stddev_samp(gap).alias(f"s{k}")]
-    row = spectra.where("ms_level = 2").agg(F.count("*").alias("n"), *found).first()
+    asked = F.array(*map(F.lit, ions))
+    beside = F.array(*(F.lit(d) for d in (-0.1, -0.05, 0.05, 0.1)))
+    gaps = F.transform(asked, lambda m: _share_at(m, tolerance) - F.aggregate(F.transform(beside, lambda d: _share_at(m + d, tolerance)), F.lit(0.0), lambda s, x: s + x) / 4)
+    rows = spectra.where("ms_level = 2").select(F.posexplode(gaps).alias("k", "gap"))
+    seen = {r.k: r for r in rows.groupBy("k").agg(F.count("*").alias("n"), F.avg("gap").alias("mean"), F.stddev_samp("gap").alias("sd")).collect()}  # a row for each ion
 
     def strong(m: float) -> bool:
-        k = ions.index(m)
-        mean, sd = row[f"m{k}"], row[f"s{k}"]
-        return bool(mean) and mean > 0 and (not sd or mean / (sd / math.sqrt(row.n)) > z_limit)
+        r = seen.get(ions.index(m))
+        return r is not None and r["mean"] > 0 and (not r.sd or r["mean"] / (r.sd / math.sqrt(r.n)) > t_limit)
 
-    out = {name: all(strong(m) for m in ms) for name, ms in REPORTERS.items()}
-    out["TMT 6-plex"] &= not out["TMT 10-plex"] or all(strong(m) for m in REPORTERS["TMT 6-plex"])
-    return out
+    return {name: all(strong(m) for m in ms) for name, ms in REPORTERS.items()}
 
 
 def phospho_score(spectra: DataFrame, tolerance: float = 0.05) -> dict[str, float]:
-    """Mean share of the precursor's phosphoric acid loss against losses 20 Da around it, with its z value."""
-    rows = spectra.where("ms_level = 2 and charge > 0")
-
-    def at(loss: float) -> Column:
-        place = F.col("precursor_mz") - loss / F.col("charge")
-        return F.coalesce(F.aggregate(F.zip_with("mz", "intensity", lambda m, i: F.when(F.abs(m - place) <= tolerance, i).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x) / F.nullif(F.array_max("intensity"), F.lit(0.0)), F.lit(0.0))
-
-    control = [PHOSPHO_LOSS + d for d in (-20.0, -15.0, -10.0, -5.0, 5.0, 10.0, 15.0, 20.0)]
-    row = rows.agg(F.avg(at(PHOSPHO_LOSS)).alias("x"), *(F.avg(at(c)).alias(f"c{k}") for k, c in enumerate(control))).first()
-    base = np.array([row[f"c{k}"] or 0.0 for k in range(len(control))])
-    return {"share": row.x or 0.0, "control": float(base.mean()), "z": ((row.x or 0.0) - float(base.mean())) / max(float(base.std()), 1e-6)}
+    """Mean share of the precursor's phosphoric acid loss against losses up to 20 Da around it, with its z value."""
+    losses = [0.0, -20.0, -15.0, -10.0, -5.0, 5.0, 10.0, 15.0, 20.0]
+    shares = F.transform(F.array(*map(F.lit, losses)), lambda d: _share_at(F.col("precursor_mz") - (d + PHOSPHO_LOSS) / F.col("charge"), tolerance))
+    rows = spectra.where("ms_level = 2 and charge > 0").select(F.posexplode(shares).alias("k", "share"))
+    mean = {r.k: r.m for r in rows.groupBy("k").agg(F.avg("share").alias("m")).collect()}  # nine rows
+    base = np.array([mean.get(k, 0.0) for k in range(1, len(losses))])
+    return {"share": mean.get(0, 0.0), "control": float(base.mean()), "z": (mean.get(0, 0.0) - float(base.mean())) / max(float(base.std()), 1e-6)}
 
 
 def silac_counts(spectra: DataFrame, reach: int = 50) -> DataFrame:
