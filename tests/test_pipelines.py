@@ -103,20 +103,36 @@ def test_whole_run_and_confidence(spark, tmp_path):
     assert peptides.where("not is_decoy and sequence = 'AGDEFLLK'").count() == 1 and peptides.where("is_decoy and protein_ids like 'decoy_%'").count() > 0
 
 
-def test_streams(spark, tmp_path):
+def stream_of(spark, tmp_path):
+    for k, seq in enumerate(["AGDEFLLK", "GGHWLLAAK", "AGDEFLLK"]):
+        spark.createDataFrame([spectrum(k, seq)], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    return incoming.read_incoming(spark, str(tmp_path / "in"))
+
+
+def test_incoming_spectra_are_searched(spark, tmp_path):
     from massloom.operators import digestion
 
-    rows = [spectrum(k, s) for k, s in enumerate(["AGDEFLLK", "GGHWLLAAK", "AGDEFLLK"])]
-    for k, r in enumerate(rows):
-        spark.createDataFrame([r], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    index = digestion.build_index(spark.createDataFrame(PROTEINS, "protein_id string, residues string"), mods_spec="", decoy="none", min_length=5)
-    stream = incoming.read_incoming(spark, str(tmp_path / "in"))
-    incoming.search_incoming(stream, index, str(tmp_path / "out"), str(tmp_path / "c1"), available_now=True, kind="mass", window=3.0).awaitTermination()
+    digestion.build_index(spark.createDataFrame(PROTEINS, "protein_id string, residues string"), mods_spec="", decoy="none", min_length=5).write.parquet(str(tmp_path / "index"))
+    query = incoming.search_incoming(stream_of(spark, tmp_path), spark.read.parquet(str(tmp_path / "index")), str(tmp_path / "out"), str(tmp_path / "c1"), available_now=True, kind="mass", window=3.0)
+    assert query.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).where("`xcorr rank` = 1").count() == 3
-    q = incoming.previous_in_bin(stream).writeStream.format("memory").queryName("pairs").option("checkpointLocation", str(tmp_path / "c2")).outputMode("append").trigger(availableNow=True).start()
-    assert q.awaitTermination(120)
-    assert [(r.scan, r.prev_scan) for r in spark.sql("select * from pairs").collect()] == [(2, 0)]
-    timed = stream.withColumn("arrived", F.timestamp_seconds(F.col("scan") * 40))
-    q = incoming.arrival_counts(timed).writeStream.format("memory").queryName("arrivals").option("checkpointLocation", str(tmp_path / "c3")).outputMode("complete").trigger(availableNow=True).start()
-    assert q.awaitTermination(120)
+
+
+def test_arrivals_are_counted(spark, tmp_path):
+    timed = stream_of(spark, tmp_path).withColumn("arrived", F.timestamp_seconds(F.col("scan") * 40))
+    query = incoming.arrival_counts(timed).writeStream.format("memory").queryName("arrivals").option("checkpointLocation", str(tmp_path / "c3")).outputMode("complete").trigger(availableNow=True).start()
+    assert query.awaitTermination(60)
     assert sorted(r.n for r in spark.sql("select * from arrivals").collect()) == [1, 2]
+
+
+def test_previous_spectrum_of_a_bin(spark, tmp_path):
+    query = incoming.previous_in_bin(stream_of(spark, tmp_path)).writeStream.format("memory").queryName("pairs").option("checkpointLocation", str(tmp_path / "c2")).outputMode("append").start()
+    try:
+        for _ in range(60):
+            found = [(r.scan, r.prev_scan) for r in spark.sql("select * from pairs").collect()]
+            if found:
+                break
+            query.awaitTermination(1)
+    finally:
+        query.stop()
+    assert found == [(2, 0)]
