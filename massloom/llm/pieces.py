@@ -229,6 +229,17 @@ class PieceModel:
         return text.decode("utf-8", "replace")
 
 
+_loaded: dict[str, PieceModel] = {}
+
+
+def load(path: str) -> PieceModel:
+    """The model of a file, kept with its bounded caches for the next task of this worker."""
+    if path not in _loaded:
+        _loaded.clear()
+        _loaded[path] = PieceModel(path)
+    return _loaded[path]
+
+
 def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids", add_eos: bool = True) -> DataFrame:
     """Append the token ids of every whole text.
 
@@ -237,7 +248,7 @@ def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids",
     """
 
     def make():
-        model = PieceModel(model_path)
+        model = load(model_path)
 
         def step(batch: pa.RecordBatch) -> dict[str, pa.Array]:
             rows = [model.encode(t or "", add_eos) for t in column(batch, text).to_pylist()]
@@ -255,7 +266,7 @@ def decode(df: DataFrame, model_path: str, ids: str = "ids", text: str = "decode
     """Append the text that the ids stand for; a null list gives an empty text."""
 
     def make():
-        model = PieceModel(model_path)
+        model = load(model_path)
         table = model.decoder()
 
         def step(batch: pa.RecordBatch) -> dict[str, pa.Array]:
