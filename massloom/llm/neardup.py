@@ -8,9 +8,10 @@ on a coordinate with the weighted Jaccard similarity of the texts.
 
 Equal texts form one node. Bands of the signature propose pairs of nodes, each pair
 is checked on its whole texts, and the links are joined to classes. A bucket of more than ``ALL_PAIRS`` nodes is not
-paired with itself: its nodes are checked against a few leaders, drawn anew in each band. Then,
-round after round, the nodes outside a bucket's largest class are checked against new leaders from
-inside and outside that class, until a round finds no link.
+paired with itself: its nodes are first checked against a few leaders, drawn anew in each band. The nodes of
+large buckets that hold several classes then go through an exact join: a text's shingles are put in one
+order, rare ones first, and two similar texts share one that stands early in both. No pair of different classes in a large
+bucket is left out unless its sizes and the place of its first common shingle rule the similarity out.
 """
 
 from __future__ import annotations
@@ -31,8 +32,10 @@ WIDTH = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 5
 ALL_PAIRS = 12
-#: Leaders of a large bucket for all of its nodes; then, in the first and in each later round, of its main class and as many of its other nodes.
-FIRST_LEADERS, LEADERS, LATER_LEADERS = 2, 8, 16
+#: Leaders of a large bucket for all of its nodes.
+FIRST_LEADERS = 2
+#: Counters that put shingles in order. Shingles may share one: that changes the order, not the pairs found.
+SLOTS = 1 << 22
 _WORD = space_table()
 
 
@@ -195,6 +198,78 @@ def _check(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return two.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
+def _tokens(texts: pa.Array):
+    """(first row, rows, row, token) of runs of texts: a shingle that occurs n times gives n different tokens."""
+    for first, n, buf, offsets in slices(texts, 1 << 19):
+        row, key, weight = weighted(*shingles(buf, offsets))
+        at = np.repeat(np.arange(len(row)), weight)
+        layer = np.arange(len(at)) - np.repeat(np.cumsum(weight) - weight, weight)
+        yield first, n, row[at], mix(key[at] + layer.astype(U) * U(0xA24BAED4963EE407))
+
+
+def _levels(texts: DataFrame) -> np.ndarray:
+    """How often the tokens of each of ``SLOTS`` counters occur, on a scale of logarithms."""
+
+    def run(batches):
+        counts = np.zeros(SLOTS, dtype=np.int64)
+        for batch in batches:
+            for _, _, _, token in _tokens(column(batch, "text")):
+                np.add.at(counts, (token % U(SLOTS)).astype(np.int64), 1)
+        slot = np.flatnonzero(counts)
+        for k in range(0, len(slot), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(slot[k : k + (1 << 16)]), pa.array(counts[slot[k : k + (1 << 16)]])], names=["slot", "c"])
+
+    total = texts.select("text").mapInArrow(run, "slot long, c long").groupBy("slot").agg(F.sum("c").alias("c"))
+    # one byte for each slot that is met more than once: 16 a doubling
+    found = total.where("c > 1").select(F.col("slot").cast("int"), F.least(F.lit(255), F.ceil(F.log2("c") * 16)).cast("short").alias("level")).toArrow()
+    out = np.zeros(SLOTS, dtype=np.uint8)
+    out[found.column("slot").to_numpy()] = found.column("level").to_numpy()
+    return out
+
+
+def candidates(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs (u, v) of different ``root`` in ``nodes`` (node, root, text) that may be similar enough; no similar pair is missing.
+
+    Two texts of x and y tokens are similar only if they share ``similarity / (1 + similarity) * (x + y)`` of them.
+    With all tokens in one order, their first common token has the others behind it in both, so it stands early enough in both.
+    The longer text offers the tokens that may be first with a text of ``similarity`` times its size, the shorter
+    one those that may be first with a text of its own size.
+    """
+    spark = nodes.sparkSession
+    levels = spark.sparkContext.broadcast(_levels(nodes))
+    part = similarity / (1 + similarity)
+
+    def run(batches):
+        for batch in batches:
+            node, root = (column(batch, c).to_numpy() for c in ("node", "root"))
+            for first, n, row, token in _tokens(column(batch, "text")):
+                order = np.lexsort((token, levels.value[(token % U(SLOTS)).astype(np.int64)], row))
+                row, token = row[order], token[order]
+                size = np.bincount(row, minlength=n)
+                place = np.arange(len(row)) - (np.cumsum(size) - size)[row]
+                keep = size[row] - place >= similarity * size[row] - 1e-6
+                row, token, place = row[keep], token[keep], place[keep]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(token.view(np.int64)), pa.array(node[first + row]), pa.array(root[first + row]), pa.array(size[row].astype(np.int32)), pa.array((size[row] - place).astype(np.int32))],
+                    names=["token", "node", "root", "size", "rest"],
+                )
+
+    early = written(nodes.select("node", "root", "text").mapInArrow(run, "token long, node long, root long, size int, rest int"), "early")
+    # tokens of one class make no pair, nor do two nodes of a token's largest class
+    classes = early.groupBy("token", "root").agg(F.count("*").alias("n")).groupBy("token").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("c")).where("c > 1")
+    step = F.floor(F.log("size") / -math.log(similarity)).cast("int")
+    tagged = early.join(classes.select("token", F.col("m.root").alias("main")), "token").withColumn("main", F.col("root") == F.col("main")).withColumn("step", step)
+    # side 0: both outside; 1: the shorter one inside; 2: the longer one inside
+    x = tagged.withColumn("side", F.explode(F.when(F.col("main"), F.array(F.lit(2))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    x = x.withColumn("step", F.explode(F.sequence(F.col("step") - 2, F.col("step"))))
+    y = tagged.where(F.col("rest") >= 2 * part * F.col("size") - 1e-6)
+    y = y.withColumn("side", F.explode(F.when(F.col("main"), F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(2)))))
+    x, y = (d.select("token", "side", "step", *(F.col(c).alias(a + c) for c in ("node", "root", "size", "rest"))) for d, a in ((x, "x"), (y, "y")))
+    fits = (F.col("xroot") != F.col("yroot")) & (F.col("xsize") >= F.col("ysize")) & (F.least("xrest", "yrest") >= part * (F.col("xsize") + F.col("ysize")) - 1e-6)
+    found = x.join(y, ["token", "side", "step"]).where(fits)
+    return found.select(F.least("xnode", "ynode").alias("u"), F.greatest("xnode", "ynode").alias("v")).distinct()
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, out: str = "class_id") -> DataFrame:
     """(``doc_id``, ``class_id``) for every row: the smallest id of its class of near duplicates.
 
@@ -221,21 +296,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     texts = written(keyed.select("node", "text").join(needed, "node", "left_semi").dropDuplicates(["node"]), "texts")
     links = written(_check(pairs, texts, similarity), "links")
     roots = written(connected(links), "roots")
-    large = members.where(F.col("n") > ALL_PAIRS).select("band", "hash", "node")
-    turn = 0
-    while True:  # new leaders for what is still apart in large buckets
-        turn += 1
-        placed = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        sizes = placed.groupBy("band", "hash", "root").agg(F.count("*").alias("size"))
-        main = sizes.groupBy("band", "hash").agg(F.max(F.struct("size", "root")).alias("m"), F.count("*").alias("classes")).where("classes > 1").select("band", "hash", F.col("m.root").alias("main"))
-        tagged = placed.join(main, ["band", "hash"]).withColumn("inside", F.col("root") == F.col("main"))
-        cell = F.pmod(F.xxhash64(F.lit(turn), "band", "node"), F.lit(LEADERS if turn == 1 else LATER_LEADERS))
-        drawn = tagged.groupBy("band", "hash", "inside", cell.alias("cell")).agg(F.min(F.struct(F.xxhash64("node", "band", F.lit(turn)).alias("h"), "node", "root")).alias("l"))
-        heads = drawn.groupBy("band", "hash").agg(F.collect_list("l").alias("leaders"))
-        apart = tagged.where("not inside").join(heads, ["band", "hash"]).select("node", "root", F.explode("leaders").alias("l")).where("root <> l.root").select(F.col("l.node").alias("x"), F.col("node").alias("y"))
-        more = written(_check(ordered(apart), texts, similarity), "links")
-        if more.isEmpty():
-            break
+    # what is still apart in large buckets
+    placed = members.where(F.col("n") > ALL_PAIRS).select("band", "hash", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = placed.groupBy("band", "hash").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("band", "hash")
+    apart = written(placed.join(mixed, ["band", "hash"], "left_semi").select("node", "root").distinct().join(texts, "node"), "apart")
+    more = written(_check(written(candidates(apart, similarity), "pairs"), texts, similarity), "links")
+    if not more.isEmpty():
         roots = written(connected(more.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))), "roots")
     placed = signed.join(roots, "node", "left").select("id", "node", F.coalesce("root", "node").alias("root"), F.col("bands").isNull().alias("bare"))
     first = placed.where("not bare").groupBy("root").agg(F.min("id").alias("first"))

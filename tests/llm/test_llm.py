@@ -317,6 +317,45 @@ def test_near_duplicates_match_brute_force(spark):
     assert sorted(map(str, (tuple(r) for r in neardup.near_duplicates(extra).collect()))) == ["(1, 1)", "(1, 1)", "(None, None)"]
 
 
+def test_large_buckets_of_many_classes_are_whole(spark):
+    rng = random.Random(9)
+    vocab = [f"t{i}" for i in range(5000)]
+    form = [rng.choice(vocab) for _ in range(176)]  # letters of one form: a little below 0.8 to each other
+    texts, want = [], []
+    for k in range(1500):
+        own = [f"o{k}x{i}" for i in range(22)]
+        texts.append(" ".join(form + own))
+        want.append(k)
+        if k % 300 == 0:  # a near pair inside
+            texts.append(" ".join(form + own[:-19] + [f"p{k}x{i}" for i in range(19)]))
+            want.append(k)
+    assert 0.75 < _similarity(texts[0], texts[2]) < 0.8 <= _similarity(texts[0], texts[1])
+    order = rng.sample(range(len(texts)), len(texts))
+    df = frame(spark, [(i, texts[j]) for i, j in enumerate(order)], "doc_id long, text string")
+    first = {}
+    for i, j in enumerate(order):
+        first.setdefault(want[j], i)
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(df).collect()}
+    assert got == {i: first[want[j]] for i, j in enumerate(order)}
+
+
+def test_candidates_miss_no_similar_pair(spark):
+    rng = random.Random(10)
+    words = [f"c{i}" for i in range(40)]
+    base = [[rng.choice(words) for _ in range(rng.randint(3, 150))] for _ in range(12)]
+    texts = []
+    for k in range(300):
+        w = list(base[k % 12]) * rng.choice([1, 1, 2])  # repeated shingles weigh more than one
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(len(w))] = rng.choice(words)
+        texts.append(" ".join(w[rng.randint(0, 3) :] if len(w) > 8 else w))
+    texts = sorted(set(texts))
+    nodes = frame(spark, [(i, i % 150, t) for i, t in enumerate(texts)], "node long, root long, text string")
+    want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if i % 150 != j % 150 and _similarity(texts[i], texts[j]) >= 0.8}
+    got = {(r.u, r.v) for r in neardup.candidates(nodes).collect()}
+    assert len(want) > 100 and want <= got
+
+
 def test_components(spark):
     edges = frame(spark, [(1, 2), (3, 2), (3, 4), (9, 8), (7, 7), (8, 10), (2, 1)], "u long, v long")
     assert {r.node: r.root for r in neardup.connected(edges).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 8: 8, 9: 8, 10: 8}
