@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from massloom.functions.sequence import RESIDUE_MASS, WATER, cleavage_regex, mass_key, peptide_mass, residue_masses
+from massloom.session import written
 
 
 def pieces(residues: Column, enzyme: str, custom: str | None = None) -> Column:
@@ -117,9 +118,8 @@ def make_decoys(peptides: DataFrame, kind: str = "shuffle", keep: str = "NC", se
         free = free.groupBy("decoy").agg(F.min("sequence").alias("sequence")).select("sequence", "decoy")
         done = free if done is None else done.unionByName(free)
         open_rows = open_rows.join(free.select("sequence"), "sequence", "left_anti")
-        if kind == "reverse" and k >= 1:
-            break
-        if k >= 1 and attempts > 2 and kind != "reverse":
+        done, open_rows = written(done, "decoys"), written(open_rows, "undecoyed")
+        if open_rows.isEmpty():
             break
     return done
 

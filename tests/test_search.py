@@ -118,3 +118,12 @@ def test_cascade_takes_spectra_out(spark, index):
     rows = spark.createDataFrame([spectrum(k, s) for k, s in enumerate(["AGDEFLLK", "GGHWLLAAK", "AEDGGTTSSR"])], SCHEMA)
     got = search.cascade(spectrum_charges(rows), [index, index], termination=0, q_limit=1.0, kind="mass", window=3.0)
     assert sorted(r.scan for r in got.collect()) == [0, 1, 2] and {r["round"] for r in got.collect()} == {0}
+
+
+def test_decoys_take_all_attempts(spark):
+    ends = [a + b for a in "CDEFGHIKLM" for b in "CDEFGHIKLM"]
+    peptides = spark.createDataFrame([(e[0] + "AAB" + e[1],) for e in ends], "sequence string")
+    for kind in ("shuffle", "reverse"):
+        made = digestion.make_decoys(peptides, kind).collect()
+        assert len(made) >= 98  # each try keeps the order in one of three cases
+        assert all(sorted(r.decoy) == sorted(r.sequence) and r.decoy != r.sequence for r in made)
