@@ -121,6 +121,14 @@ def storey_pi0(p_values: DataFrame, p: str, lam: float = 0.5) -> float:
     return min(1.0, seen.above / (seen.n * (1 - lam))) if seen.n else 1.0
 
 
+def decoy_pi0(psms: DataFrame, score: str, is_decoy: Column, ascending: bool = False, lam: float = 0.5) -> float:
+    """Storey's estimator on the targets' p-values by decoys: the share of decoys at this or a better score."""
+    counts = mixmax_counts(psms, score, is_decoy, ascending)
+    total = psms.agg(F.count_if(~is_decoy).alias("w"), F.count_if(is_decoy).alias("z")).first()
+    above = counts.agg(F.sum(F.when(F.col("n_z_ge") > lam * total.z, F.col("targets")))).first()[0] or 0
+    return min(1.0, above / (total.w * (1 - lam))) if total.w and total.z else 1.0
+
+
 def sidak(p: Column, n: Column) -> Column:
     """Adjust the best of ``n`` p-values: 1 - (1 - p)^n."""
     return 1 - F.pow(1 - p, n)

@@ -41,7 +41,8 @@ def assign_confidence(matches: DataFrame, method: str = "tdc", score: str | None
     """Target matches with a q-value column (``tdc q-value`` or ``mix-max q-value``).
 
     ``tdc`` competes the best target with the best decoy of each key first; ``mix-max`` keeps both. With ``peptide_level`` only a peptide's best match
-    stays. ``sidak`` adjusts p-values by the number of candidates (target and decoy together under ``tdc``).
+    stays. ``sidak`` adjusts p-values by the number of candidates (target and decoy together under ``tdc``). ``mix-max`` estimates the share
+    ``pi0`` of null targets from all matches where it is not given: from the targets' p-values, or by decoys for other scores.
     """
     score = score or detect_score(matches)
     up = SCORES.get(score, True)
@@ -64,8 +65,12 @@ def assign_confidence(matches: DataFrame, method: str = "tdc", score: str | None
         return confidence.tdc_qvalues(rows, score, F.col(is_decoy), ascending=not up, out="tdc q-value")
     if method == "mix-max":
         rows = written(rows, "matches")
-        share = pi0 if pi0 is not None else 0.5
-        table = confidence.mixmax_table(rows.where(F.col(f"`{score}`").isNotNull()), score, F.col(is_decoy), share, ascending=not up)
+        scored = rows.where(F.col(f"`{score}`").isNotNull())
+        share = pi0
+        if share is None:
+            found = confidence.storey_pi0(scored.where(~F.col(is_decoy)), f"`{score}`") if score.endswith("p-value") else confidence.decoy_pi0(scored, score, F.col(is_decoy), ascending=not up)
+            share = min(1 - 1e-9, max(1e-9, found))  # the table needs a share within (0, 1)
+        table = confidence.mixmax_table(scored, score, F.col(is_decoy), share, ascending=not up)
         return rows.where(~F.col(is_decoy)).join(table.select(F.col("score").alias("__s"), F.col("q").alias("mix-max q-value")), F.col(f"`{score}`") == F.col("__s"), "left").drop("__s")
     raise ValueError(f"unknown method {method!r}")
 

@@ -136,3 +136,13 @@ def test_previous_spectrum_of_a_bin(spark, tmp_path):
     finally:
         query.stop()
     assert found == [(2, 0)]
+
+
+def test_mix_max_estimates_the_null_share(spark):
+    null = [(k + 0.5) / 1000 for k in range(1000)]
+    rows = [(k, p, 1 - p, True) for k, p in enumerate(null)]
+    rows += [(k, p, 1 - p, False) for k, p in enumerate([null[i] + 1e-4 for i in range(1000) if i % 10 < 3] + [1e-6 * (k + 1) for k in range(700)])]
+    matches = spark.createDataFrame(rows, "scan int, `exact p-value` double, `xcorr score` double, is_decoy boolean")
+    for score in ("exact p-value", "xcorr score"):
+        got, want, half = ({r.scan: r["mix-max q-value"] for r in pipelines.assign_confidence(matches, "mix-max", score, pi0=x).collect()} for x in (None, 0.3, 0.5))
+        assert max(abs(got[k] - want[k]) for k in want) < 0.01 < max(abs(half[k] - want[k]) for k in want)
