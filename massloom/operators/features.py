@@ -139,11 +139,16 @@ def trace_features(features: DataFrame, ppm: float = 10.0, gap: int = 1, min_sca
     """
     scans = features.select("file", "scan").distinct()
     numbered = scans.withColumn("position", F.row_number().over(Window.partitionBy("file").orderBy("scan")))
-    # groups are found within slices of 50 Da so that no window holds all masses of a file; a mass near an edge joins the lower slice's end
+    # groups are found within slices of 50 Da so that no window holds all masses of a file; groups that touch across an edge are joined after
     rows = features.join(numbered, ["file", "scan"]).withColumn("slice", F.floor(F.col("mono_mass") / 50))
     w = Window.partitionBy("file", "charge", "slice").orderBy("mono_mass")
     new = F.coalesce((F.col("mono_mass") - F.lag("mono_mass").over(w) > F.col("mono_mass") * 2 * ppm / 1e6).cast("int"), F.lit(0))
     grouped = rows.withColumn("new", new).withColumn("part", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = grouped.groupBy("file", "charge", "slice", "part").agg(F.min("mono_mass").alias("low"), F.max("mono_mass").alias("high"))
+    over = Window.partitionBy("file", "charge").orderBy("slice", "part")
+    apart = F.coalesce((F.col("low") - F.lag("high").over(over) > F.col("low") * 2 * ppm / 1e6).cast("int"), F.lit(1))
+    joined = parts.withColumn("apart", apart).withColumn("chain", F.sum("apart").over(over.rowsBetween(Window.unboundedPreceding, 0)))
+    grouped = grouped.join(joined.select("file", "charge", "slice", "part", "chain"), ["file", "charge", "slice", "part"])
 
     def build(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["intensity", "position"], ascending=[False, True]).reset_index(drop=True)
@@ -156,7 +161,7 @@ def trace_features(features: DataFrame, ppm: float = 10.0, gap: int = 1, min_sca
             out.append((best.file, f"{best.file}/{z}/{int(best.slice)}/{int(best.part)}/{k}", z, float(best.mono_mass), float(best.base_peak), float(best.mono_mass / z + PROTON), float(t.rt.min()), float(t.rt.max()), float(best.rt), float(best.intensity), float(t.intensity.sum()), len(t)))
         return pd.DataFrame(out, columns=["file", "feature_id", "charge", "mono_mass", "base_mz", "mono_mz", "first_rt", "last_rt", "apex_rt", "intensity", "sum_intensity", "n_scans"])
 
-    return grouped.groupBy("file", "charge", "slice", "part").applyInPandas(build, "file string, feature_id string, charge int, mono_mass double, base_mz double, mono_mz double, first_rt double, last_rt double, apex_rt double, intensity double, sum_intensity double, n_scans int")
+    return grouped.groupBy("file", "charge", "chain").applyInPandas(build, "file string, feature_id string, charge int, mono_mass double, base_mz double, mono_mz double, first_rt double, last_rt double, apex_rt double, intensity double, sum_intensity double, n_scans int")
 
 
 def drop_contaminants(traces: DataFrame, max_minutes: float, min_mass: float = 0.0, max_mass: float = 1e9) -> DataFrame:

@@ -146,3 +146,9 @@ def test_mix_max_estimates_the_null_share(spark):
     for score in ("exact p-value", "xcorr score"):
         got, want, half = ({r.scan: r["mix-max q-value"] for r in pipelines.assign_confidence(matches, "mix-max", score, pi0=x).collect()} for x in (None, 0.3, 0.5))
         assert max(abs(got[k] - want[k]) for k in want) < 0.01 < max(abs(half[k] - want[k]) for k in want)
+
+
+def test_traces_cross_slice_edges(spark):
+    rows = [("f", s, s / 10, 1000.0 + (0.002 if s % 2 else -0.002), 2, 10.0 + s, 500.0, 0.9) for s in range(4)]
+    found = spark.createDataFrame(rows, "file string, scan int, rt double, mono_mass double, charge int, intensity double, base_peak double, correlation double")
+    assert [r.n_scans for r in features.trace_features(found).collect()] == [4]
