@@ -4,8 +4,9 @@ An example is the template text of all preceding turns and of one assistant turn
 that reply is trainable. Turns behind the last assistant turn make a
 last example without a target, so nothing of a conversation is lost.
 
-Turn marks are control strings. Where a text holds one, or the escape sign itself, a
-backslash is put before it, so every marker without a backslash in the output is the template's.
+Turn marks are control strings, and each of them but the blank before a reply holds one of the signs ``< > [``. A
+backslash is put before every such sign of a text and before every backslash, so a sign
+without one in the output is the template's, whatever a text begins or ends with.
 
 Escaping and marking run as column expressions before the rows are dealt to partitions by conversation and
 sorted by turn. A task then streams them and holds the text of one conversation, which is
@@ -25,13 +26,13 @@ from pyspark.sql import functions as F
 USER_OPEN, USER_CLOSE = "<s>[INST] ", " [/INST]"
 REPLY_OPEN, REPLY_CLOSE = " ", " </s>"
 OTHER_OPEN, OTHER_NAMED, OTHER_CLOSE = "<<", ">> ", " <</>>"
-_CONTROL = r"(\\|\[/?INST\]|</?s>|<<|>>)"
+_SIGNS = r"([\\<>\[])"
 _UNESCAPE = re.compile(r"\\(.)", re.S)
 
 
 def escape(text: Column) -> Column:
-    """Put a backslash before each control string and each backslash; null becomes empty."""
-    return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), _CONTROL, r"\\$1")
+    """Put a backslash before each sign of a control string and each backslash; null becomes empty."""
+    return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), _SIGNS, r"\\$1")
 
 
 def unescape(text: str) -> str:
@@ -44,8 +45,8 @@ def format_examples(turns: DataFrame, conv_id: str = "conv_id", turn: str = "tur
     ``example[loss_start:loss_end]`` (code points) is the escaped reply. ``target_turn``
     counts turns from 0 in the conversation; it is null in a last example of trailing turns, whose
     loss range is empty. Null texts and roles are empty, null turns come first, equal turn numbers are ordered by
-    role and text, repeated rows are turns of their own, and rows without a
-    conversation id form one conversation.
+    role and text, repeated rows are turns of their own, and a row without a
+    conversation id is a conversation of one turn.
     """
     body = escape(F.col(text))
     who = F.coalesce(F.col(role).cast("string"), F.lit(""))
@@ -53,7 +54,9 @@ def format_examples(turns: DataFrame, conv_id: str = "conv_id", turn: str = "tur
     opened = F.when(who == "user", F.lit(USER_OPEN)).when(is_reply, F.lit(REPLY_OPEN)).otherwise(F.concat(F.lit(OTHER_OPEN), escape(who), F.lit(OTHER_NAMED)))
     closed = F.when(who == "user", F.lit(USER_CLOSE)).when(is_reply, F.lit(REPLY_CLOSE)).otherwise(F.lit(OTHER_CLOSE))
     rows = turns.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).alias("__turn"), who.alias("__role"), F.col(text).alias("__text"), is_reply.alias("reply"), opened.alias("open"), body.alias("body"), closed.alias("close"))
-    dealt = rows.repartition("conv_id").sortWithinPartitions(F.col("conv_id").asc_nulls_first(), F.col("__turn").asc_nulls_first(), "__role", F.col("__text").asc_nulls_first())
+    # rows without an id belong to no group, so they are dealt out by what they hold
+    place = F.coalesce("conv_id", F.xxhash64("__turn", "__role", "__text"))
+    dealt = rows.repartition(place).sortWithinPartitions(F.col("conv_id").asc_nulls_first(), F.col("__turn").asc_nulls_first(), "__role", F.col("__text").asc_nulls_first())
     return dealt.select("conv_id", "reply", "open", "body", "close").mapInArrow(_expand, "conv_id long, target_turn long, n_turns long, example string, loss_start long, loss_end long")
 
 
@@ -69,7 +72,7 @@ def _expand(batches):
 
     for rows in batches:
         for conv, reply, opened, body, closed in zip(*(rows.column(k).to_pylist() for k in range(5)), strict=True):
-            if not started or conv != now:
+            if not started or conv != now or conv is None:
                 if pending:
                     out.append((now, None, count, said, 0, 0))
                 now, said, count, pending, started = conv, "", 0, False, True
@@ -89,9 +92,6 @@ def _expand(batches):
         yield batch()
 
 
-_MARK = re.compile(r"\\.|<s>\[INST\] | \[/INST\]| </s>|<<|>> | <</>>", re.S)
-
-
 def read_back(example: str) -> list[tuple[str, str]]:
     """(role, text) of every turn of a formatted example."""
     turns: list[tuple[str, str]] = []
@@ -113,8 +113,8 @@ def read_back(example: str) -> list[tuple[str, str]]:
 
 
 def _find(example: str, mark: str, start: int) -> int:
-    """Where the first ``mark`` stands from ``start`` on that no backslash escapes."""
-    for found in _MARK.finditer(example, start):
+    """Where the first ``mark`` stands from ``start`` on; its sign is the first that no backslash escapes."""
+    for found in re.compile(rf"\\.|{re.escape(mark)}", re.S).finditer(example, start):
         if found.group() == mark:
             return found.start()
     raise ValueError(f"{mark!r} is missing")
@@ -144,7 +144,7 @@ def digests(examples: DataFrame) -> DataFrame:
         for rows in batches:
             cols = [rows.column(rows.schema.get_field_index(n)).to_pylist() for n in ("conv_id", "example", "loss_start", "loss_end")]
             for conv, example, a, b in zip(*cols, strict=True):
-                if not started or conv != now:
+                if not started or conv != now or conv is None:
                     if started:
                         close()
                     now, started, loss, chars, total = conv, True, hashlib.sha256(), 0, 0
