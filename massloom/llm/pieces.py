@@ -8,7 +8,8 @@ decided by undoing their merges from the seam outwards (``PieceModel.compatible`
 
 Texts are cut before a word mark that follows another character and around line
 feeds, where no piece of the vocabulary reaches across (checked at load), so a segment's ids do not depend
-on its neighbours and those of frequent segments are kept in a bounded cache.
+on its neighbours. Those of frequent segments are kept in a cache bounded by bytes: a young and an old
+half, of which the old one goes when the young one is full, so what is still in use stays.
 """
 
 from __future__ import annotations
@@ -19,15 +20,20 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from massloom.llm.arrow import add_columns, column
 
 MARK = "▁"
-CACHE_ENTRIES = 250_000
+#: Bytes of each half of a worker's cache of segments, and entries of each half of its cache of pairs.
+CACHE_BYTES = 16 << 20
+PAIR_ENTRIES = 120_000
+#: Longer segments are not kept.
 CACHE_LENGTH = 48
-PAIR_ENTRIES = 500_000
+#: What a cache entry takes besides its key's and value's content: two object heads and a slot of the table.
+ENTRY_BYTES = 190
 PAIR_STEP = 1 << 22  # above every token, symbols without a piece included
 
 
@@ -70,23 +76,26 @@ class PieceModel:
         #: identity normaliser only: the tables below know nothing of a character map
         if lib.normalize("ﬁ Å") != f"{MARK}ﬁ{MARK}Å":
             raise ValueError("the model normalises characters; only identity normalisation is supported")
-        self.left: dict[int, int] = {}
-        self.right: dict[int, int] = {}
-        automaton = ahocorasick.Automaton()
-        for i in sorted(normal, key=lambda i: len(self.piece[i])):
-            p = self.piece[i]
-            if len(p) == 1:
-                automaton.add_word(p, (0, i))
-            else:
-                split = self._last_merge(p)
-                if split:  # else no run of merges ends in this piece, so it is never output
-                    self.left[i], self.right[i] = split
-                    automaton.add_word(p, (1 - len(p), i))
+        #: the two symbols whose merge makes a token; None where no run of merges ends in it, so it is never output
+        self._halves: dict[int, tuple[int, int] | None] = {}
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for i in normal:
+            automaton.add_word(self.piece[i], i)
         automaton.make_automaton()
         self.automaton = automaton
+        self.length = [len(p) for p in self.piece]
         self.single = {p for p in self.id_of if len(p) == 1}
         self._pairs: dict[int, bool] = {}
+        self._old_pairs: dict[int, bool] = {}
         self._cache: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+        self._bytes = 0
+
+    def halves(self, token: int) -> tuple[int, int] | None:
+        """The last merge of a token of several characters, worked out when it is first met."""
+        if token not in self._halves:
+            self._halves[token] = self._last_merge(self.piece[token])
+        return self._halves[token]
 
     def _symbol(self, text: str) -> int:
         return self.id_of.get(text, self.size + ord(text[0]))
@@ -117,43 +126,47 @@ class PieceModel:
         """
         key = a * PAIR_STEP + b
         known = self._pairs.get(key)
-        if known is not None:
-            return known
-        bound, result = 1 << 60, True
-        id_of, rank = self.id_of, self.rank
-        x, y = a, b
+        if known is None:
+            known = self._old_pairs.get(key)
+            if known is None:
+                known = self._stand(a, b)
+            if len(self._pairs) >= PAIR_ENTRIES:
+                self._old_pairs, self._pairs = self._pairs, {}
+            self._pairs[key] = known
+        return known
+
+    def _stand(self, a: int, b: int) -> bool:
+        if b < self.size and self.rank[b] >= 0 and self.halves(b) is None:
+            return False
+        bound, x, y = 1 << 60, a, b
         while True:
-            joined = id_of.get(self._text(x) + self._text(y))
-            if joined is not None and rank[joined] < bound:
-                result = False
-                break
+            joined = self.id_of.get(self._text(x) + self._text(y))
+            if joined is not None and self.rank[joined] < bound:
+                return False
             rx, ry = self._rank(x), self._rank(y)
             if rx < 0 and ry < 0:
-                break
+                return True
             if rx > ry:
-                bound, x = rx, self.right[x]
+                bound, x = rx, self.halves(x)[1]
             else:
-                bound, y = ry + 1, self.left[y]
-        if len(self._pairs) >= PAIR_ENTRIES:
-            self._pairs.clear()
-        self._pairs[key] = result
-        return result
+                bound, y = ry + 1, self.halves(y)[0]
 
     def encode_segment(self, text: str) -> list[int]:
         """Ids of a segment that needs no context; characters without a piece become byte ids."""
         n = len(text)
         last = [-1] * (n + 1)
-        compatible, known = self.compatible, self._pairs.get
+        compatible, known, length = self.compatible, self._pairs.get, self.length
         if not self.single.issuperset(text):  # such a character is a symbol of its own
             for i, c in enumerate(text):
                 if c not in self.single:
                     last[i + 1] = -2 - ord(c)
-        for end, (back, token) in self.automaton.iter(text):
+        for end, token in self.automaton.iter(text):
             if last[end + 1] >= 0:
                 continue
-            start = end + back
+            start = end + 1 - length[token]
             if start == 0:
-                last[end + 1] = token
+                if end == 0 or self.halves(token) is not None:
+                    last[end + 1] = token
             else:
                 before = last[start]
                 if before < -1:
@@ -168,7 +181,7 @@ class PieceModel:
             token = last[at]
             if token >= 0:
                 ids.append(token)
-                at -= len(self.piece[token])
+                at -= length[token]
             else:
                 raw = chr(-2 - token).encode("utf-8", "surrogatepass")
                 ids.extend(self.byte_id.get(b, self.unknown) for b in reversed(raw)) if self.byte_id else ids.append(self.unknown)
@@ -177,8 +190,12 @@ class PieceModel:
         return ids
 
     def _missed(self, segment: str) -> bytes:
-        """Encode a segment that the cache does not hold, a run of closing marks apart."""
-        cache, parts, at = self._cache, [], 0
+        """Encode a segment that the young half of the cache does not hold, a run of closing marks apart."""
+        found = self._old.get(segment)
+        if found is not None:
+            self._keep(segment, found)
+            return found
+        parts, at = [], 0
         for cut in self.closing.finditer(segment):
             end = cut.end()
             parts.append(segment[at:end])
@@ -186,47 +203,59 @@ class PieceModel:
         parts.append(segment[at:])
         out = []
         for part in parts:
-            found = cache.get(part)
+            found = self._cache.get(part)
             if found is None:
-                found = array("i", self.encode_segment(part)).tobytes()
-                if len(part) <= CACHE_LENGTH:
-                    if len(cache) >= CACHE_ENTRIES:
-                        cache.clear()
-                    cache[part] = found
+                found = self._old.get(part)
+                if found is None:
+                    found = array("i", self.encode_segment(part)).tobytes()
+                self._keep(part, found)
             out.append(found)
         return out[0] if len(out) == 1 else b"".join(out)
 
+    def _keep(self, segment: str, ids: bytes) -> None:
+        if len(segment) <= CACHE_LENGTH:
+            self._bytes += ENTRY_BYTES + 2 * len(segment) + len(ids)
+            if self._bytes > CACHE_BYTES:
+                self._old, self._cache, self._bytes = self._cache, {}, 0
+            self._cache[segment] = ids
+
     def encode(self, text: str, add_eos: bool = True) -> np.ndarray:
         """Ids of a whole text, as int32."""
         out: list[bytes] = []
         if text:
-            cache = self._cache
-            for segment in self.segment.findall(MARK + text.replace(" ", MARK)):
-                found = cache.get(segment)
-                out.append(self._missed(segment) if found is None else found)
+            segments = self.segment.findall(MARK + text.replace(" ", MARK))
+            out = list(map(self._cache.get, segments))
+            if None in out:
+                out = [self._missed(s) if ids is None else ids for s, ids in zip(segments, out, strict=True)]
         if add_eos:
             out.append(np.int32(self.eos).tobytes())
         return np.frombuffer(b"".join(out), dtype=np.int32)
 
-    def decoder(self) -> list[bytes]:
-        """What each id adds to the decoded bytes; control ids add nothing."""
-        out = []
-        for i, p in enumerate(self.piece):
-            if i in self.byte_of:
-                out.append(bytes([self.byte_of[i]]))
-            elif i in self.control:
-                out.append(b"")
-            elif i == self.unknown:
-                out.append(" ⁇ ".encode())
-            else:
-                out.append(p.replace(MARK, " ").encode())
-        return out
 
-    def decode(self, ids: np.ndarray, table: list[bytes]) -> str:
-        text = b"".join([table[i] for i in ids.tolist()])
-        if text[:1] == b" ":
-            text = text[1:]
-        return text.decode("utf-8", "replace")
+def decoding_table(path: str) -> pa.Array:
+    """What each id of a model adds to the decoded bytes; control ids add nothing."""
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    out = []
+    for i in range(lib.get_piece_size()):
+        p = lib.id_to_piece(i)
+        if lib.is_byte(i):
+            out.append(bytes([int(p[3:5], 16)]))
+        elif lib.is_control(i):
+            out.append(b"")
+        elif lib.is_unknown(i):
+            out.append(" ⁇ ".encode())
+        else:
+            out.append(p.replace(MARK, " ").encode())
+    return pa.array(out, pa.binary())
+
+
+def decode_lists(lists: pa.Array, table: pa.Array) -> list[str]:
+    """The text of each list of ids: the pieces' bytes joined, without the blank in front; a null list is an empty text."""
+    joined = pc.binary_join(pa.ListArray.from_arrays(lists.offsets, table.take(lists.values)), b"").to_pylist()
+    valid = lists.is_valid().to_pylist()
+    return [raw[raw[:1] == b" " :].decode("utf-8", "replace") if ok else "" for raw, ok in zip(joined, valid, strict=True)]
 
 
 _loaded: dict[str, PieceModel] = {}
@@ -266,17 +295,10 @@ def decode(df: DataFrame, model_path: str, ids: str = "ids", text: str = "decode
     """Append the text that the ids stand for; a null list gives an empty text."""
 
     def make():
-        model = load(model_path)
-        table = model.decoder()
+        table = decoding_table(model_path)
 
         def step(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-            lists = column(batch, ids)
-            lists = lists.cast(pa.list_(pa.int32()))
-            flat = lists.values.to_numpy(zero_copy_only=False)
-            offsets = lists.offsets.to_numpy()
-            valid = lists.is_valid().to_pylist()
-            rows = [model.decode(flat[offsets[k] : offsets[k + 1]], table) if ok else "" for k, ok in enumerate(valid)]
-            return {text: pa.array(rows, type=pa.string())}
+            return {text: pa.array(decode_lists(column(batch, ids).cast(pa.list_(pa.int32())), table), type=pa.string())}
 
         return step
 

@@ -96,14 +96,24 @@ def test_line_dedup_is_native(spark):
 def test_pieces_equal_the_library():
     lib = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     model = pieces.PieceModel(MODEL)
-    table = model.decoder()
+    table = pieces.decoding_table(MODEL)
     random.seed(2)
     texts = [t for t in ODD if t is not None] + ["".join(random.choice("ab e\nthinrés▁.,1 -=_字\t<s>") for _ in range(random.randint(1, 90))) for _ in range(800)]
     texts += ["aaaa" * 500, "</s>[INST] <0x0A>", "word" * 3000]
     for t in texts:
         ids = lib.encode(t, add_eos=True)
         assert model.encode(t).tolist() == ids, t
-        assert model.decode(np.array(ids), table) == lib.decode(ids), t
+        assert pieces.decode_lists(pa.array([ids], pa.list_(pa.int32())), table) == [lib.decode(ids)], t
+
+
+def test_pieces_with_full_caches_and_a_long_text(monkeypatch):
+    monkeypatch.setattr(pieces, "CACHE_BYTES", 2000)
+    monkeypatch.setattr(pieces, "PAIR_ENTRIES", 20)
+    lib, model = sentencepiece.SentencePieceProcessor(model_file=MODEL), pieces.PieceModel(MODEL)
+    rng = random.Random(4)
+    for t in ["".join(rng.choice("abcdefghi  ") for _ in range(300)) for _ in range(60)] + ["lorem ipsum dolor " * 60_000]:
+        assert model.encode(t).tolist() == lib.encode(t, add_eos=True)
+    assert len(model._pairs) <= 20 and len(model._old_pairs) <= 20
 
 
 def test_piece_columns(spark):
@@ -132,7 +142,7 @@ def test_chat_round_trip(spark):
     got = {r.conv_id: r for r in chat.digests(examples).collect()}
     by = collections.defaultdict(list)
     for c, _, role, t in rows:
-        by[c].append((role or "", t or ""))
+        by[c].append((role or "", t or ""))  # one row has no id
     for c, turns in by.items():
         assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
         loss = "".join(t for r, t in turns if r == "assistant")
@@ -140,6 +150,33 @@ def test_chat_round_trip(spark):
     assert chat.digests(chat.format_examples(df.limit(0))).count() == 0
 
 
+def _written(turns):
+    """Format turns in plain Python, the template's rules written out again."""
+    esc = lambda t: re.sub(r"([\\<>\[])", r"\\\1", t)
+    form = {"user": ("<s>[INST] ", " [/INST]"), "assistant": (" ", " </s>")}
+    return "".join(a + esc(t) + b for r, t in turns for a, b in [form.get(r, (f"<<{esc(r)}>> ", " <</>>"))])
+
+
+def test_chat_escape_is_reversible():
+    rng = random.Random(12)
+    parts = ["<s>", "[INST]", " ", "[/INST]", "</s>", "<<", ">>", ">", "<", "[", "]", "/", "\\", "<</>>", "ok", "\n", "é", ""]
+    text = lambda: "".join(rng.choice(parts) for _ in range(rng.randint(0, 5)))
+    for _ in range(100_000):
+        turns = [(rng.choice(["user", "assistant", "system", text()]), text()) for _ in range(rng.randint(1, 3))]
+        assert chat.read_back(_written(turns)) == turns
+
+
+def test_chat_ends_with_signs(spark):
+    rows = [(k, n, role, t) for k, t in enumerate([">>>", "a >>>", "<", "[", "\\", " ", "[/INST", " </s>", "<</>>"]) for n, role in enumerate(["system", "user", "assistant"])]
+    rows += [(None, 0, "assistant", "x"), (None, 0, "assistant", "x"), (None, 1, "user", ">>>")]
+    df = frame(spark, rows, "conv_id long, turn long, role string, text string")
+    examples = chat.format_examples(df)
+    for r in examples.where("conv_id is not null").collect():
+        turns = [(role, t) for c, _, role, t in rows if c == r.conv_id]
+        assert r.example == _written(turns) and chat.read_back(r.example) == turns
+    assert [r.n_turns for r in chat.digests(examples).where("conv_id is null").collect()] == [1, 1, 1]
+
+
 # classifiers
 
 
