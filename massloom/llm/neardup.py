@@ -8,7 +8,7 @@ on a coordinate with the weighted Jaccard similarity of the texts.
 
 Equal texts form one node. Bands of the signature propose pairs of nodes, each pair
 is checked on its whole texts, and the links are joined to classes. A bucket of more than ``ALL_PAIRS`` nodes is not
-paired with itself: its nodes are first checked against a few leaders, drawn anew in each band. The nodes of
+paired with itself: its nodes are first checked against a few leaders, which the bands share. The nodes of
 large buckets that hold several classes then go through an exact join: a text's shingles are put in one
 order, rare ones first, and two similar texts share one that stands early in both. No pair of different classes in a large
 bucket is left out unless its sizes and the place of its first common shingle rule the similarity out.
@@ -31,6 +31,7 @@ from massloom.session import written
 WIDTH = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 5
+#: Buckets of more nodes go through leaders and the exact join instead of their pairs; both ways find the same links.
 ALL_PAIRS = 12
 #: Leaders of a large bucket for all of its nodes.
 FIRST_LEADERS = 2
@@ -168,7 +169,7 @@ def connected(links: DataFrame, name: str = "components") -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
@@ -178,9 +179,17 @@ def connected(links: DataFrame, name: str = "components") -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _draw(node: Column, k: int) -> Column:
+    """The place of a node in the ``k``-th order by hash."""
+    return F.xxhash64(node, F.lit(k))
+
+
 def _leaders(count: int) -> Column:
-    """``count`` nodes of a bucket drawn by hash, anew for each band, as an array of (h, node)."""
-    draws = (F.min(F.struct(F.xxhash64("node", "band", F.lit(-k)).alias("h"), "node")) for k in range(count))
+    """``count`` nodes of a bucket, the first of ``count`` orders by hash, as an array of (h, node).
+
+    The orders are the same in all bands, so the buckets of one group mostly share their leaders and a node meets each but once.
+    """
+    draws = (F.min(F.struct(_draw(F.col("node"), k).alias("h"), "node")) for k in range(count))
     return F.array(*draws).alias("leaders")
 
 
@@ -291,18 +300,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     small = members.where(F.col("n") <= ALL_PAIRS).groupBy("band", "hash").agg(F.sort_array(F.collect_list("node")).alias("all"))
     paired = small.select(F.explode("all").alias("x"), "all").select("x", F.explode(F.filter("all", lambda y: y > F.col("x"))).alias("y"))
     led = members.where(F.col("n") > ALL_PAIRS).select(F.explode("leaders").alias("l"), F.col("node").alias("y")).select(F.col("l.node").alias("x"), "y")
-    pairs = written(ordered(paired.unionByName(led)), "pairs")
     needed = members.select("node").distinct()
     texts = written(keyed.select("node", "text").join(needed, "node", "left_semi").dropDuplicates(["node"]), "texts")
-    links = written(_check(pairs, texts, similarity), "links")
-    roots = written(connected(links), "roots")
-    # what is still apart in large buckets
-    placed = members.where(F.col("n") > ALL_PAIRS).select("band", "hash", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    links = written(_check(ordered(paired.unionByName(led)), texts, similarity), "links")
+    # what is still apart in large buckets, first contracted by two steps: nodes linked with one leader are of one class
+    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    near = both.groupBy(F.col("u").alias("node")).agg(F.min(F.struct(_draw(F.col("v"), 0).alias("h"), "v")).alias("m"))
+    part = near.select("node", F.when(F.col("m.h") < _draw(F.col("node"), 0), F.col("m.v")).otherwise(F.col("node")).alias("root"))
+    seen = both.join(part.select(F.col("node").alias("v"), "root"), "v").groupBy(F.col("u").alias("node")).agg(F.min(F.struct(_draw(F.col("root"), 0).alias("h"), "root")).alias("m"))
+    part = seen.select("node", F.col("m.root").alias("root"))
+    placed = members.where(F.col("n") > ALL_PAIRS).select("band", "hash", "node").join(part, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("band", "hash").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("band", "hash")
     apart = written(placed.join(mixed, ["band", "hash"], "left_semi").select("node", "root").distinct().join(texts, "node"), "apart")
-    more = written(_check(written(candidates(apart, similarity), "pairs"), texts, similarity), "links")
-    if not more.isEmpty():
-        roots = written(connected(more.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))), "roots")
+    more = written(_check(candidates(apart, similarity), texts, similarity), "links")
+    roots = connected(links.unionByName(more), "roots")
     placed = signed.join(roots, "node", "left").select("id", "node", F.coalesce("root", "node").alias("root"), F.col("bands").isNull().alias("bare"))
     first = placed.where("not bare").groupBy("root").agg(F.min("id").alias("first"))
     named = placed.where("not bare and id is not null").join(first, "root").select(F.col("id").alias(doc_id), F.col("first").alias(out))
