@@ -37,6 +37,10 @@ ALL_PAIRS = 12
 FIRST_LEADERS = 2
 #: Counters that put shingles in order. Shingles may share one: that changes the order, not the pairs found.
 SLOTS = 1 << 22
+#: Words of 64 parity bits that tell texts apart before they are compared.
+PARITIES = 4
+#: Tokens before each one that are kept with it.
+BEFORE = 8
 _WORD = space_table()
 
 
@@ -242,11 +246,14 @@ def candidates(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     Two texts of x and y tokens are similar only if they share ``similarity / (1 + similarity) * (x + y)`` of them.
     With all tokens in one order, their first common token has the others behind it in both, so it stands early enough in both.
     The longer text offers the tokens that may be first with a text of ``similarity`` times its size, the shorter
-    one those that may be first with a text of its own size.
+    one those that may be first with a text of its own size. A text's parities, one bit for the number of its tokens in each
+    of ``64 * PARITIES`` bins, differ from another's in no more bits than there are tokens in one of the two alone.
+    A pair that has met by an earlier token need not meet again, so a token brings along the few before it.
     """
     spark = nodes.sparkSession
     levels = spark.sparkContext.broadcast(_levels(nodes))
     part = similarity / (1 + similarity)
+    bits = [f"odd{k}" for k in range(PARITIES)]
 
     def run(batches):
         for batch in batches:
@@ -256,14 +263,21 @@ def candidates(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
                 row, token = row[order], token[order]
                 size = np.bincount(row, minlength=n)
                 place = np.arange(len(row)) - (np.cumsum(size) - size)[row]
-                keep = size[row] - place >= similarity * size[row] - 1e-6
+                odd = np.zeros((n, 64 * PARITIES), dtype=np.uint8)
+                np.bitwise_xor.at(odd, (row, (mix(token) % U(64 * PARITIES)).astype(np.int64)), 1)
+                odd = np.packbits(odd, axis=1).view(np.int64)
+                keep = np.flatnonzero(size[row] - place >= similarity * size[row] - 1e-6)
+                before = np.minimum(place[keep], BEFORE)
+                ends = np.concatenate([[0], np.cumsum(before)])
+                earlier = token[np.repeat(keep - before - ends[:-1], before) + np.arange(ends[-1])]
+                earlier = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(earlier.view(np.int64)))
                 row, token, place = row[keep], token[keep], place[keep]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(token.view(np.int64)), pa.array(node[first + row]), pa.array(root[first + row]), pa.array(size[row].astype(np.int32)), pa.array((size[row] - place).astype(np.int32))],
-                    names=["token", "node", "root", "size", "rest"],
+                    [pa.array(token.view(np.int64)), pa.array(node[first + row]), pa.array(root[first + row]), pa.array(size[row].astype(np.int32)), pa.array((size[row] - place).astype(np.int32)), earlier, *(pa.array(odd[row, k]) for k in range(PARITIES))],
+                    names=["token", "node", "root", "size", "rest", "earlier", *bits],
                 )
 
-    early = written(nodes.select("node", "root", "text").mapInArrow(run, "token long, node long, root long, size int, rest int"), "early")
+    early = written(nodes.select("node", "root", "text").mapInArrow(run, "token long, node long, root long, size int, rest int, earlier array<long>, " + ", ".join(f"{b} long" for b in bits)), "early")
     # tokens of one class make no pair, nor do two nodes of a token's largest class
     classes = early.groupBy("token", "root").agg(F.count("*").alias("n")).groupBy("token").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("c")).where("c > 1")
     step = F.floor(F.log("size") / -math.log(similarity)).cast("int")
@@ -273,8 +287,11 @@ def candidates(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     x = x.withColumn("step", F.explode(F.sequence(F.col("step") - 2, F.col("step"))))
     y = tagged.where(F.col("rest") >= 2 * part * F.col("size") - 1e-6)
     y = y.withColumn("side", F.explode(F.when(F.col("main"), F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(2)))))
-    x, y = (d.select("token", "side", "step", *(F.col(c).alias(a + c) for c in ("node", "root", "size", "rest"))) for d, a in ((x, "x"), (y, "y")))
+    x, y = (d.select("token", "side", "step", *(F.col(c).alias(a + c) for c in ("node", "root", "size", "rest", "earlier", *bits))) for d, a in ((x, "x"), (y, "y")))
     fits = (F.col("xroot") != F.col("yroot")) & (F.col("xsize") >= F.col("ysize")) & (F.least("xrest", "yrest") >= part * (F.col("xsize") + F.col("ysize")) - 1e-6)
+    apart = sum((F.bit_count(F.col(f"x{b}").bitwiseXOR(F.col(f"y{b}"))) for b in bits), F.lit(0))
+    fits &= apart <= (1 - 2 * part) * (F.col("xsize") + F.col("ysize")) + 1e-6
+    fits &= ~F.arrays_overlap("xearlier", "yearlier")
     found = x.join(y, ["token", "side", "step"]).where(fits)
     return found.select(F.least("xnode", "ynode").alias("u"), F.greatest("xnode", "ynode").alias("v")).distinct()
 
@@ -315,7 +332,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     more = written(_check(candidates(apart, similarity), texts, similarity), "links")
     roots = connected(links.unionByName(more), "roots")
     placed = signed.join(roots, "node", "left").select("id", "node", F.coalesce("root", "node").alias("root"), F.col("bands").isNull().alias("bare"))
-    first = placed.where("not bare").groupBy("root").agg(F.min("id").alias("first"))
+    # written, so that Spark may split a very large class in the join
+    first = written(placed.where("not bare").groupBy("root").agg(F.min("id").alias("first")), "first")
     named = placed.where("not bare and id is not null").join(first, "root").select(F.col("id").alias(doc_id), F.col("first").alias(out))
     alone = placed.where("bare or id is null").select(F.col("id").alias(doc_id), F.col("id").alias(out))
     return named.unionByName(alone)
