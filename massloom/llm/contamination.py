@@ -8,7 +8,8 @@ windows are searched backwards at once, occurrences are located by stepping to t
 sample, and the hit words of a document are merged to spans.
 
 Nothing is shuffled: a document lies in one shard, and the windows go to every task.
-Their size is checked first; a larger benchmark is searched in blocks of items.
+The benchmark's size is summed first. A larger one is dealt to blocks by hash, and each block
+is one pass over the documents whose rows are written before the next; the driver and the tasks hold one block at a time.
 """
 
 from __future__ import annotations
@@ -18,11 +19,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from massloom.llm.arrow import column, without
+from massloom.session import written
 
-#: Most bytes of benchmark text that one broadcast holds; more text is searched in blocks of this size.
+#: Bytes of benchmark text that one pass takes, on average over the passes; an item is never split.
 BLOCK_BYTES = 16 << 20
 #: Indexed words after which a shard is closed.
 SHARD_WORDS = 1 << 19
@@ -266,20 +269,6 @@ def _merge(first: list[list[int]], more: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def blocks(benchmark: DataFrame, item: str, text: str, limit: int) -> list[list[tuple[str, bytes]]]:
-    """The benchmark's rows in blocks of at most ``limit`` bytes of text (a longer item alone)."""
-    out: list[list[tuple[str, bytes]]] = []
-    room = 0
-    for row in benchmark.selectExpr(f"cast(`{item}` as string) i", f"`{text}` t").where("t is not null").toLocalIterator():
-        raw = row.t.encode()
-        if not out or len(raw) > room:
-            out.append([])
-            room = limit
-        out[-1].append((row.i if row.i is not None else "", raw))
-        room -= len(raw)
-    return out
-
-
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", size: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Append ``n_words``, ``hit_spans`` (word ranges [from, to)) and ``hit_items`` to each document.
 
@@ -295,34 +284,52 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
         T.StructField("hit_items", T.ArrayType(T.StringType())),
     ]
     docs = without(docs, [f.name for f in fields])
-    shared = [spark.sparkContext.broadcast(Windows.of(rows, size)) for rows in blocks(benchmark, item, item_text, block_bytes) or [[]]]
+    names = docs.columns
     schema = T.StructType([*docs.schema.fields, *fields])
-
-    def finish(batches: list[pa.RecordBatch], shards: list[Shard]) -> pa.RecordBatch:
-        rows = shards[0].results()
-        for more in shards[1:]:
-            rows = [(n, _merge(s, s2), i + i2) for (n, s, i), (_, s2, i2) in zip(rows, more.results(), strict=True)]
+    items = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("i"), F.col(item_text).alias("t")).where("t is not null")
+    total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    passes = max(1, -(-total // block_bytes))
+    found = docs
+    for k in range(passes):
+        block = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == k) if passes > 1 else items
+        # about block_bytes, as the hash deals them
+        windows = Windows.of([(r.i, r.t.encode()) for r in block.collect()], size)
+        shared = spark.sparkContext.broadcast(windows)
+        found = found.mapInArrow(_pass(shared, text, names, k > 0), schema)
+        if passes > 1:
+            found = written(found, "contamination")
+            shared.destroy()
+    return found
+
+
+def _pass(shared, text: str, names: list[str], more: bool):
+    """Search one block of windows; ``more`` joins what is found to what earlier passes found."""
+
+    def finish(batches: list[pa.RecordBatch], shard: Shard) -> pa.RecordBatch:
+        rows = shard.results()
         whole = pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+        if more:
+            old = zip(column(whole, "hit_spans").to_pylist(), column(whole, "hit_items").to_pylist(), strict=True)
+            rows = [(n, _merge(s, s2), i2 + [x for x in i if x not in i2]) for (n, s, i), (s2, i2) in zip(rows, old, strict=True)]
         made = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.list_(pa.int64()))), pa.array([r[2] for r in rows], pa.list_(pa.string()))]
-        return pa.RecordBatch.from_arrays([*whole.columns, *made], names=[*whole.schema.names, *(f.name for f in fields)])
+        return pa.RecordBatch.from_arrays([*(column(whole, c) for c in names), *made], names=[*names, "n_words", "hit_spans", "hit_items"])
 
     def run(batches):
         held: list[pa.RecordBatch] = []
-        shards = [Shard(b.value) for b in shared]
+        shard = Shard(shared.value)
         for batch in batches:
             if not batch.num_rows:
                 continue
             held.append(batch)
             for t in column(batch, text).cast(pa.binary()).to_pylist():
-                for shard in shards:
-                    shard.add(t)
-            if sum(s.words for s in shards) >= SHARD_WORDS or sum(b.nbytes for b in held) > 48 << 20:
-                yield finish(held, shards)
-                held, shards = [], [Shard(b.value) for b in shared]
+                shard.add(t)
+            if shard.words >= SHARD_WORDS or sum(b.nbytes for b in held) > 48 << 20:
+                yield finish(held, shard)
+                held, shard = [], Shard(shared.value)
         if held:
-            yield finish(held, shards)
+            yield finish(held, shard)
 
-    return docs.mapInArrow(run, schema)
+    return run
 
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
