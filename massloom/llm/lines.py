@@ -2,7 +2,8 @@
 
 DataFrame expressions only. A page's distinct lines become 128-bit fingerprints, so
 the count per (host, line) shuffles a few bytes a line and is combined before the
-shuffle; a common line or a large host is no hot key. The list of a host's boilerplate
+shuffle; a common line or a large host is no hot key. Lines are told apart by these 128 bits, their bytes are not compared
+again. The list of a host's boilerplate
 lines is bounded by (lines of a mean page) / ratio. It is written first, so that
 Spark broadcasts it only where its measured size allows and otherwise joins by host with splitting of skewed
 partitions.
@@ -17,7 +18,8 @@ from massloom.llm.arrow import without
 from massloom.session import written
 
 RATIO = 0.1
-MIN_PAGES = 10
+#: A line of a single page is no boilerplate, whatever share of its host that page is.
+MIN_PAGES = 2
 
 
 def _mark(line: Column) -> Column:
@@ -38,17 +40,20 @@ def boilerplate_lines(pages: DataFrame, text: str, host: str, ratio: float = RAT
 def drop_boilerplate(pages: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """Replace ``text`` by its kept lines and append ``n_lines`` and ``n_dropped``.
 
-    Lines are compared byte for byte; empty lines always stay. A null text stays null (with
+    Lines are equal if their fingerprints are; empty lines always stay. A null text stays null (with
     0 lines), a null host counts as the empty host, repeated rows are pages of their
     own. Input columns named like the new ones are replaced.
     """
-    pages = without(pages, ["n_lines", "n_dropped", "__site", "__marks", "__lines", "__kept"])
+    pages = without(pages, ["n_lines", "n_dropped", "__site", "__marks", "__lines", "__near", "__kept"])
     names = pages.columns
     lists = written(boilerplate_lines(pages, text, host, ratio, min_pages), "boilerplate").select(F.col("site").alias("__site"), F.col("marks").alias("__marks"))
     joined = pages.withColumn("__site", F.coalesce(F.col(host).cast("string"), F.lit(""))).join(lists, "__site", "left")
     split = joined.withColumn("__lines", F.split(text, "\n"))
-    kept = F.when(F.col("__marks").isNull(), F.col("__lines")).otherwise(F.filter("__lines", lambda x: (x == "") | ~F.array_contains(F.col("__marks"), _mark(x))))
-    out = split.withColumn("__kept", kept)
+    # the host's marks that this page may hold, by one half of the mark (a hash set); most pages have few or none
+    near = F.array_intersect(F.transform("__lines", lambda x: F.xxhash64(x)), F.transform("__marks", lambda m: m["a"]))
+    split = split.withColumn("__near", F.when(F.col("__marks").isNull(), F.array().cast("array<bigint>")).otherwise(near))
+    drop = lambda x: (x != "") & F.array_contains("__near", F.xxhash64(x)) & F.array_contains("__marks", _mark(x))
+    out = split.withColumn("__kept", F.when(F.size("__near") == 0, F.col("__lines")).otherwise(F.filter("__lines", lambda x: ~drop(x))))
     return out.select(
         *(F.array_join("__kept", "\n").alias(text) if c == text else F.col(f"`{c}`") for c in names),
         F.coalesce(F.size("__lines"), F.lit(0)).cast("long").alias("n_lines"),
