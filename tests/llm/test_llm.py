@@ -76,10 +76,11 @@ def test_topk_few_and_none(spark):
 
 
 def test_line_dedup(spark):
-    rows = [(i, f"menu\nown {i}\n\nmenu", "big") for i in range(30)] + [(100, "menu\nx", "small"), (101, None, "big"), (102, "menu", None), (103, "", "big")]
+    rows = [(i, f"menu\nown {i}\n\nmenu", "big") for i in range(30)] + [(200, "foot\ny", "tiny"), (201, "foot\nz", "tiny"), (202, "w" * 3_000_000, "tiny"), (100, "menu\nx", "small"), (101, None, "big"), (102, "menu", None), (103, "", "big")]
     df = frame(spark, rows, "doc_id long, text string, source string").withColumn("N_LINES", F.lit("clash"))
     got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in lines.drop_boilerplate(df).collect()}
     assert got[3] == ("own 3\n", 4, 2) and got[100] == ("menu\nx", 2, 0) and got[102] == ("menu", 1, 0)
+    assert got[200] == ("y", 2, 1) and got[201] == ("z", 2, 1) and got[202] == ("w" * 3_000_000, 1, 0)  # a host of few pages
     assert got[101] == (None, 0, 0) and got[103] == ("", 1, 0) and len(got) == len(rows)
     assert lines.drop_boilerplate(df.limit(0)).count() == 0
 
@@ -207,6 +208,58 @@ def test_toxicity_learns_and_takes_odd_texts(spark):
     assert toxicity.score(docs, alone).agg(F.max("score")).first()[0] == 0
 
 
+def test_convolution_and_gradient_match_loops():
+    rng = np.random.default_rng(4)
+    model = toxicity.ConvModel()
+    model.start()
+    model.bias += np.float32(0.1)  # off the corner of the hinge
+    whole = [rng.integers(0, 50, n).astype(np.int32) for n in (0, 1, 2, 7, 12)]
+    stem = [rng.integers(0, 50, len(w)).astype(np.int32) for w in whole]
+    y = np.array([0.0, 1, 0, 1, 1])
+
+    def logit(i):
+        top = []
+        for w, f in zip(toxicity.WIDTHS, model.filt):
+            for k in range(model.filters):
+                at = [sum(float((model.emb[0][whole[i][p + j]] + model.emb[1][stem[i][p + j]]) @ f[j, :, k]) for j in range(w)) for p in range(len(whole[i]) - w + 1)]
+                top.append(max(at, default=0.0))
+        return float(np.maximum(np.array(top) + model.bias, 0) @ model.out + model.out_bias)
+
+    def loss():
+        p = [1 / (1 + math.exp(-logit(i))) for i in range(len(y))]
+        return -sum(math.log(q if t else 1 - q) for q, t in zip(p, y)) / len(y)
+
+    model.fold()
+    bounds = np.concatenate([[0], np.cumsum([len(w) for w in whole])])
+    assert np.allclose(model.logits(np.concatenate(whole), np.concatenate(stem), bounds), [logit(i) for i in range(len(y))], atol=1e-5)
+    slots = [(model.out, (1,)), (model.bias, (2,)), (model.filt[1], (1, 3, 2)), (model.emb, (0, int(whole[4][3]), 2)), (model.emb, (1, int(stem[3][2]), 5))]
+    slopes, before = [], [float(a[k]) for a, k in slots]
+    for a, k in slots:
+        old = a[k]
+        a[k] = old + 1e-3
+        up = loss()
+        a[k] = old - 1e-3
+        slopes.append((up - loss()) / 2e-3)
+        a[k] = old
+    model.train(whole, stem, y, rng, batch=len(y), rate=0.4)
+    moved = np.array([float(a[k]) - b for (a, k), b in zip(slots, before)])
+    g = np.array(slopes)
+    assert np.allclose(moved, -0.4 * g / np.sqrt(1e-2 + g**2), atol=4e-3)
+
+
+def test_ordered_share():
+    z, y = np.array([0.1, 0.5, 0.5, 0.9]), np.array([0, 0, 1, 1])
+    assert toxicity.ordered_share(z, y) == 3.5 / 4 and toxicity.ordered_share(z, y * 0) == 0
+
+
+def test_toxicity_sample_is_bounded(spark):
+    rows = _toxic_rows(200, seed=5)
+    docs = frame(spark, [r[:3] for r in rows] + [(3, "another text", "en"), (4, "long " * 400_000, "en"), (5, None, None)], "doc_id long, text string, lang string")
+    labels = frame(spark, [(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, max_rows=150, max_bytes=60_000)
+    assert toxicity.score(docs.limit(0), model).count() == 0 and toxicity.score(docs, model).count() == docs.count()
+
+
 def test_quality_learns_and_takes_odd_texts(spark):
     rng = random.Random(3)
     rows = []
@@ -231,17 +284,23 @@ def test_isotonic_regression():
 
 
 def test_warc_round_trip(spark, tmp_path):
-    same = "<p>\r\n\r\nWARC/1.1\r\n</p>"
-    rows = [(1, "http://a/", same), (2, "b\r\nx: y", same), (3, None, same), (4, "d", None), (5, "e", ""), (6, "f", "é"), (6, "f", "é"), (None, "g", "z")]
+    same, large = "<p>\r\n\r\nWARC/1.1\r\n</p>", "é" * 1_500_000
+    rows = [(1, "http://a/", same), (2, "b\r\nx: y", same), (3, None, same), (4, "d", None), (5, "e", ""), (6, "f", "é"), (6, "f", "é"), (None, "g", "z"), (None, "g", "z"), (None, "h", same), (7, "i", large), (6, "j", "zz")]
     df = frame(spark, rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
     warc.archive(df, str(tmp_path / "a"))
     warc.deduplicate(spark, str(tmp_path / "a"), str(tmp_path / "b"))
-    got = sorted((r.key, r.n_bytes, r.digest, r.kind, r.refers_to) for r in warc.read_archive(spark, str(tmp_path / "b")).collect())
+    got = [(r.key, r.n_bytes, r.digest, r.kind, r.refers_to) for r in warc.read_archive(spark, str(tmp_path / "b")).collect()]
     text = {1: same, 2: same, 3: same, 4: "", 5: "", 6: "é"}
     dig = {k: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode() for k, t in text.items()}
     last = {same: 3, "": 5, "é": 6}
-    want = sorted((k, len(text[k].encode()), dig[k], "response" if last[text[k]] == k else "revisit", None if last[text[k]] == k else last[text[k]]) for k in (1, 2, 3, 4, 5, 6, 6))
-    assert [tuple(map(str, g)) for g in got] == [tuple(map(str, w)) for w in want]
+    want = [(k, len(text[k].encode()), dig[k], "response" if last[text[k]] == k else "revisit", None if last[text[k]] == k else last[text[k]]) for k in (1, 2, 3, 4, 5, 6, 6)]
+    z = base64.b32encode(hashlib.sha1(b"z").digest()).decode()
+    want += [(None, 1, z, "response", None), (None, 1, z, "response", None), (None, len(same), dig[1], "revisit", 3), (7, 3_000_000, base64.b32encode(hashlib.sha1(large.encode()).digest()).decode(), "response", None), (6, 2, base64.b32encode(hashlib.sha1(b"zz").digest()).decode(), "response", None)]
+    assert sorted(tuple(map(str, g)) for g in got) == sorted(tuple(map(str, w)) for w in want)
+    assert len({r.record for r in warc.read_archive(spark, str(tmp_path / "b")).collect()}) == len(rows)
+    warc.archive(df.limit(0), str(tmp_path / "c"))
+    warc.deduplicate(spark, str(tmp_path / "c"), str(tmp_path / "d"))
+    assert warc.read_archive(spark, str(tmp_path / "d")).count() == 0
     payload = {r.key: r.payload for r in warc.read_archive(spark, str(tmp_path / "a")).collect()}
     assert bytes(payload[1]) == same.encode() and bytes(payload[4]) == b""
 
