@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -31,9 +33,21 @@ def add_columns(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dic
         for batch in batches:
             made = step(batch)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(made[n] for n in names)], names=[*batch.schema.names, *names])
+        del step
+        release()
 
     return df.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Give free memory back to the system at a task's end; workers wait for their next task with what they hold."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))

@@ -32,7 +32,7 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """``base**0 .. base**(n-1)`` mod 2**64, kept for the next batch up to 4M entries."""
+    """``base**0 .. base**(n-1)`` mod 2**64, kept for the next batch up to 1M entries."""
     found = _powers.get(base)
     if found is None or len(found) < n:
         size = max(n, 1 << 20)
@@ -42,7 +42,7 @@ def powers(base: int, n: int) -> np.ndarray:
             step = min(done, size - done)
             found[done : done + step] = found[:step] * U(pow(base, done, 1 << 64))
             done += step
-        if size <= 1 << 22:
+        if size <= 1 << 20:
             _powers[base] = found
     return found[:n]
 

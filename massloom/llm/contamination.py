@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from massloom.llm.arrow import column, without
+from massloom.llm.arrow import column, release, without
 from massloom.session import written
 
 #: Bytes of benchmark text that one pass takes, on average over the passes; an item is never split.
@@ -328,6 +328,8 @@ def _pass(shared, text: str, names: list[str], more: bool):
                 held, shard = [], Shard(shared.value)
         if held:
             yield finish(held, shard)
+        del held, shard
+        release()
 
     return run
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from massloom.llm.arrow import add_columns, column, without
+from massloom.llm.arrow import add_columns, column, release, without
 from massloom.llm.bytehash import U, mix, prefix, slices, space_table, span_hash, words
 from massloom.session import written
 
@@ -205,6 +205,7 @@ def _check(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
             if batch.num_rows:
                 ok = similarities(column(batch, "a"), column(batch, "b")) >= similarity - 1e-12
                 yield pa.RecordBatch.from_arrays([column(batch, "u").filter(pa.array(ok)), column(batch, "v").filter(pa.array(ok))], names=["u", "v"])
+        release()
 
     one = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
     two = one.join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")

@@ -28,7 +28,7 @@ from massloom.llm.arrow import add_columns, column
 
 MARK = "▁"
 #: Bytes of each half of a worker's cache of segments, and entries of each half of its cache of pairs.
-CACHE_BYTES = 16 << 20
+CACHE_BYTES = 24 << 20
 PAIR_ENTRIES = 120_000
 #: Longer segments are not kept.
 CACHE_LENGTH = 48
@@ -76,11 +76,18 @@ class PieceModel:
         #: identity normaliser only: the tables below know nothing of a character map
         if lib.normalize("ﬁ Å") != f"{MARK}ﬁ{MARK}Å":
             raise ValueError("the model normalises characters; only identity normalisation is supported")
-        #: the two symbols whose merge makes a token; None where no run of merges ends in it, so it is never output
-        self._halves: dict[int, tuple[int, int] | None] = {}
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        #: the two symbols whose merge makes a token
+        self.left, self.right = array("i", bytes(4 * size)), array("i", bytes(4 * size))
+        automaton = ahocorasick.Automaton()
         for i in normal:
-            automaton.add_word(self.piece[i], i)
+            p = self.piece[i]
+            if len(p) == 1:
+                automaton.add_word(p, (0, i))
+            else:
+                split = self._last_merge(p)
+                if split:  # else no run of merges ends in this piece, so it is never output
+                    self.left[i], self.right[i] = split
+                    automaton.add_word(p, (1 - len(p), i))
         automaton.make_automaton()
         self.automaton = automaton
         self.length = [len(p) for p in self.piece]
@@ -91,12 +98,6 @@ class PieceModel:
         self._old: dict[str, bytes] = {}
         self._bytes = 0
 
-    def halves(self, token: int) -> tuple[int, int] | None:
-        """The last merge of a token of several characters, worked out when it is first met."""
-        if token not in self._halves:
-            self._halves[token] = self._last_merge(self.piece[token])
-        return self._halves[token]
-
     def _symbol(self, text: str) -> int:
         return self.id_of.get(text, self.size + ord(text[0]))
 
@@ -136,8 +137,6 @@ class PieceModel:
         return known
 
     def _stand(self, a: int, b: int) -> bool:
-        if b < self.size and self.rank[b] >= 0 and self.halves(b) is None:
-            return False
         bound, x, y = 1 << 60, a, b
         while True:
             joined = self.id_of.get(self._text(x) + self._text(y))
@@ -147,30 +146,29 @@ class PieceModel:
             if rx < 0 and ry < 0:
                 return True
             if rx > ry:
-                bound, x = rx, self.halves(x)[1]
+                bound, x = rx, self.right[x]
             else:
-                bound, y = ry + 1, self.halves(y)[0]
+                bound, y = ry + 1, self.left[y]
 
     def encode_segment(self, text: str) -> list[int]:
         """Ids of a segment that needs no context; characters without a piece become byte ids."""
         n = len(text)
         last = [-1] * (n + 1)
-        compatible, known, length = self.compatible, self._pairs.get, self.length
+        compatible, known, length, size = self.compatible, self._pairs.get, self.length, self.size
         if not self.single.issuperset(text):  # such a character is a symbol of its own
             for i, c in enumerate(text):
                 if c not in self.single:
                     last[i + 1] = -2 - ord(c)
-        for end, token in self.automaton.iter(text):
+        for end, (back, token) in self.automaton.iter(text):
             if last[end + 1] >= 0:
                 continue
-            start = end + 1 - length[token]
+            start = end + back
             if start == 0:
-                if end == 0 or self.halves(token) is not None:
-                    last[end + 1] = token
+                last[end + 1] = token
             else:
                 before = last[start]
                 if before < -1:
-                    before = self.size - 2 - before
+                    before = size - 2 - before
                 if before >= 0:
                     fits = known(before * PAIR_STEP + token)
                     if fits or (fits is None and compatible(before, token)):
@@ -195,6 +193,10 @@ class PieceModel:
         if found is not None:
             self._keep(segment, found)
             return found
+        if segment[1:].isalnum():  # a plain word, the most frequent case
+            found = array("i", self.encode_segment(segment)).tobytes()
+            self._keep(segment, found)
+            return found
         parts, at = [], 0
         for cut in self.closing.finditer(segment):
             end = cut.end()
@@ -269,6 +271,29 @@ def load(path: str) -> PieceModel:
     return _loaded[path]
 
 
+def round_trip(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``encode`` and ``decode`` in one pass over the rows."""
+
+    def make():
+        model, table = load(model_path), decoding_table(model_path)
+
+        def step(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+            lists = encoded(model, column(batch, text), True)
+            return {ids: lists, decoded: pa.array(decode_lists(lists, table), type=pa.string())}
+
+        return step
+
+    return add_columns(df, make, [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())])
+
+
+def encoded(model: PieceModel, texts: pa.Array, add_eos: bool) -> pa.Array:
+    rows = [model.encode(t or "", add_eos) for t in texts.to_pylist()]
+    offsets = np.zeros(len(rows) + 1, dtype=np.int32)
+    np.cumsum([len(r) for r in rows], out=offsets[1:])
+    flat = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, type=pa.int32()))
+
+
 def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids", add_eos: bool = True) -> DataFrame:
     """Append the token ids of every whole text.
 
@@ -280,11 +305,7 @@ def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids",
         model = load(model_path)
 
         def step(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-            rows = [model.encode(t or "", add_eos) for t in column(batch, text).to_pylist()]
-            offsets = np.zeros(len(rows) + 1, dtype=np.int32)
-            np.cumsum([len(r) for r in rows], out=offsets[1:])
-            flat = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int32)
-            return {ids: pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, type=pa.int32()))}
+            return {ids: encoded(model, column(batch, text), add_eos)}
 
         return step
 

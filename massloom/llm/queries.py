@@ -26,8 +26,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = pieces.encode(docs, PIECE_MODEL).drop("text")
-    out = pieces.decode(ids, PIECE_MODEL)
+    out = pieces.round_trip(docs, PIECE_MODEL)
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
