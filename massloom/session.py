@@ -24,6 +24,17 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+#: Bytes of the batches that Python workers get; a longer row makes a batch of its own.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by ``BATCH_BYTES``, so that rows of long texts fill neither the JVM's buffers nor the workers."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name, str(1 << 62)).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
     return f"{shared_dir(spark)}/massloom/{name}-{uuid.uuid4().hex}"
@@ -42,4 +53,5 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables below ``sf_dir``."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
