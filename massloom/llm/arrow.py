@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from massloom.session import bounded_batches
+
 
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """``df`` without columns of these names, whatever their case; the operator's own column replaces them."""
@@ -24,6 +26,7 @@ def add_columns(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dic
     ``make`` runs once in each task and returns the function of a batch, so that
     models and caches are loaded once per task. Columns of clashing names are replaced.
     """
+    bounded_batches(df.sparkSession)
     names = [f.name for f in fields]
     df = without(df, names)
     schema = T.StructType([*df.schema.fields, *fields])
