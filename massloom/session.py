@@ -31,7 +31,7 @@ BATCH_BYTES = 4 << 20
 def bounded_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by ``BATCH_BYTES``, so that rows of long texts fill neither the JVM's buffers nor the workers."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(name, str(1 << 62)).rstrip("b")) > BATCH_BYTES:
+    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
