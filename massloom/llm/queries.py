@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massloom.llm import chat, contamination, lines, neardup, pieces, quality, substrings, topk, toxicity, warc
+from massloom.llm import chat, contamination, lines, neardup, oracles, pieces, quality, substrings, topk, toxicity, warc
 from massloom.session import new_path, table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -113,4 +113,9 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 ORACLE: dict[str, str] = {
     "op1_topk_search": _OP1,
     "op2_line_dedup": lines.oracle(),
+    "op4_chat_format": oracles.CHAT,
+    "op7_warc": oracles.WARC,
+    "op8_substring_dedup": oracles.SUBSTRINGS,
+    "op9_neardup": oracles.NEAR,
+    "op10_decontamination": oracles.LEAKS,
 }
