@@ -1,7 +1,8 @@
 """Registered queries over the driver's tables and the SQL that must agree with them.
 
 The tables stand in for the domain's: ``lineitem`` rows are matches (order = spectrum,
-part = peptide, supplier = protein, price = score, return flag R = decoy), ``orders`` are mass
+part = peptide, supplier = protein, price = score, return flag R = decoy; for spectral counts the order is the peptide, since many
+orders have one supplier only), ``orders`` are mass
 windows and ``events`` are scans in time. Every query runs over its whole tables.
 """
 
@@ -137,13 +138,13 @@ def fdr_counts(spark, sf_dir):
 
 
 def _spectral(spark, sf_dir):
-    rows = _lines(spark, sf_dir).where("l_quantity <= 1").select(F.col("l_partkey").alias("peptide"), F.col("l_suppkey").alias("protein"), F.col("l_extendedprice").alias("intensity"))
+    rows = _lines(spark, sf_dir).select(F.col("l_orderkey").alias("peptide"), F.col("l_suppkey").alias("protein"), F.col("l_extendedprice").alias("intensity"))
     suppliers = table(spark, sf_dir, "supplier")
     lengths = suppliers.select(F.col("s_suppkey").alias("protein"), (F.length("s_name") + F.col("s_nationkey") + 1).alias("length"))
     return counting.peptide_scores(rows), rows.select("peptide", "protein").distinct(), lengths, rows
 
 
-_SPEC = """x AS (SELECT l_partkey AS peptide, l_suppkey AS protein, l_extendedprice AS intensity FROM lineitem WHERE l_quantity <= 1),
+_SPEC = """x AS (SELECT l_orderkey AS peptide, l_suppkey AS protein, l_extendedprice AS intensity FROM lineitem),
 sc AS (SELECT peptide, CAST(count(*) AS DOUBLE) AS s, sum(intensity) AS si FROM x GROUP BY 1), pr AS (SELECT DISTINCT peptide, protein FROM x),
 ln AS (SELECT s_suppkey AS protein, length(s_name) + s_nationkey + 1 AS len FROM supplier),
 rw AS (SELECT protein, sum(s) AS s, sum(si) AS si FROM sc JOIN pr USING (peptide) GROUP BY protein)"""
@@ -172,12 +173,12 @@ def dnsaf(spark, sf_dir):
     return counting.dnsaf(scores, pairs, lengths).withColumn("score", F.round("score", 9))
 
 
-@query(f"""WITH {_SPEC}, ps AS (SELECT l_suppkey AS protein, count(DISTINCT l_partkey) AS p FROM lineitem GROUP BY 1),
+@query(f"""WITH {_SPEC}, ps AS (SELECT l_suppkey AS protein, count(*) AS p FROM lineitem GROUP BY 1),
 y AS (SELECT protein, power(10.0, CAST(count(*) AS DOUBLE) / p) - 1 AS v FROM pr JOIN ps USING (protein) GROUP BY protein, p)
 SELECT protein, round(v / (SELECT sum(v) FROM y), 9) AS score FROM y""")
 def empai(spark, sf_dir):
     _, pairs, _, _ = _spectral(spark, sf_dir)
-    possible = _lines(spark, sf_dir).groupBy(F.col("l_suppkey").alias("protein")).agg(F.count_distinct("l_partkey").alias("possible"))
+    possible = _lines(spark, sf_dir).groupBy(F.col("l_suppkey").alias("protein")).agg(F.count("*").alias("possible"))
     return counting.empai(pairs, possible).withColumn("score", F.round("score", 9))
 
 
@@ -187,11 +188,11 @@ def sin(spark, sf_dir):
     return counting.sin(counting.peptide_scores(rows, weight="intensity"), pairs, lengths).withColumn("score", F.round("score", 9))
 
 
-@query(f"WITH {_SPEC} SELECT peptide, round(s / (SELECT sum(s) FROM sc) / (length(p_name) + 1), 9) AS score FROM sc JOIN part ON peptide = p_partkey")
+@query(f"WITH {_SPEC} SELECT peptide, round(s / (SELECT sum(s) FROM sc) / (length(o_orderpriority) + 1), 9) AS score FROM sc JOIN orders ON peptide = o_orderkey")
 def peptide_normalised(spark, sf_dir):
     scores, _, _, _ = _spectral(spark, sf_dir)
-    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("peptide"), (F.length("p_name") + 1).alias("length"))
-    return counting.normalise_peptides(scores.join(parts, "peptide"), F.col("length")).withColumn("score", F.round("score", 9))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("peptide"), (F.length("o_orderpriority") + 1).alias("length"))
+    return counting.normalise_peptides(scores.join(orders, "peptide"), F.col("length")).withColumn("score", F.round("score", 9))
 
 
 @query(f"WITH {_SPEC}, k AS (SELECT peptide, count(*) AS n FROM pr GROUP BY 1) SELECT pr.peptide, pr.protein FROM pr JOIN k USING (peptide) WHERE n = 1")
