@@ -11,12 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see, named by ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests on one machine) is a folder made here.
+    Only where the setting is absent and Spark runs in one process (tests) is a folder made here; on a cluster its absence is an error.
     """
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
     made = getattr(spark.sparkContext, "_massloom_shared", None)
     if made is None:
         made = tempfile.mkdtemp(prefix="massloom-")
