@@ -339,15 +339,55 @@ def test_crowded_triggers_take_the_other_way(spark, monkeypatch):
         assert hashlib.sha256(bytes(r.kept)).hexdigest() == want[r.doc_id][3]
 
 
-def test_window_ranks_tell_equal_windows():
+def test_parse_gives_every_window_to_its_leftmost_trigger():
     rng = np.random.default_rng(0)
-    data = rng.integers(97, 99, 4000).astype(np.uint8)
-    data[2000:2300] = data[100:400]
-    rank = substrings.window_ranks(data)[: 4000 - 199]
-    seen = {}
-    for i in range(4000 - 199):
-        seen.setdefault(bytes(data[i : i + 200]), set()).add(int(rank[i]))
-    assert all(len(v) == 1 for v in seen.values()) and len(set(rank.tolist())) == len(seen)
+    texts = [bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in (0, 150, 199, 200, 3000, 900)] + [b"a" * 500]
+    buf = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    offsets = np.cumsum([0, *map(len, texts)])
+    hashes = rolling(prefix(buf), 32)
+    row, trigger, _, start, windows, lead = substrings.parse(buf, offsets)
+    seen = collections.defaultdict(set)
+    for r, t, s, w, k in zip(row, trigger, start, windows, lead):
+        for j in range(w):
+            here = hashes[offsets[r] + s + j : offsets[r] + s + j + 169]
+            hits = np.flatnonzero(here % np.uint64(substrings.MODULUS) == 0)
+            if len(hits):
+                assert hits[0] == k - j
+            assert here[k - j] == t
+            assert s + j not in seen[r]
+            seen[r].add(s + j)
+    assert all(seen[r] == set(range(max(0, len(t) - 199))) for r, t in enumerate(texts))
+
+
+def test_both_orders_tell_equal_windows():
+    rng = np.random.default_rng(0)
+    gram = bytes(rng.integers(0, 256, 32).astype(np.uint8))
+    pieces, lead, group = [], [], []
+    for _ in range(300):
+        k, windows = int(rng.integers(0, 169)), int(rng.integers(1, 60))
+        windows = min(windows, k + 1)
+        size = windows + 199
+        # long equal stretches on either side, of bytes 0 and 1
+        left = np.where(np.arange(168) < rng.choice([0, 40, 168]), 0, rng.integers(0, 2, 168)).astype(np.uint8).tobytes()[:k][::-1]
+        right = np.where(np.arange(400) < rng.choice([0, 100, 400]), 1, rng.integers(0, 2, 400)).astype(np.uint8).tobytes()
+        pieces.append((left + gram + right)[:size])
+        lead.append(k)
+        group.append(int(rng.integers(0, 2)))
+    flags = substrings.repeated_windows(pieces, np.array(lead), np.array(group))
+    seen = collections.Counter((g, k - j, p[j : j + 200]) for p, k, g in zip(pieces, lead, group) for j in range(len(p) - 199))
+    assert any(f.any() for f in flags) and not all(f.all() for f in flags)
+    for p, k, g, f in zip(pieces, lead, group, flags):
+        assert f.tolist() == [seen[g, k - j, p[j : j + 200]] > 1 for j in range(len(p) - 199)]
+
+
+def test_frequent_passage_between_different_texts(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passage = " ".join(word() for _ in range(60))
+    texts = [" ".join(word() for _ in range(rng.randint(5, 60))) + passage + " ".join(word() for _ in range(rng.randint(5, 60))) for _ in range(300)]
+    want = substrings.brute_force([t.encode() for t in texts])
+    for r in substrings.remove_repeats(frame(spark, list(enumerate(texts)), "doc_id long, text string")).collect():
+        assert hashlib.sha256(bytes(r.kept)).hexdigest() == want[r.doc_id][3]
 
 
 # near duplicates
