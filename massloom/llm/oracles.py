@@ -68,3 +68,63 @@ words AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(k, k + s
 found AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hits JOIN windows USING (x, size)) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(words.n, 0) AS n_hit, coalesce(found.n, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (r) LEFT JOIN found USING (r)"""
+
+
+def _crc_table() -> str:
+    """The 256 entries of the reflected polynomial 0xEDB88320, from its rule."""
+    out = []
+    for k in range(256):
+        for _ in range(8):
+            k = (k >> 1) ^ (0xEDB88320 if k & 1 else 0)
+        out.append(k)
+    return f"[{', '.join(map(str, out))}]"
+
+
+_FEATURES = (
+    "SELECT {0}, w[k] AS f FROM {1} UNION ALL SELECT {0}, w[k] || ' ' || w[k + 1] FROM {1} WHERE k < len(w)"
+    " UNION ALL SELECT {0}, w[k] || ' ' || w[k + 1] || ' ' || w[k + 2] FROM {1} WHERE k < len(w) - 1"
+)
+
+DRAW = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+b AS (SELECT {_WORDS.format("coalesce(text, '')")} AS w FROM benchmark),
+dk AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS k FROM d),
+bk AS (SELECT 0 AS r, w, unnest(range(1, len(w) + 1)) AS k FROM b),
+df AS MATERIALIZED (SELECT r, f, count(*) AS n FROM ({_FEATURES.format("r", "dk")}) GROUP BY ALL),
+bf AS MATERIALIZED (SELECT f, count(*) AS n FROM ({_FEATURES.format("r", "bk")}) GROUP BY ALL),
+known AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM df UNION SELECT f FROM bf)),
+crc AS MATERIALIZED (SELECT f, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, length(h) // 2), lambda k: CAST('0x' || substr(h, CAST(2 * k + 1 AS BIGINT), 2) AS BIGINT))),
+  lambda c, x: xor(c >> 8, {_crc_table()}[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM known),
+ds AS MATERIALIZED (SELECT r, bucket, sum(n) AS n FROM df JOIN crc USING (f) GROUP BY ALL),
+s AS (SELECT bucket, CAST(sum(n) AS DOUBLE) AS s FROM ds GROUP BY 1),
+t AS (SELECT bucket, CAST(sum(n) AS DOUBLE) AS t FROM bf JOIN crc USING (f) GROUP BY 1),
+total AS (SELECT (SELECT coalesce(sum(s), 0) FROM s) AS s, (SELECT coalesce(sum(t), 0) FROM t) AS t),
+gain AS (SELECT s.bucket, CAST(floor(1000 * ln((coalesce(t.t, 0) + 1) * (total.s + 10000) / ((s.s + 1) * (total.t + 10000)))) AS BIGINT) AS g FROM s LEFT JOIN t USING (bucket), total),
+weights AS (SELECT r, sum(n) AS n, sum(n * g) AS w FROM ds JOIN gain USING (bucket) GROUP BY r),
+scored AS (SELECT r, doc_id, len(d.w) >= 20 AS eligible, CAST(coalesce(n, 0) AS BIGINT) AS n_features, CAST(coalesce(weights.w, 0) AS BIGINT) AS weight,
+  CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN weights USING (r)),
+noisy AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score FROM scored),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY eligible ORDER BY score DESC, doc_id NULLS LAST) AS p, count(*) FILTER (WHERE eligible) OVER () AS total FROM noisy)
+SELECT doc_id, n_features, weight, score, CASE WHEN eligible AND p <= 5 * total // 100 THEN p END AS rank FROM ranked"""
+
+AUDIT = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS part FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+l AS (SELECT doc_id, max(quality) AS good, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, CAST(len(w) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INT) + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) AS INT)
+  + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS INT) AS mask,
+  CAST(coalesce(l.good = 1, false) AS INT) AS good, CAST(coalesce(l.toxic = 1, false) AS INT) AS toxic FROM w LEFT JOIN l USING (doc_id)),
+m AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS filter, CAST(list_sum(list_transform(string_split(substr(filter_order, 1, step), ''), lambda y: 1 << (ascii(y) - 65))) AS INT) AS upto
+  FROM (SELECT filter_order, unnest([1, 2, 3, 4, 5]) AS step FROM o)),
+b AS (SELECT *, 1 << (ascii(filter) - 65) AS bit, upto - (1 << (ascii(filter) - 65)) AS prior FROM s),
+c AS (SELECT part, filter_order, step, filter,
+  sum(n) FILTER (WHERE mask & upto = 0) AS kept, sum(n) FILTER (WHERE mask & prior = 0 AND mask & bit <> 0) AS removed,
+  sum(n) FILTER (WHERE mask & prior <> 0 AND mask & bit <> 0) AS redundant, sum(n) FILTER (WHERE mask = bit) AS unique_fails,
+  sum(good) FILTER (WHERE mask & prior = 0 AND mask & bit <> 0) AS good_lost, sum(toxic) FILTER (WHERE mask & prior = 0 AND mask & bit <> 0) AS toxic_lost
+  FROM m, b GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+  CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost,
+  CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(coalesce(sum(removed) OVER (PARTITION BY part, filter), 0) AS BIGINT) AS shapley FROM c"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massloom.llm import chat, contamination, lines, neardup, oracles, pieces, quality, substrings, topk, toxicity, warc
+from massloom.llm import audit, chat, contamination, fingerprints, lines, neardup, oracles, pieces, quality, resample, substrings, topk, toxicity, warc
 from massloom.session import new_path, table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -87,6 +87,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resample.resample(docs, table(spark, sf_dir, "benchmark").select("text")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = audit.text_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return audit.audit(rows, list("ABCDE"), ["good", "toxic"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": op1_topk_search,
     "op2_line_dedup": op2_line_dedup,
@@ -98,6 +112,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_neardup": op9_neardup,
     "op10_decontamination": op10_decontamination,
+    "op11_fingerprints": op11_fingerprints,
+    "op12_resample": op12_resample,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 _OP1 = """
@@ -118,4 +135,6 @@ ORACLE: dict[str, str] = {
     "op8_substring_dedup": oracles.SUBSTRINGS,
     "op9_neardup": oracles.NEAR,
     "op10_decontamination": oracles.LEAKS,
+    "op12_resample": oracles.DRAW,
+    "op13_filter_audit": oracles.AUDIT,
 }
