@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from massloom.operators.ordered import running_before, running_extreme
+from massloom.operators.ordered import RANGES, running_before, running_extreme, with_range
+from massloom.session import written
 
 #: Whether a larger score is better, in the order in which a score is looked for.
 SCORES = {
@@ -144,9 +145,9 @@ def best_per_peptide(psms: DataFrame, peptide: list[str], score: str, ascending:
 def atdc_matrix(psms: DataFrame, key: list[str], score: str, decoy_index: str) -> DataFrame:
     """(key, target, decoys): the target's score and those of its n decoys by index; checked to be complete."""
     wide = psms.groupBy(*key).agg(
-        F.count_if(F.col(decoy_index).isNull()).alias("__t"),
-        F.max(F.when(F.col(decoy_index).isNull(), F.col(f"`{score}`"))).alias("target"),
-        F.sort_array(F.collect_list(F.when(F.col(decoy_index).isNotNull(), F.struct(F.col(decoy_index).alias("i"), F.col(f"`{score}`").alias("s"))))).alias("__d"),
+        F.count_if(F.col(f"`{decoy_index}`").isNull()).alias("__t"),
+        F.max(F.when(F.col(f"`{decoy_index}`").isNull(), F.col(f"`{score}`"))).alias("target"),
+        F.sort_array(F.collect_list(F.when(F.col(f"`{decoy_index}`").isNotNull(), F.struct(F.col(f"`{decoy_index}`").alias("i"), F.col(f"`{score}`").alias("s"))))).alias("__d"),
     )
     sizes = wide.agg(F.min("__t").alias("a"), F.max("__t").alias("b"), F.min(F.size("__d")).alias("c"), F.max(F.size("__d")).alias("d")).first()
     if sizes.a is not None and (sizes.a != 1 or sizes.b != 1 or sizes.c != sizes.d):
@@ -154,51 +155,70 @@ def atdc_matrix(psms: DataFrame, key: list[str], score: str, decoy_index: str) -
     return wide.select(*key, "target", F.transform("__d", lambda x: x["s"]).alias("decoys"))
 
 
-def atdc_estimates(target: np.ndarray, decoys: np.ndarray, ascending: bool = True) -> np.ndarray:
-    """Averaged target-decoy estimates, for scores sorted best first.
+#: Ranges whose blocks one task pools at each level of ``pep_table``.
+FAN_IN = 16
 
-    ``decoys`` has one column for each decoy set. A winner is counted from its place in the order of target scores on; the average number of
-    targets that win says how many target rows may remain at each place, and the rows with the fewest wins are given up first. Ties of
-    target and decoy go to the target.
-    """
-    n, sets = decoys.shape
-    sign = 1 if ascending else -1
-    t, d = sign * target, sign * decoys
-    wins = t[:, None] <= d
-    spot = np.searchsorted(t, np.where(wins, t[:, None], d), side="left")
-    n_t = np.zeros(n)
-    n_d = np.zeros(n)
-    inside = spot < n
-    np.add.at(n_t, spot[wins & inside], 1)
-    np.add.at(n_d, spot[~wins & inside], 1)
-    targets_won, decoys_won = np.cumsum(n_t), np.cumsum(n_d)
-    count = wins.sum(axis=1)
-    stacks: list[list[int]] = [[] for _ in range(sets + 1)]
-    kept = np.ones(n, dtype=bool)
-    have = 0
-    for i in range(n):
-        stacks[count[i]].append(i)
-        if have <= targets_won[i] / sets - 0.5:
-            have += 1
-            continue
-        kept[next(s for s in stacks if s).pop()] = False
-    rise = np.clip(np.diff(decoys_won, prepend=0), 1, sets)
-    return (rise + decoys_won) / sets / np.maximum(1, np.cumsum(kept))
-
-
-def atdc_qvalues(psms: DataFrame, key: list[str], score: str, decoy_index: str, group: list[str] = (), ascending: bool = False) -> DataFrame:
-    """(group, key, target, q_value) by averaged target-decoy competition.
-
-    The greedy pass needs one order, so each ``group`` (a file, say) is one task's work.
-    """
-    matrix = atdc_matrix(psms, [*group, *[k for k in key if k not in group]], score, decoy_index)
-    fields = ", ".join([*(f"`{c}` {matrix.schema[c].dataType.simpleString()}" for c in matrix.columns if c != "decoys"), "q_value double"])
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["target", *[k for k in key]], ascending=[ascending, *[True] * len(key)], kind="stable").reset_index(drop=True)
-        fdp = atdc_estimates(rows["target"].to_numpy(float), np.stack(rows["decoys"].to_numpy()).astype(float), ascending)
-        rows["q_value"] = np.minimum(1, np.minimum.accumulate(fdp[::-1])[::-1])
-        return rows.drop(columns=["decoys"])
+def pooled(targets: np.ndarray, decoys: np.ndarray) -> np.ndarray:
+    """First entries of the blocks in which adjacent counts, best first, are pooled until decoys over targets never fall.
 
-    grouped = matrix.groupBy(*group) if group else matrix.groupBy(F.lit(0).alias("__all"))
-    return grouped.applyInPandas(run, fields)
+    Pooling blocks again with those of neighbours gives what pooling all counts at once gives.
+    """
+    first: list[int] = []
+    t: list[int] = []
+    d: list[int] = []
+    for k, (x, y) in enumerate(zip(targets.tolist(), decoys.tolist(), strict=True)):
+        begin = k
+        while first and d[-1] * x >= y * t[-1]:
+            begin, x, y = first.pop(), x + t.pop(), y + d.pop()
+        first.append(begin)
+        t.append(x)
+        d.append(y)
+    return np.array(first, dtype=np.int64)
+
+
+def pep_blocks(psms: DataFrame, score: str, is_decoy: Column, ascending: bool = False) -> list[tuple[float, int, int]]:
+    """(worst score, targets, decoys) of each block, best first.
+
+    Counts per distinct score are pooled in ranges of scores, ranges by sixteens until one is left; the blocks of
+    T targets and D decoys differ in their ratio, so there are at most some (T D)^(1/3) of them. Null scores take no part.
+    """
+    counts = written(score_counts(psms.where(F.col(f"`{score}`").isNotNull()), score, is_decoy), "scores")
+    blocks = with_range(counts.withColumn("best", F.col("score")), "score").withColumnRenamed("__range", "r")
+
+    def pool(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("best", ascending=ascending).reset_index(drop=True)
+        first = pooled(pdf["targets"].to_numpy(), pdf["decoys"].to_numpy())
+        last = np.append(first[1:], len(pdf)) - 1
+        sums = {c: np.add.reduceat(pdf[c].to_numpy(), first) for c in ("targets", "decoys")}
+        return pd.DataFrame({"r": pdf["r"].iloc[0] // FAN_IN, "best": pdf["best"].to_numpy()[first], "score": pdf["score"].to_numpy()[last], **sums})
+
+    kind = counts.schema["score"].dataType.simpleString()
+    left = RANGES
+    while left:
+        blocks = blocks.groupBy("r").applyInPandas(pool, f"r int, best {kind}, score {kind}, targets long, decoys long")
+        left //= FAN_IN
+    found = blocks.groupBy().agg(F.collect_list(F.struct("best", "score", "targets", "decoys")).alias("b")).first().b
+    return [(b.score, b.targets, b.decoys) for b in sorted(found, key=lambda b: b.best, reverse=not ascending)]
+
+
+def posterior_errors(psms: DataFrame, score: str, is_decoy: Column, ascending: bool = False, pi0: float | None = None, out: str = "PEP") -> DataFrame:
+    """Append each row's posterior error probability, which never falls as scores get worse; null for a null score.
+
+    It is the pooled ratio of decoys to targets, 1 at most. With ``pi0``, the share of null targets among matches that did not
+    compete, it is scaled by ``pi0`` and the number of targets over that of decoys; without, the rows are winners of a competition. The mean over the targets of a block and all
+    better ones is the share of decoys among them.
+    """
+    blocks = pep_blocks(psms, score, is_decoy, ascending)
+    targets, decoys = sum(b[1] for b in blocks), sum(b[2] for b in blocks)
+    factor = 1.0 if pi0 is None else pi0 * targets / max(1, decoys)
+    sign = 1.0 if ascending else -1.0
+    worst = np.array([sign * float(b[0]) for b in blocks])
+    value = np.array([min(1.0, factor * b[2] / b[1]) if b[1] else 1.0 for b in blocks])
+
+    @F.pandas_udf("double")
+    def looked_up(s: pd.Series) -> pd.Series:
+        found = np.searchsorted(worst, sign * s.to_numpy(dtype=float), side="left")
+        return pd.Series(np.where(s.isna(), np.nan, value[np.minimum(found, len(value) - 1)] if len(value) else np.nan)).astype(object).where(s.notna(), None)
+
+    return psms.withColumn(out, looked_up(F.col(f"`{score}`").cast("double")))

@@ -371,10 +371,10 @@ def decoy_reverse(spark, sf_dir):
 @query(f"""WITH m(residue, mass) AS (VALUES {', '.join(f"('{r}', {m!r})" for r, m in S.RESIDUE_MASS.items())}),
 p AS (SELECT p_partkey AS protein_id, regexp_replace(upper(p_name), '[^{_RESIDUES}]', '', 'g') AS r FROM part),
 l AS (SELECT protein_id, unnest(string_split(r, '')) AS residue FROM p WHERE r <> '')
-SELECT protein_id, round(sum(CAST(mass AS DOUBLE)) + {S.WATER!r}, 6) AS mass FROM l JOIN m USING (residue) GROUP BY 1""")
+SELECT protein_id, round(sum(CAST(mass AS DOUBLE)) + {S.WATER!r} + 3e-9, 6) AS mass FROM l JOIN m USING (residue) GROUP BY 1""")
 def sequence_mass(spark, sf_dir):
     r = F.regexp_replace(F.upper("p_name"), f"[^{_RESIDUES}]", "")
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("protein_id"), r.alias("r")).where("r <> ''").select("protein_id", F.round(S.peptide_mass(F.col("r")), 6).alias("mass"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("protein_id"), r.alias("r")).where("r <> ''").select("protein_id", F.round(S.peptide_mass(F.col("r")) + 3e-9, 6).alias("mass"))
 
 
 @query("""SELECT CAST(floor(l_extendedprice / 0.02 + 1 - 0.4) AS INTEGER) AS bin, count(*) AS n FROM lineitem GROUP BY 1""")

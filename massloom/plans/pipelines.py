@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massloom.operators import confidence, counting, digestion, features, lfq, search
+from massloom.operators import averaged, confidence, counting, digestion, features, lfq, ranking, search
 from massloom.operators.confidence import SCORES, detect_score
 from massloom.session import written
 from massloom.sources import psms as P
@@ -37,16 +37,21 @@ def search_files(spark: SparkSession, spectra: str, index: DataFrame, charges: t
     return found.withColumn("protein id", ids)
 
 
-def assign_confidence(matches: DataFrame, method: str = "tdc", score: str | None = None, key: tuple[str, ...] = ("file", "scan", "charge"), peptide_level: bool = False, sidak: bool = False, pi0: float | None = None, is_decoy: str = "is_decoy") -> DataFrame:
-    """Target matches with a q-value column (``tdc q-value`` or ``mix-max q-value``).
+def assign_confidence(matches: DataFrame, method: str = "tdc", score: str | None = None, key: tuple[str, ...] = ("file", "scan", "charge"), peptide_level: bool = False, sidak: bool = False, pi0: float | None = None, is_decoy: str = "is_decoy", decoy_index: str = "decoy index", pep: bool = False) -> DataFrame:
+    """Target matches with a q-value column (``tdc q-value``, ``mix-max q-value`` or ``atdc q-value``) and, with ``pep``, a column ``PEP``.
 
-    ``tdc`` competes the best target with the best decoy of each key first; ``mix-max`` keeps both. With ``peptide_level`` only a peptide's best match
+    ``tdc`` competes the best target with the best decoy of each key first; ``mix-max`` keeps both; ``atdc`` averages the competitions of
+    each key's target with its decoys, one for each ``decoy_index`` (null for targets). With ``peptide_level`` only a peptide's best match
     stays. ``sidak`` adjusts p-values by the number of candidates (target and decoy together under ``tdc``). ``mix-max`` estimates the share
-    ``pi0`` of null targets from all matches where it is not given: from the targets' p-values, or by decoys for other scores.
+    ``pi0`` of null targets from all matches where it is not given: from the targets' p-values, or by decoys for other scores. ``atdc`` has neither level nor PEP.
     """
     score = score or detect_score(matches)
     up = SCORES.get(score, True)
     keys = [k for k in key if k in matches.columns]
+    if method == "atdc":
+        if peptide_level or pep:
+            raise ValueError("atdc gives q-values of spectra only")
+        return _averaged(matches, keys, score, not up, sidak, decoy_index)
     rows = matches
     tie = [c for c in ("sequence",) if c in rows.columns]
     if method == "tdc":
@@ -62,6 +67,8 @@ def assign_confidence(matches: DataFrame, method: str = "tdc", score: str | None
     if peptide_level:
         rows = confidence.best_per_peptide(rows, ["sequence", is_decoy], score, ascending=not up, tie=[k for k in keys])
     if method == "tdc":
+        if pep:
+            rows = confidence.posterior_errors(written(rows, "winners"), score, F.col(is_decoy), ascending=not up)
         return confidence.tdc_qvalues(rows, score, F.col(is_decoy), ascending=not up, out="tdc q-value")
     if method == "mix-max":
         rows = written(rows, "matches")
@@ -71,10 +78,25 @@ def assign_confidence(matches: DataFrame, method: str = "tdc", score: str | None
             found = confidence.storey_pi0(scored.where(~F.col(is_decoy)), f"`{score}`") if score.endswith("p-value") else confidence.decoy_pi0(scored, score, F.col(is_decoy), ascending=not up)
             share = min(1 - 1e-9, max(1e-9, found))  # the table needs a share within (0, 1)
         table = confidence.mixmax_table(scored, score, F.col(is_decoy), share, ascending=not up)
+        if pep:
+            rows = confidence.posterior_errors(rows, score, F.col(is_decoy), ascending=not up, pi0=share)
         return rows.where(~F.col(is_decoy)).join(table.select(F.col("score").alias("__s"), F.col("q").alias("mix-max q-value")), F.col(f"`{score}`") == F.col("__s"), "left").drop("__s")
     raise ValueError(f"unknown method {method!r}")
 
 
+def _averaged(matches: DataFrame, keys: list[str], score: str, ascending: bool, sidak: bool, decoy_index: str) -> DataFrame:
+    """The best target of each key with its ``atdc q-value``; every key needs a decoy of each index."""
+    rows = matches.where(F.col(f"`{score}`").isNotNull())
+    if sidak and "distinct matches/spectrum" in rows.columns:
+        rows = rows.withColumn("Sidak adjusted p-value", confidence.sidak(F.col(f"`{score}`"), F.col("`distinct matches/spectrum`")))
+        score = "Sidak adjusted p-value"
+    tie = [c for c in ("sequence",) if c in rows.columns]
+    best = written(ranking.top_n(rows, [*keys, decoy_index], score, 1, tie, ascending, out="__place").drop("__place"), "best")
+    matrix = written(confidence.atdc_matrix(best, keys, score, decoy_index), "matrix")
+    rated = averaged.atdc_qvalues(matrix, keys, ascending).select(*keys, F.col("q_value").alias("atdc q-value"))
+    return best.where(F.col(f"`{decoy_index}`").isNull()).join(rated, keys)
+
+
 def spectral_counts(matches: DataFrame, proteins: DataFrame, measure: str = "NSAF", threshold: float | None = 0.01, q: str = "percolator q-value", parsimony: str = "none", unique: bool = False, intensity: str | None = None, **digest) -> DataFrame:
     """(protein, score) by one of RAW, NSAF, dNSAF, EMPAI and SIN, with ``rank`` of protein groups unless ``parsimony`` is none.
 
