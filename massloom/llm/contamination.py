@@ -7,9 +7,10 @@ Burrows-Wheeler transform in a wavelet tree with rank counts, and sampled suffix
 windows are searched backwards at once, occurrences are located by stepping to the next
 sample, and the hit words of a document are merged to spans.
 
-Nothing is shuffled: a document lies in one shard, and the windows go to every task.
-The benchmark's size is summed first. A larger one is dealt to blocks by hash, and each block
-is one pass over the documents whose rows are written before the next; the driver and the tasks hold one block at a time.
+A document lies in one shard, and the windows go to every task, so a benchmark of one block shuffles nothing.
+Items are cut into segments of bounded length, distinct ones are dealt to blocks of bounded size by hash, and each block is one pass over the
+documents' texts that writes hits alone: row numbers, spans and items. These are joined to the documents at the end. The driver and
+the tasks hold one block at a time.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ from pyspark.sql import types as T
 from massloom.llm.arrow import column, release, without
 from massloom.session import written
 
-#: Bytes of benchmark text that one pass takes, on average over the passes; an item is never split.
+#: Bytes of benchmark segments that one pass takes, on average over the passes, and the windows that begin in a segment at most.
 BLOCK_BYTES = 16 << 20
+SEGMENT_WINDOWS = 8192
 #: Indexed words after which a shard is closed.
 SHARD_WORDS = 1 << 19
 SAMPLE = 8
@@ -113,19 +115,16 @@ class FMIndex:
             symbol = symbol * 2 + bit
         return symbol, at - start
 
-    def search(self, patterns: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix range of each row of ``patterns`` (its first ``lengths`` symbols)."""
-        lo = np.zeros(len(patterns), dtype=np.int64)
-        hi = np.full(len(patterns), self.n, dtype=np.int64)
-        live = np.arange(len(patterns))
+    def search(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Suffix range of each pattern ``symbols[start : start + length]``."""
+        lo = np.zeros(len(starts), dtype=np.int64)
+        hi = np.full(len(starts), self.n, dtype=np.int64)
+        live = np.arange(len(starts))
         for back in range(1, int(lengths.max(initial=0)) + 1):
             live = live[(lengths[live] >= back) & (lo[live] < hi[live])]
             if not len(live):
                 break
-            symbol = patterns[live, lengths[live] - back]
-            known = symbol < len(self.before) - 1
-            lo[live[~known]] = hi[live[~known]] = 0
-            live, symbol = live[known], symbol[known]
+            symbol = symbols[starts[live] + lengths[live] - back].astype(np.int64)
             lo[live] = self.before[symbol] + self.rank(symbol, lo[live])
             hi[live] = self.before[symbol] + self.rank(symbol, hi[live])
         hi = np.maximum(lo, hi)
@@ -147,12 +146,28 @@ class FMIndex:
         return out
 
 
+def segments(benchmark: DataFrame, item: str, text: str, size: int) -> DataFrame:
+    """Distinct (i, s): items cut to segments of words with a space between, which hold all windows of the item and few twice."""
+    items = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("i"), F.col(text).alias("t")).where("t is not null")
+
+    def run(batches):
+        for batch in batches:
+            made: list[tuple[str, bytes]] = []
+            for i, t in zip(column(batch, "i").to_pylist(), column(batch, "t").cast(pa.binary()).to_pylist(), strict=True):
+                found = words_of(t)
+                made += [(i, b" ".join(found[k : k + SEGMENT_WINDOWS + size - 1])) for k in range(0, max(1, len(found) - size + 1), SEGMENT_WINDOWS) if found]
+            yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.binary())], names=["i", "s"])
+
+    return items.mapInArrow(run, "i string, s binary").distinct()
+
+
 @dataclass
 class Windows:
-    """Distinct windows of the benchmark as word numbers (from 1), and the items that hold each."""
+    """Distinct windows of a block as stretches of one sequence of word numbers (from 1; 0 ends a segment), and the items that hold each."""
 
     vocabulary: dict[bytes, int]
-    patterns: np.ndarray
+    tokens: np.ndarray
+    starts: np.ndarray
     lengths: np.ndarray
     item_start: np.ndarray
     item_of: np.ndarray
@@ -161,23 +176,47 @@ class Windows:
     @classmethod
     def of(cls, rows: list[tuple[str, bytes]], size: int) -> Windows:
         vocabulary: dict[bytes, int] = {}
-        seen: dict[tuple[int, ...], set[int]] = {}
-        items: list[str] = []
-        for item, text in rows:
-            ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)]
-            if not ids:
+        number: dict[str, int] = {}
+        tokens, starts, lengths, owner = [], [], [], []
+        at = 0
+        for item, segment in rows:
+            ids = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in segment.split()] + [0], dtype=np.int32)
+            n = len(ids) - 1
+            if not n:
                 continue
-            items.append(item)
-            for k in range(max(1, len(ids) - size + 1)):
-                seen.setdefault(tuple(ids[k : k + size]), set()).add(len(items) - 1)
-        keys = list(seen)
-        lengths = np.array([len(k) for k in keys], dtype=np.int64)
-        patterns = np.zeros((len(keys), size), dtype=np.int64)
-        for r, k in enumerate(keys):
-            patterns[r, : len(k)] = k
-        held = [sorted(seen[k]) for k in keys]
-        start = np.concatenate([[0], np.cumsum([len(h) for h in held])]).astype(np.int64)
-        return cls(vocabulary, patterns, lengths, start, np.array([i for h in held for i in h], dtype=np.int64), items)
+            begins = np.arange(max(1, n - size + 1), dtype=np.int32)
+            tokens.append(ids)
+            starts.append(begins + np.int32(at))
+            lengths.append(np.full(len(begins), min(n, size), dtype=np.int16))
+            owner.append(np.full(len(begins), number.setdefault(item, len(number)), dtype=np.int32))
+            at += len(ids)
+        none = np.zeros(0, dtype=np.int32)
+        if not tokens:
+            return cls({}, none, none, none, np.zeros(1, dtype=np.int32), none, [])
+        text, begin, length, own = (np.concatenate(x) for x in (tokens, starts, lengths, owner))
+        window = _same_windows(text, begin, length)
+        _, first = np.unique(window, return_index=True)
+        pairs = np.unique(window.astype(np.int64) * len(number) + own)
+        held = np.searchsorted(pairs // len(number), np.arange(len(first) + 1)).astype(np.int32)
+        return cls(vocabulary, text, begin[first], length[first], held, (pairs % len(number)).astype(np.int32), list(number))
+
+
+def _same_windows(text: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A number for each window, equal for equal words: by ranks of the stretches of 1, 2, 4, ... words, two of which cover a window."""
+    out = np.empty(len(begin), dtype=np.int64)
+    rank, width, known = text.astype(np.int64), 1, 0
+    while True:
+        for n in np.unique(length[(length >= width) & (length < 2 * width)]).tolist():
+            mine = np.flatnonzero(length == n)
+            _, same = np.unique(rank[begin[mine]] * (len(text) + 1) + rank[begin[mine] + n - width], return_inverse=True)
+            out[mine] = known + same
+            known += int(same.max()) + 1
+        if 2 * width > int(length.max()):
+            return out
+        second = np.zeros(len(text), dtype=np.int64)
+        second[: len(text) - width] = rank[width:]
+        _, rank = np.unique(rank * (len(text) + 1) + second, return_inverse=True)
+        width *= 2
 
 
 class Shard:
@@ -223,16 +262,19 @@ class Shard:
         empty = np.zeros(0, dtype=np.int64)
         if not self.runs:
             return empty, empty, empty
+        w = self.w
         seq = np.concatenate([*self.runs, [0]])
         present = np.unique(seq)  # 0, 1 for separators, then the words of this shard
-        dense = np.searchsorted(present, seq)
+        symbol = np.zeros(len(w.vocabulary) + 2, dtype=np.int32)
+        symbol[present] = np.arange(len(present))
+        # windows with a word that the shard lacks are not searched
+        lacking = np.concatenate([[0], np.cumsum(symbol[w.tokens + 1] < 2)])
+        tried = np.flatnonzero(lacking[w.starts] == lacking[w.starts + w.lengths])
         doc, at = np.concatenate(self.run_doc), np.concatenate(self.run_at)
-        symbols = np.searchsorted(present, self.w.patterns + 1)
-        symbols[(self.w.patterns > 0) & (present[np.minimum(symbols, len(present) - 1)] != self.w.patterns + 1)] = 1 << 40
-        index = FMIndex(dense)
-        lo, hi = index.search(symbols, self.w.lengths)
+        index = FMIndex(symbol[seq].astype(np.int64))
+        lo, hi = index.search(symbol[w.tokens + 1], w.starts[tried], w.lengths[tried].astype(np.int64))
         count = hi - lo
-        window = np.repeat(np.arange(len(lo)), count)
+        window = np.repeat(tried, count)
         place = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum())
         where = index.locate(place)
         return doc[where], at[where], window
@@ -259,9 +301,9 @@ class Shard:
         return out
 
 
-def _merge(first: list[list[int]], more: list[list[int]]) -> list[list[int]]:
+def _merge(spans: list[list[int]]) -> list[list[int]]:
     out: list[list[int]] = []
-    for a, b in sorted([*first, *more]):
+    for a, b in sorted(spans):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -284,35 +326,42 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
         T.StructField("hit_items", T.ArrayType(T.StringType())),
     ]
     docs = without(docs, [f.name for f in fields])
-    names = docs.columns
-    schema = T.StructType([*docs.schema.fields, *fields])
-    items = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("i"), F.col(item_text).alias("t")).where("t is not null")
-    total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    passes = max(1, -(-total // block_bytes))
-    found = docs
+    cut = written(segments(benchmark, item, item_text, size), "benchmark")
+    passes = max(1, -(-(cut.agg(F.sum(F.octet_length("s"))).first()[0] or 0) // block_bytes))
+
+    def block(k: int):
+        rows = cut.where(F.pmod(F.xxhash64("i", "s"), F.lit(passes)) == k) if passes > 1 else cut
+        return spark.sparkContext.broadcast(Windows.of([(r.i, bytes(r.s)) for r in rows.collect()], size))  # about block_bytes
+
+    if passes == 1:
+        return docs.mapInArrow(_pass(block(0), text, docs.columns), T.StructType([*docs.schema.fields, *fields]))
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "documents")
+    narrow, hits = rows.select("__row", text), None
     for k in range(passes):
-        block = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == k) if passes > 1 else items
-        # about block_bytes, as the hash deals them
-        windows = Windows.of([(r.i, r.t.encode()) for r in block.collect()], size)
-        shared = spark.sparkContext.broadcast(windows)
-        found = found.mapInArrow(_pass(shared, text, names, k > 0), schema)
-        if passes > 1:
-            found = written(found, "contamination")
-            shared.destroy()
-    return found
+        shared = block(k)
+        found = narrow.mapInArrow(_pass(shared, text, ["__row"], hits_only=k > 0), T.StructType([rows.schema["__row"], *fields]))
+        found = written(found, "hits")
+        shared.destroy()
+        hits = found if hits is None else hits.unionByName(found)
+    gathered = hits.groupBy("__row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hit_spans")).alias("hit_spans"), F.array_distinct(F.flatten(F.collect_list("hit_items"))).alias("hit_items"))
+
+    def merge(batches):
+        for batch in batches:
+            spans = pa.array([_merge(s) for s in column(batch, "hit_spans").to_pylist()], pa.list_(pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays([column(batch, "__row"), column(batch, "n_words"), spans, column(batch, "hit_items")], names=["__row", *(f.name for f in fields)])
+
+    return rows.join(gathered.mapInArrow(merge, T.StructType([rows.schema["__row"], *fields])), "__row").drop("__row")
 
 
-def _pass(shared, text: str, names: list[str], more: bool):
-    """Search one block of windows; ``more`` joins what is found to what earlier passes found."""
+def _pass(shared, text: str, names: list[str], hits_only: bool = False):
+    """Search one block of windows; gives the columns ``names`` and what is found, of rows with hits or of all."""
 
     def finish(batches: list[pa.RecordBatch], shard: Shard) -> pa.RecordBatch:
         rows = shard.results()
         whole = pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
-        if more:
-            old = zip(column(whole, "hit_spans").to_pylist(), column(whole, "hit_items").to_pylist(), strict=True)
-            rows = [(n, _merge(s, s2), i2 + [x for x in i if x not in i2]) for (n, s, i), (s2, i2) in zip(rows, old, strict=True)]
         made = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.list_(pa.int64()))), pa.array([r[2] for r in rows], pa.list_(pa.string()))]
-        return pa.RecordBatch.from_arrays([*(column(whole, c) for c in names), *made], names=[*names, "n_words", "hit_spans", "hit_items"])
+        out = pa.RecordBatch.from_arrays([*(column(whole, c) for c in names), *made], names=[*names, "n_words", "hit_spans", "hit_items"])
+        return out.filter(pa.array([bool(r[1]) for r in rows])) if hits_only else out
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -320,7 +369,7 @@ def _pass(shared, text: str, names: list[str], more: bool):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append(batch)
+            held.append(batch.select(names))
             for t in column(batch, text).cast(pa.binary()).to_pylist():
                 shard.add(t)
             if shard.words >= SHARD_WORDS or sum(b.nbytes for b in held) > 48 << 20:

@@ -507,9 +507,9 @@ def test_fm_index_finds_all():
     seq = np.append(rng.integers(1, 5, 600), 0)
     index = contamination.FMIndex(seq)
     for length in (1, 3, 6):
-        patterns = np.stack([seq[k : k + length] for k in range(0, 500, 37)] + [np.full(length, 9)])
-        lo, hi = index.search(patterns, np.full(len(patterns), length))
-        for p, a, b in zip(patterns, lo, hi):
+        starts = np.arange(0, 500, 37)
+        lo, hi = index.search(seq, starts, np.full(len(starts), length))
+        for p, a, b in zip((seq[k : k + length] for k in starts), lo, hi):
             want = [k for k in range(len(seq) - length) if (seq[k : k + length] == p).all()]
             assert sorted(index.locate(np.arange(a, b)).tolist()) == want
 
@@ -545,6 +545,26 @@ def test_decontamination_matches_brute_force(spark):
     assert contamination.find_contamination(df.limit(0), bench).count() == 0
 
 
+def test_blocks_of_windows_are_bounded_and_exact(spark, monkeypatch):
+    monkeypatch.setattr(contamination, "SEGMENT_WINDOWS", 7)
+    rng = random.Random(12)
+    long = " ".join(f"v{rng.randrange(30)}" for _ in range(400))
+    rows = [("same", long)] * 200 + [("other", long), ("short", "one two")]
+    cut = contamination.segments(frame(spark, rows, "item_id string, text string"), "item_id", "text", 10).collect()
+    assert len(cut) == len(set(cut)) <= 2 * -(-391 // 7) + 1 and max(len(r.s.split()) for r in cut) == 16
+    w = contamination.Windows.of([(r.i, bytes(r.s)) for r in cut], 10)
+    have = {}
+    for k, (a, n) in enumerate(zip(w.starts, w.lengths)):
+        have[tuple(w.tokens[a : a + n].tolist())] = sorted(w.items[i] for i in w.item_of[w.item_start[k] : w.item_start[k + 1]])
+    number = w.vocabulary
+    words_ = long.split()
+    want = {tuple(number[x.encode()] for x in words_[k : k + 10]): ["other", "same"] for k in range(391)} | {(number[b"one"], number[b"two"]): ["short"]}
+    assert have == want and len(w.starts) == len(want)
+    docs = frame(spark, [(1, "x " + " ".join(words_[20:60]) + " y"), (2, None), (3, "one two one two"), (3, "one two one two")], "doc_id long, text string")
+    got = {(r.doc_id, r.n_words, str(r.hit_spans), str(sorted(r.hit_items))) for r in contamination.find_contamination(docs, frame(spark, rows, "item_id string, text string"), block_bytes=300).collect()}
+    assert got == {(1, 42, "[[1, 41]]", "['other', 'same']"), (2, 0, "[]", "[]"), (3, 4, "[[0, 4]]", "['short']")}
+
+
 # pipeline
 
 
