@@ -6,7 +6,7 @@ dimensions; each segment is a node with a score list of its own for every query.
 1. Every node gives its local top list. The candidates on these lists are scored in full; the k-th
    best of a query is a cutoff that its true k-th best cannot miss.
 2. The cutoff goes back to the nodes. An entry below cutoff/nodes on every node
-   has a sum below the cutoff, so each node sends just its entries at or above that.
+   has a sum below the cutoff, and so has one that the other nodes' best entries cannot lift to it; each node sends the rest.
 3. Candidates whose sent parts leave room to reach the cutoff are scored in full.
 
 Equal vectors form one class that is searched once, as a candidate and as a query, and
@@ -30,9 +30,9 @@ QUERY_BLOCK = 512
 
 
 def quantised(vectors: DataFrame, vec_id: str, embedding: str, scale: int = 1024) -> DataFrame:
-    """(``vec_id``, ``v``) with v = floor(scale * x); vectors null, empty or holding null or non-finite components are left out."""
+    """(``vec_id``, ``v``) with v = floor(scale * x); vectors null or holding null or non-finite components are left out, an empty one has no component and stays."""
     x = F.col(embedding).cast("array<double>")
-    fine = F.col(embedding).isNotNull() & (F.size(embedding) > 0) & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
+    fine = F.col(embedding).isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
     good = vectors.where(F.col(vec_id).isNotNull() & fine)
     return good.select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(e * F.lit(float(scale))).cast("long")).alias("v"))
 
@@ -42,11 +42,11 @@ def _dot(a: Column, b: Column) -> Column:
 
 
 def _blocks(df: DataFrame, size: int, count: int, dim: int, nodes: int, cutoff: bool, partitions: int) -> DataFrame:
-    """Pack rows (``rep``, ``v``[, ``cutoff``]) into ``count`` blocks by hash, one row for each node: block, node, ids, matrix, cutoffs."""
+    """Pack rows (``rep``, ``v``[, ``limits``]) into ``count`` blocks by hash, one row for each node: block, node, ids, matrix, limits."""
     cuts = [dim * k // nodes for k in range(nodes + 1)]
 
     def pack(batches):
-        held: list[tuple[int, int, list, int]] = []
+        held: list[tuple[int, int, list, list]] = []
 
         def flush():
             ids = np.array([h[1] for h in held], dtype=np.int64)
@@ -54,9 +54,9 @@ def _blocks(df: DataFrame, size: int, count: int, dim: int, nodes: int, cutoff:
             for r, h in enumerate(held):
                 matrix[r, : len(h[2])] = h[2]
             limit = np.array([h[3] for h in held], dtype=np.int64)
-            rows = [(held[0][0], k, ids.tobytes(), np.ascontiguousarray(matrix[:, cuts[k] : cuts[k + 1]]).tobytes(), limit.tobytes()) for k in range(nodes)]
+            rows = [(held[0][0], k, ids.tobytes(), np.ascontiguousarray(matrix[:, cuts[k] : cuts[k + 1]]).tobytes(), np.ascontiguousarray(limit[:, k]).tobytes()) for k in range(nodes)]
             kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["block", "node", "ids", "matrix", "cutoffs"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["block", "node", "ids", "matrix", "limits"])
 
         for batch in batches:
             cols = batch.to_pydict()
@@ -64,12 +64,12 @@ def _blocks(df: DataFrame, size: int, count: int, dim: int, nodes: int, cutoff:
                 if held and (held[0][0] != cols["block"][k] or len(held) >= 2 * size):
                     yield flush()
                     held = []
-                held.append((cols["block"][k], cols["rep"][k], cols["v"][k], cols["cutoff"][k]))
+                held.append((cols["block"][k], cols["rep"][k], cols["v"][k], cols["limits"][k]))
         if held:
             yield flush()
 
-    ready = df.select(F.pmod(F.xxhash64("rep"), F.lit(count)).cast("int").alias("block"), "rep", "v", F.col("cutoff") if cutoff else F.lit(0).cast("long").alias("cutoff"))
-    return ready.repartition(partitions, "block").sortWithinPartitions("block").mapInArrow(pack, "block int, node int, ids binary, matrix binary, cutoffs binary")
+    ready = df.select(F.pmod(F.xxhash64("rep"), F.lit(count)).cast("int").alias("block"), "rep", "v", F.col("limits") if cutoff else F.array_repeat(F.lit(0).cast("long"), nodes).alias("limits"))
+    return ready.repartition(partitions, "block").sortWithinPartitions("block").mapInArrow(pack, "block int, node int, ids binary, matrix binary, limits binary")
 
 
 def _product(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -80,8 +80,8 @@ def _product(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return q @ c.T
 
 
-def _node_lists(pairs: DataFrame, k: int | None, nodes: int) -> DataFrame:
-    """Entries (query, node, candidate, part) of each pair of blocks: the ``k`` best, or all at or above cutoff/nodes."""
+def _node_lists(pairs: DataFrame, k: int | None) -> DataFrame:
+    """Entries (query, node, candidate, part) of each pair of blocks: the ``k`` best, or all at or above the node's limit."""
 
     def run(batches):
         for batch in batches:
@@ -97,8 +97,7 @@ def _node_lists(pairs: DataFrame, k: int | None, nodes: int) -> DataFrame:
                     r = np.repeat(np.arange(len(qids)), n)
                     at = at.ravel()
                 else:
-                    limit = np.frombuffer(row["q_cutoffs"], dtype=np.int64)
-                    least = -((-limit) // nodes)  # the smallest integer at or above cutoff/nodes
+                    least = np.frombuffer(row["q_limits"], dtype=np.int64)
                     r, at = np.nonzero(part >= least[:, None])
                 for lo in range(0, len(r), 100_000):
                     a, b = r[lo : lo + 100_000], at[lo : lo + 100_000]
@@ -132,8 +131,8 @@ def top_k(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embeddin
     def against(queries: DataFrame, cutoff: bool) -> DataFrame:
         """Each block of queries beside each block of candidates, node by node."""
         q = _blocks(queries, QUERY_BLOCK, n_wanted, dim, nodes, cutoff, min(partitions, n_wanted))
-        q = q.select("node", *(F.col(c).alias(f"q_{c}") for c in ("ids", "matrix", "cutoffs")), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
-        return candidates.drop("cutoffs").join(q, ["block", "node"])
+        q = q.select("node", *(F.col(c).alias(f"q_{c}") for c in ("ids", "matrix", "limits")), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
+        return candidates.drop("limits").join(q, ["block", "node"])
 
     by_vector = classes.select("rep", "v")
     query_vector = wanted.select(F.col("rep").alias("query"), F.col("v").alias("q"))
@@ -142,14 +141,20 @@ def top_k(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embeddin
         return pairs.join(by_vector, "rep").join(query_vector, "query").withColumn("score", _dot(F.col("v"), F.col("q"))).drop("v", "q")
 
     # phase 1
-    local = _node_lists(against(wanted, False), keep, nodes)
+    local = written(_node_lists(against(wanted, False), keep), "node-lists")
     listed = local.withColumn("n", F.row_number().over(Window.partitionBy("query", "node").orderBy(F.desc("part"), "rep"))).where(F.col("n") <= keep)
     known = scored(listed.select("query", "rep").distinct())
     kth = known.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "rep"))).where(F.col("n") == keep).select("query", F.col("score").alias("cutoff"))
+    peaks = local.groupBy("query").agg(*(F.max(F.when(F.col("node") == j, F.col("part"))).alias(f"p{j}") for j in range(nodes)))
     # fewer classes than are asked for: everything has to be sent, so the cutoff is low enough for any part
-    cutoffs = written(wanted.select(F.col("rep").alias("query"), "v").join(kth, "query", "left").select(F.col("query").alias("rep"), "v", F.coalesce("cutoff", F.lit(-(1 << 62))).alias("cutoff")), "cutoffs")
+    cutoff = F.coalesce("cutoff", F.lit(-(1 << 62)))
+    share = F.expr(f"-((-coalesce(cutoff, {-(1 << 62)})) div {nodes})") + F.when((cutoff > 0) & (cutoff % nodes != 0), 1).otherwise(0)  # rounded up
+    others = [sum((F.col(f"p{i}") for i in range(nodes) if i != j), F.lit(0).cast("long")) for j in range(nodes)]
+    limits = F.array(*(F.greatest(share, cutoff - rest) for rest in others))
+    bounds = wanted.select(F.col("rep").alias("query"), "v").join(kth, "query", "left").join(peaks, "query", "left")
+    cutoffs = written(bounds.select(F.col("query").alias("rep"), "v", cutoff.alias("cutoff"), limits.alias("limits")), "cutoffs")
     # phase 2
-    sent = _node_lists(against(cutoffs, True), None, nodes)
+    sent = _node_lists(against(cutoffs, True), None)
     sums = sent.groupBy("query", "rep").agg(F.sum("part").alias("sum"), F.count("*").alias("parts"))
     limit = cutoffs.select(F.col("rep").alias("query"), "cutoff")
     bound = F.col("sum") + (F.lit(nodes) - F.col("parts")) * (F.ceil(F.col("cutoff") / F.lit(nodes)) - 1)

@@ -44,7 +44,7 @@ def test_span_hashes_depend_on_bytes_alone():
 
 
 def _topk(rows, k=10):
-    good = [(i, [math.floor(np.float32(x).astype(float) * 1024) for x in v]) for i, v in rows if v and all(x is not None and math.isfinite(x) for x in v)]
+    good = [(i, [math.floor(np.float32(x).astype(float) * 1024) for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
     for q, v in good:
         if q % 100 == 0:
