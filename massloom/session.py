@@ -32,9 +32,12 @@ BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by ``BATCH_BYTES``, so that rows of long texts fill neither the JVM's buffers nor the workers."""
+    """Bound Arrow batches by ``BATCH_BYTES``, so that rows of long texts fill neither the JVM's buffers nor the workers.
+
+    A bound that the session or the cluster already sets, in whatever unit, stays as it is.
+    """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
+    if name not in spark.conf.getAll:
         spark.conf.set(name, str(BATCH_BYTES))
 
 

@@ -236,7 +236,7 @@ def read_predicted_rt(spark: SparkSession, path: str) -> DataFrame:
 def read_parameters(spark: SparkSession, path: str) -> dict[str, str]:
     """Options of a file of ``name=value`` lines; ``#`` begins a comment. A file of options is small by nature."""
     rows = spark.read.text(path).select(F.trim(F.regexp_replace("value", r"#.*$", "")).alias("v")).where(F.col("v").contains("="))
-    return {k.strip(): v.strip() for k, _, v in (r.v.partition("=") for r in rows.limit(10_000).collect())}
+    return {k.strip(): v.strip() for k, _, v in (r.v.partition("=") for r in rows.collect())}
 
 
 READERS = {"sqt": read_sqt, "xml": read_pepxml, "pepxml": read_pepxml, "mzid": read_mzid, "tsv": read_psm_table, "txt": read_psm_table, "parquet": lambda s, p, top_match=0: s.read.parquet(p)}
