@@ -11,13 +11,13 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from massloom.functions.sequence import AMMONIA, BIN_OFFSET, BIN_WIDTH, PROTON, RESIDUE_MASS, WATER
 from massloom.operators.confidence import competition, tdc_qvalues
 from massloom.operators.joins import interval_join, mass_windows
-from massloom.operators.ranking import delta_scores, tailor_scores, top_n
+from massloom.operators.ranking import top_n
 from massloom.session import written
 
 #: Fixed values of the cross-correlation.
@@ -300,51 +300,48 @@ def residue_evidence(mz: np.ndarray, intensity: np.ndarray, residues: int, steps
     return out
 
 
-def residue_evidence_p(matrix: np.ndarray, names: list[str], steps: dict[str, int], sequence: str, scale: float = 10.0) -> tuple[float, float]:
-    """(score, p-value): the summed residue evidence of a peptide against all sequences of its mass; ties count in full."""
-    grid = np.round(matrix * scale).astype(np.int64)
-    residues = matrix.shape[1] - 1
-    row = {n: k for k, n in enumerate(names)}
-    at, score = 0, 0
-    for c in sequence:
-        at += steps[c]
-        if at <= residues:
-            score += int(grid[row[c], at])
+def residue_tail(grid: np.ndarray, names: list[str], steps: dict[str, int], weights: dict[str, float] | None = None) -> np.ndarray:
+    """Chance of at least each summed evidence (integers) among all sequences of a whole mass, residues drawn with ``weights``."""
+    residues = grid.shape[1] - 1
     longest = residues // max(1, min(steps.values())) + 1
     size = int(np.sort(grid.max(axis=0))[::-1][:longest].sum()) + 1
+    share = np.array([(weights or {}).get(n, 0.0 if weights else 1.0) for n in names])
+    share = share / share.sum()
     table = np.zeros((residues + 1, size))
     table[0, 0] = 1.0
     for m in range(1, residues + 1):
-        for n in names:
+        for k, n in enumerate(names):
             b = steps[n]
             if b <= m:
-                g = int(grid[row[n], m])
-                table[m, g:] += table[m - b, : size - g] / len(names)
+                g = int(grid[k, m])
+                table[m, g:] += table[m - b, : size - g] * share[k]
     last = table[residues]
     mass = last.sum()
-    return score / scale, float(last[min(score, size) :].sum() / mass) if mass > 0 else 1.0
+    return np.cumsum(last[::-1])[::-1] / mass if mass > 0 else np.ones(size)
 
 
-def search(spectra: DataFrame, index: DataFrame, kind: str = "ppm", window: float = 50.0, isotopes: tuple[int, ...] = (0,), top_match: int = 5, static: dict[str, float] | None = None, separate: bool = True, **scoring) -> DataFrame:
+def residue_evidence_p(matrix: np.ndarray, names: list[str], steps: dict[str, int], sequence: str, scale: float = 10.0) -> tuple[float, float]:
+    """(score, p-value): the summed residue evidence of a peptide against all sequences of its mass; ties count in full."""
+    grid = np.round(matrix * scale).astype(np.int64)
+    row = {n: k for k, n in enumerate(names)}
+    at, score = 0, 0
+    for c in sequence:
+        at += steps[c]
+        if at < grid.shape[1]:
+            score += int(grid[row[c], at])
+    tail = residue_tail(grid, names, steps)
+    return score / scale, float(tail[min(score, len(tail) - 1)])
+
+
+def search(spectra: DataFrame, index: DataFrame, **options) -> DataFrame:
     """Matches of spectra (``spectrum_charges`` rows) and an index: the best ``top_match`` per spectrum with ranks, delta and tailor scores.
 
-    With ``separate`` targets and decoys are ranked apart. Spectra without candidates give no rows.
+    Options: ``kind``, ``window`` and ``isotopes`` of the mass windows, ``score`` (``xcorr``, ``exact``, ``residue-evidence`` or ``combined``), ``separate`` (targets
+    and decoys are ranked apart), and those of preprocessing; see ``massblocks.search_blocks``.
     """
-    named = spectra.withColumn("spec_id", F.xxhash64("file", "scan", "charge"))
-    found = candidates(named, index, kind, window, isotopes)
-    scored = score_candidates(named, found, static, **scoring)
-    by = ["spec_id", "is_decoy"] if separate else ["spec_id"]
-    tie = ["mod_sequence"]
-    rows = tailor_scores(scored, by, "xcorr score", tie, out="tailor score")
-    rows = delta_scores(rows, by, "xcorr score", top_match, tie)
-    rows = rows.withColumn("distinct matches/spectrum", F.count("*").over(_window(by)))
-    best = top_n(rows, by, "xcorr score", top_match, tie, out="xcorr rank")
-    info = named.select("spec_id", "file", "scan", "charge", F.col("precursor_mz").alias("spectrum precursor m/z"), F.col("neutral_mass").alias("spectrum neutral mass"))
-    return best.join(info, "spec_id").withColumnsRenamed({"mass": "peptide mass"})
-
-
-def _window(by: list[str]):
-    return Window.partitionBy(*by)
+    from massloom.operators.massblocks import search_blocks
+
+    return search_blocks(spectra, index, **options)
 
 
 def localize(psms: DataFrame, spectra: DataFrame, top: int = 1, min_gap: float = 0.5, static: dict[str, float] | None = None, **scoring) -> DataFrame:

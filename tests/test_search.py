@@ -95,7 +95,7 @@ def index(spark):
 def test_search_finds_the_peptides(spark, index):
     seqs = ["AGDEFLLK", "GGHWLLAAK", "AEDGGTTSSR"]
     rows = spark.createDataFrame([spectrum(k, s) for k, s in enumerate(seqs)], SCHEMA)
-    got = search.search(spectrum_charges(rows), index, kind="mass", window=3.0, p_value=True)
+    got = search.search(spectrum_charges(rows), index, kind="mass", window=3.0, score="exact")
     best = {r.scan: r for r in got.where("not is_decoy and `xcorr rank` = 1").collect()}
     assert [best[k].sequence for k in range(3)] == seqs
     for k, s in enumerate(seqs):
@@ -103,6 +103,82 @@ def test_search_finds_the_peptides(spark, index):
     assert search.search(spectrum_charges(rows.limit(0)), index, kind="mass", window=3.0).count() == 0
 
 
+def by_rows(spectra, index, min_candidates, **scoring):
+    """The search as rows: padded candidates, scored pair by pair, ranked by the column operators."""
+    from massloom.operators.joins import mass_windows
+    from massloom.operators.ranking import delta_scores, tailor_scores, top_n
+
+    named = spectra.withColumn("spec_id", F.xxhash64("file", "scan", "charge"))
+    w = mass_windows(named, "mass", 3.0).select("spec_id", F.col("windows")[0]["lo"].alias("lo"), F.col("windows")[0]["hi"].alias("hi")).collect()
+    peptides = sorted(index.collect(), key=lambda r: (r.mass, r.mod_sequence, r.is_decoy))
+    rows = []
+    for s in w:
+        mine = [p for p in peptides if s.lo <= p.mass <= s.hi]
+        more = [p for p in peptides if p.mass > s.hi][: max(0, min_candidates - len(mine))] if mine else []
+        rows += [(s.spec_id, p.mod_sequence, p.is_decoy, p in mine) for p in mine + more]
+    pairs = named.sparkSession.createDataFrame(rows, "spec_id long, mod_sequence string, is_decoy boolean, active boolean")
+    scored = search.score_candidates(named, pairs.join(index, ["mod_sequence", "is_decoy"]), **scoring)
+    by, tie = ["spec_id", "is_decoy"], ["mod_sequence"]
+    rated = tailor_scores(scored, by, "xcorr score", tie, out="tailor score").where("active")
+    return top_n(delta_scores(rated, by, "xcorr score", 5, tie), by, "xcorr score", 5, tie, out="xcorr rank").join(named.select("spec_id", "scan", "charge"), "spec_id")
+
+
+@pytest.mark.parametrize("block", [2.0, 300.0])
+def test_blocks_equal_pairs(spark, index, block):
+    seqs = ["AGDEFLLK", "GGHWLLAAK", "AEDGGTTSSR", "VVNSTRPEEPTIDEK"]
+    rows = spectrum_charges(spark.createDataFrame([spectrum(k, s, shift=0.3 * k) for k, s in enumerate(seqs)], SCHEMA), (2, 3))
+    rows = rows.unionByName(rows.withColumn("charge", F.lit(3)).withColumn("scan", F.col("scan") + 10))
+    columns = ["scan", "charge", "is_decoy", "mod_sequence", "xcorr rank", "b/y ions matched", "b/y ions total", "b/y ion repeat match", "xcorr score", "tailor score", "delta_cn", "delta_lcn", "exact p-value"]
+    for least in (30, 0):
+        want = by_rows(rows, index, least).withColumn("exact p-value", F.lit(0.0))
+        got = search.search(rows, index, kind="mass", window=3.0, min_candidates=least, block=block).withColumn("exact p-value", F.lit(0.0))
+        view = lambda df: sorted(tuple(round(v, 8) if isinstance(v, float) else v for v in r) for r in df.select(*(f"`{c}`" for c in columns)).collect())
+        assert view(got) == view(want) and got.count() > 0
+
+
+def test_p_values_of_blocks_equal_single_ones(spark, index):
+    seqs = ["AGDEFLLK", "GGHWLLAAK"]
+    rows = spectrum_charges(spark.createDataFrame([spectrum(k, s) for k, s in enumerate(seqs)], SCHEMA))
+    got = search.search(rows, index, kind="mass", window=20.0, score="combined", tolerance=0.05).collect()
+    assert {r.scan for r in got if not r.is_decoy and r["xcorr rank"] == 1 and r.sequence == seqs[r.scan]} == {0, 1}
+    from massloom.operators.massblocks import _frequencies
+
+    weights = _frequencies(index)
+    steps = {r: int(round(RESIDUE_MASS[r] / search.UNIT_WIDTH)) for r in weights}
+    for r in got:
+        one = spectrum(r.scan, seqs[r.scan])
+        mz, intensity = np.array(one[8]), np.array(one[9])
+        null = search.NullScores(mz, intensity, one[3], 2, {}, weights)
+        score, p = null.rate(r.sequence, [])
+        assert abs(r["refactored xcorr"] - score) < 1e-9 and abs(r["exact p-value"] - p) < 1e-12
+        unit = sum(steps[c] for c in r.sequence)
+        grid = np.round(search.residue_evidence(mz, intensity, unit, steps, 0.05) * 10).astype(int)
+        ends = np.cumsum([steps[c] for c in r.sequence])
+        s = sum(int(grid[sorted(steps).index(c), e]) for c, e in zip(r.sequence, ends))
+        q = float(search.residue_tail(grid, sorted(steps), steps, weights)[s])
+        assert abs(r["res-ev score"] - s / 10) < 1e-9 and abs(r["res-ev p-value"] - q) < 1e-12
+        want = spark.range(1).select(search.combined_p(F.lit(p * q))).first()[0] if q > 0 else p
+        assert abs(r["combined p-value"] - want) < 1e-12
+    with pytest.raises(ValueError):
+        search.search(rows, index, score="none")
+
+
+def test_residue_tail_counts_all_sequences():
+    steps = {"A": 1, "B": 2, "C": 3}
+    grid = np.random.default_rng(1).integers(0, 4, (3, 8))
+    weights = {"A": 2.0, "B": 1.0, "C": 1.0}
+    chance = {}
+    for n in range(1, 8):
+        for w in itertools.product("ABC", repeat=n):
+            ends = np.cumsum([steps[c] for c in w])
+            if ends[-1] == 7:
+                s = sum(grid["ABC".index(c), e] for c, e in zip(w, ends))
+                chance[s] = chance.get(s, 0) + float(np.prod([weights[c] / 4 for c in w]))
+    tail = search.residue_tail(grid, list("ABC"), steps, weights)
+    for s in chance:
+        assert abs(tail[s] - sum(v for k, v in chance.items() if k >= s) / sum(chance.values())) < 1e-12
+
+
 def test_localize(spark, index):
     seq, shift = "AGDEFLLK", 79.97
     m = np.array([RESIDUE_MASS[c] for c in seq])
