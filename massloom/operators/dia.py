@@ -1,4 +1,4 @@
-"""Data-independent acquisition: precursor and co-elution features, ensemble score and filter."""
+"""Data-independent acquisition: precursor and co-elution features, ensemble score and filter; ``dia_run`` has the whole analysis."""
 
 from __future__ import annotations
 
@@ -50,25 +50,23 @@ def precursor_ranks(psms: DataFrame, peaks: DataFrame, ppm: float = 20.0, isotop
     return out
 
 
-def coelution(traces: DataFrame, by: list[str] = ("psm_id",), kind: str = "kind", trace: str = "trace", best: int = 3) -> DataFrame:
-    """(by, ms1, ms2, ms1_ms2): means of the ``best`` cosines between chromatograms, within and across levels.
+def coelution(traces: DataFrame, by: list[str] = ("psm_id",), kind: str = "kind", trace: str = "trace", order: str = "ion", best: int = 3) -> DataFrame:
+    """(by, ms1, ms2, ms1_ms2): the ``best`` cosines between chromatograms over ``best``, within the levels and of the first MS1 trace with all of MS2.
 
-    A match has few traces (its isotopes and fragments), so pairing them within the match is bounded.
+    A match has few traces (its isotopes and fragments), so pairing them within the match is bounded. Too few pairs count as cosines of 0.
     """
-    rows = traces.groupBy(*by).agg(
-        F.collect_list(F.when(F.col(kind) == "ms1", F.col(trace))).alias("a"),
-        F.collect_list(F.when(F.col(kind) == "ms2", F.col(trace))).alias("b"),
-    )
+    level = lambda k: F.transform(F.sort_array(F.collect_list(F.when(F.col(kind) == k, F.struct(F.col(order).alias("o"), F.col(trace).alias("t"))))), lambda x: x["t"])
+    rows = traces.groupBy(*by).agg(level("ms1").alias("a"), level("ms2").alias("b"))
 
     def pairs(x: Column, y: Column, same: bool) -> Column:
         nested = F.transform(x, lambda p, i: F.transform(F.slice(y, i + 2, F.greatest(F.size(y) - i - 1, F.lit(0))) if same else y, lambda q: normalised_dot(p, q)))
         return F.flatten(nested)
 
     def mean(values: Column) -> Column:
-        t = top_k(values, best)
-        return F.when(F.size(t) > 0, total(t) / F.size(t)).otherwise(F.lit(0.0))
+        return total(top_k(values, best)) / best
 
-    return rows.select(*by, mean(pairs(F.col("a"), F.col("a"), True)).alias("ms1"), mean(pairs(F.col("b"), F.col("b"), True)).alias("ms2"), mean(pairs(F.col("a"), F.col("b"), False)).alias("ms1_ms2"))
+    a, b = F.col("a"), F.col("b")
+    return rows.select(*by, mean(pairs(a, a, True)).alias("ms1"), mean(pairs(b, b, True)).alias("ms2"), mean(pairs(F.slice(a, 1, 1), b, False)).alias("ms1_ms2"))
 
 
 def denoise(peaks: DataFrame, by: list[str], scan_index: str = "scan_index", mz: str = "mz", ppm: float = 20.0) -> DataFrame:
