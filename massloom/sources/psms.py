@@ -116,6 +116,18 @@ def read_sqt(spark: SparkSession, path: str, top_match: int = 0) -> DataFrame:
     return out.where(F.col("xcorr rank") <= top_match) if top_match else out
 
 
+def _elements(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
+    """(file, attributes and children) of every element ``tag``, which has attributes and holds no other of its kind.
+
+    Text is split at the tag, so a large document is read in parallel and the parts of a distributed write need no root of their own.
+    """
+    rows = spark.read.option("lineSep", f"<{tag} ").text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    alone = F.regexp_extract("value", r"^(?:[^>\"]|\"[^\"]*\")*/>", 0)
+    whole = F.when(alone != "", alone).otherwise(F.concat(F.substring_index("value", f"</{tag}>", 1), F.lit(f"</{tag}>")))
+    found = rows.where(F.contains("value", F.lit(f"</{tag}>")) | (alone != "")).select("file", F.from_xml(F.concat(F.lit(f"<{tag} "), whole), schema).alias("e"))
+    return found.select("file", "e.*")
+
+
 def read_pepxml(spark: SparkSession, path: str, top_match: int = 0) -> DataFrame:
     """pepXML search hits; scores that are not in the catalogue stay in the map ``custom scores``."""
     score = "array<struct<_name:string,_value:string>>"
@@ -123,8 +135,8 @@ def read_pepxml(spark: SparkSession, path: str, top_match: int = 0) -> DataFrame
         "struct<_hit_rank:int,_peptide:string,_peptide_prev_aa:string,_peptide_next_aa:string,_protein:string,_calc_neutral_pep_mass:double,_num_matched_ions:int,_tot_num_ions:int,"
         f"alternative_protein:array<struct<_protein:string>>,modification_info:struct<_modified_peptide:string,mod_aminoacid_mass:array<struct<_position:int,_mass:double>>>,search_score:{score}>"
     )
-    rows = spark.read.format("xml").option("rowTag", "spectrum_query").schema(f"_start_scan int, _assumed_charge int, _precursor_neutral_mass double, search_result array<struct<search_hit:array<{hit}>>>").load(path)
-    hits = rows.select(F.col("_metadata.file_path").alias("file"), "_start_scan", "_assumed_charge", "_precursor_neutral_mass", F.explode(F.flatten(F.transform("search_result", lambda r: r["search_hit"]))).alias("x"))
+    rows = _elements(spark, path, "spectrum_query", f"_start_scan int, _assumed_charge int, _precursor_neutral_mass double, search_result array<struct<search_hit:array<{hit}>>>")
+    hits = rows.select("file", "_start_scan", "_assumed_charge", "_precursor_neutral_mass", F.explode(F.flatten(F.transform("search_result", lambda r: r["search_hit"]))).alias("x"))
     scores = F.map_from_entries(F.transform("x.search_score", lambda s: F.struct(s["_name"], s["_value"].try_cast("double"))))
     hits = hits.withColumn("scores", scores)
     named = {"xcorr_score": "xcorr score", "delta_cn": "delta_cn", "sp_score": "sp score", "xcorr_rank": "xcorr rank", "sp_rank": "sp rank", "percolator_score": "percolator score", "percolator_qvalue": "percolator q-value", "tailor_score": "tailor score", "exact_pvalue": "exact p-value"}
@@ -141,13 +153,12 @@ def read_pepxml(spark: SparkSession, path: str, top_match: int = 0) -> DataFrame
 
 
 def read_mzid(spark: SparkSession, path: str, top_match: int = 0) -> DataFrame:
-    """mzIdentML matches joined to their peptides and, through the evidences, to their proteins."""
+    """mzIdentML matches joined to their peptides and, through the evidences, to their proteins; the parts that one write left are one document."""
     cv = "array<struct<_accession:string,_name:string,_value:string>>"
     item = f"struct<_peptide_ref:string,_chargeState:int,_experimentalMassToCharge:double,_calculatedMassToCharge:double,_rank:int,PeptideEvidenceRef:array<struct<_peptideEvidence_ref:string>>,cvParam:{cv}>"
 
     def tag(name: str, schema: str) -> DataFrame:
-        rows = spark.read.format("xml").option("rowTag", name).schema(schema).load(path)
-        return rows.select(F.col("_metadata.file_path").alias("file"), "*")
+        return _elements(spark, path, name, schema).withColumn("file", F.regexp_replace("file", r"/part-[^/]*$", ""))
 
     results = tag("SpectrumIdentificationResult", f"_spectrumID string, SpectrumIdentificationItem array<{item}>")
     peptides = tag("Peptide", "_id string, PeptideSequence string, Modification array<struct<_location:int,_monoisotopicMassDelta:double>>")

@@ -53,8 +53,9 @@ def _col(rows: DataFrame, name: str, default: str = "") -> Column:
 
 
 def _matches(psms: DataFrame, fields: list[Column]) -> DataFrame:
-    """A row per spectrum with its matches in rank order; a spectrum's matches are few (top-match)."""
-    return psms.groupBy("scan", "charge").agg(F.max("spectrum neutral mass").alias("mass"), F.sort_array(F.collect_list(F.struct(F.col("xcorr rank").alias("rank"), *fields))).alias("m")).orderBy("scan", "charge")
+    """A row per spectrum with its matches in rank order; a spectrum's matches are few (top-match). Files with the same scans stay apart."""
+    by = [c for c in ("file", "scan", "charge") if c in psms.columns]
+    return psms.groupBy(*by).agg(F.max("spectrum neutral mass").alias("mass"), F.sort_array(F.collect_list(F.struct(F.col("xcorr rank").alias("rank"), *fields))).alias("m")).orderBy(*by)
 
 
 def write_sqt(psms: DataFrame, path: str, database: str = "", overwrite: bool = False) -> None:

@@ -8,7 +8,7 @@ import os
 import duckdb
 import pytest
 
-from massloom.plans import contract, contract_search, contract_spectra  # noqa: F401
+from massloom.plans import contract, contract_runs, contract_search, contract_spectra  # noqa: F401
 
 SF = os.environ.get("MASSLOOM_TEST_SF", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
