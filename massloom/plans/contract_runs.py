@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from massloom.functions.sequence import NEUTRON, PROTON
-from massloom.operators import dia, dia_run, digestion, joins, search
+from massloom.operators import dia, dia_run, digestion, joins, search, sweeps
 from massloom.plans.contract import _lines, _proteins, query
 from massloom.plans.contract_search import _order_spectra
 from massloom.plans.contract_spectra import _DIGEST
@@ -177,7 +177,7 @@ f AS (SELECT scan, regr_slope(y, ln(1 + i)) AS slope, regr_intercept(y, ln(1 + i
 q AS (SELECT l_orderkey AS scan, l_orderkey % 3 + 1 AS z, max(l_extendedprice) / 50 * (1 + (l_orderkey % 7 - 3) * 8e-6) AS mz FROM lineitem GROUP BY 1, 2),
 a AS (SELECT scan, k, mz + k * {NEUTRON!r} / z AS x FROM q, (VALUES (0), (1), (2)) t(k)),
 n AS (SELECT a.*, (SELECT r.i FROM r WHERE r.scan = a.scan AND abs(r.mz - x) <= x * 20 / 1e6 ORDER BY abs(r.mz - x), r.mz LIMIT 1) AS i FROM a)
-SELECT scan, {', '.join(f'round(max(coalesce(slope, 0) * ln(1 + coalesce(i, 0)) + coalesce(intercept, 0)) FILTER (WHERE k = {k}), 6) + 0.0 AS precursor_m{k}' for k in range(3))} FROM n JOIN f USING (scan) GROUP BY 1""")
+SELECT scan, {', '.join(f'round(max(CASE WHEN slope IS NULL OR isnan(slope) THEN 0 ELSE slope * ln(1 + coalesce(i, 0)) + intercept END) FILTER (WHERE k = {k}), 6) + 0.0 AS precursor_m{k}' for k in range(3))} FROM n JOIN f USING (scan) GROUP BY 1""")
 def precursor_ranks(spark, sf_dir):
     lines = _lines(spark, sf_dir).withColumnRenamed("l_orderkey", "scan")
     mz = F.max("l_extendedprice") / 50 * (1 + (F.col("scan") % 7 - 3) * F.lit(8e-6))
@@ -215,3 +215,54 @@ SELECT sequence, round(least(floor((rt - lo) / ((hi - lo) / 100) + 1e-9) + 1, 10
 def predicted_share(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select(F.col("p_name").alias("sequence"), F.col("p_retailprice").alias("predicted_rt"))
     return dia_run.predicted_share(rows).select("sequence", F.round("share", 9).alias("share"))
+
+
+# sweeps
+
+
+_WINDOWS = "w AS (SELECT o_totalprice / 1000 - (o_custkey % 50) / 500.0 AS lo, o_totalprice / 1000 + (o_custkey % 7) / 100.0 AS hi FROM orders)"
+
+
+def _swept(least: int) -> str:
+    return f"""WITH {_WINDOWS}, p AS (SELECT x, sum(a) AS a, sum(b) AS b FROM (SELECT lo AS x, 1 AS a, 0 AS b FROM w UNION ALL SELECT hi, 0, 1 FROM w) GROUP BY 1),
+d AS (SELECT x, coalesce(sum(a - b) OVER (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, a, b FROM p),
+o AS (SELECT x, row_number() OVER (ORDER BY x) AS k FROM d WHERE before < {least} AND before + a >= {least}), c AS (SELECT x, row_number() OVER (ORDER BY x) AS k FROM d WHERE before + a >= {least} AND before + a - b < {least})
+SELECT round(o.x, 6) AS lo, round(c.x, 6) AS hi FROM o JOIN c USING (k)"""
+
+
+def _windows(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select((F.col("o_totalprice") / 1000 - F.col("o_custkey") % 50 / 500.0).alias("lo"), (F.col("o_totalprice") / 1000 + F.col("o_custkey") % 7 / 100.0).alias("hi"))
+
+
+@query(_swept(1))
+def window_union(spark, sf_dir):
+    return sweeps.covered(_windows(spark, sf_dir)).select(F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+
+
+@query(_swept(3))
+def window_intersection(spark, sf_dir):
+    return sweeps.covered(_windows(spark, sf_dir), least=3).select(F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+
+
+@query("""WITH s AS (SELECT l_suppkey % 5 AS file, l_orderkey AS scan, 500 + (l_partkey % 60) + l_linenumber * 0.001 AS mz, CAST(l_quantity AS DOUBLE) AS i FROM lineitem),
+k AS (SELECT file, scan, row_number() OVER (PARTITION BY file ORDER BY scan) AS k FROM (SELECT DISTINCT file, scan FROM s)),
+p AS (SELECT s.*, k FROM s JOIN k USING (file, scan)), m AS (SELECT row_number() OVER () AS id, * FROM p),
+o AS (SELECT m.id, q.k, max(q.i) AS best FROM m JOIN p q ON q.file = m.file AND q.k <> m.k AND q.k BETWEEN m.k - 3 AND m.k + 3 AND q.mz BETWEEN m.mz * (1 - 8 / 1e6) AND m.mz * (1 + 8 / 1e6) GROUP BY 1, 2),
+t AS (SELECT id, sum(best) AS total, count(*) AS n FROM o GROUP BY 1), l AS (SELECT file, max(k) AS last FROM k GROUP BY 1)
+SELECT m.file, m.scan, round(mz, 4) AS mz, round((i + total) / (least(m.k + 3, last) - greatest(m.k - 3, 1) + 1), 6) AS intensity, CAST(n + 1 AS INTEGER) AS n FROM m JOIN t USING (id) JOIN l ON l.file = m.file""")
+def boxcar(spark, sf_dir):
+    mz = 500 + F.col("l_partkey") % 60 + F.col("l_linenumber") * F.lit(0.001)
+    peaks = _lines(spark, sf_dir).select((F.col("l_suppkey") % 5).alias("file"), F.col("l_orderkey").alias("scan"), F.struct(mz.alias("m"), F.col("l_quantity").cast("double").alias("i")).alias("p"))
+    rows = peaks.groupBy("file", "scan").agg(F.collect_list("p").alias("p")).select("file", "scan", F.transform("p", lambda x: x["m"]).alias("mz"), F.transform("p", lambda x: x["i"]).alias("intensity"))
+    found = sweeps.boxcar(rows, 3, 8.0, 2)
+    return found.select("file", "scan", F.round("mz", 4).alias("mz"), F.round("intensity", 6).alias("intensity"), "n")
+
+
+@query("""WITH p AS (SELECT l_suppkey AS t, CAST(floor(epoch(l_shipdate) / 86400) AS BIGINT) % 400 AS day, CAST(sum(l_quantity) AS DOUBLE) AS v FROM lineitem GROUP BY 1, 2),
+s AS (SELECT t, min(day) AS lo, max(day) AS hi FROM p GROUP BY 1)
+SELECT x.t AS a, y.t AS b, count(*) AS n, round(corr(x.v, y.v), 6) AS r FROM p x JOIN p y ON x.day = y.day AND x.t < y.t GROUP BY 1, 2 HAVING count(*) >= 4 AND min(x.v) < max(x.v) AND min(y.v) < max(y.v)""")
+def trace_correlations(spark, sf_dir):
+    at = F.floor(F.unix_timestamp("l_shipdate") / 86400) % 400
+    points = _lines(spark, sf_dir).groupBy(F.col("l_suppkey").alias("trace_id"), at.alias("scan")).agg(F.sum("l_quantity").cast("double").alias("intensity"))
+    found = sweeps.trace_correlations(points, least=4)
+    return found.where("r is not null").select("a", "b", "n", F.round("r", 6).alias("r"))
