@@ -13,8 +13,10 @@ the corpus holds, which is what makes highly repetitive text cheap.
 *Order.* Only phrases of one trigger can share a window. Two orders with their common prefixes are made for the phrases of a trigger:
 of the dictionary's suffixes that end in the trigger (read backwards from it), and of the parse's suffixes that follow it. A window is a dictionary suffix of some length
 and the rest of 200 bytes of a parse suffix, so both orders combined give the corpus order: windows are neighbours
-with a common prefix of 200 bytes where they agree in both. Bytes are compared, not hashes.
+with a common prefix of 200 bytes where they agree in both. Different phrases are compared by their bytes; equal phrases are known by two 64-bit
+hashes, equal texts by 128 bits. The orders stop at 200 bytes and at a trigger's phrases, no suffix array of the whole corpus is made.
 
+A long text is parsed in pieces that overlap by a window; a phrase that a piece's end cuts is two phrases of one trigger.
 Triggers with more than ``CROWDED`` phrases are not ordered in one task; their windows are counted by 128-bit
 fingerprints, combined before the shuffle, so that every window of every trigger is looked at either way.
 Joins deal the rows of frequent keys over several partitions (``_join_dealt``).
@@ -39,6 +41,8 @@ GRAM = 32
 #: One place in so many is a trigger.
 MODULUS = 128
 CROWDED = 3000
+#: Window starts of a long text that are parsed at once.
+PIECE = 1 << 20
 #: Bytes of phrases that are ordered at once.
 ORDERED_BYTES = 1 << 20
 #: Keys with over one row in ``HOT`` are dealt over ``SALTS`` partitions; there are fewer than ``HOT`` of them.
@@ -82,14 +86,25 @@ def parse(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int
     return row[a], hashes[place[a]], span_hash(sums, a, b + length), a - offsets[row[a]], b - a + 1, place[a] - a
 
 
+def _parsed(texts: pa.Array):
+    """First row and phrases of bounded runs of rows or pieces of a row."""
+    for first, n, buf, offsets in slices(texts, 1 << 19):
+        if n > 1 or len(buf) < PIECE + LENGTH:
+            yield first, *parse(buf, offsets)
+            continue
+        for at in range(0, len(buf) - LENGTH + 1, PIECE):
+            part = buf[at : at + PIECE + LENGTH - 1]
+            row, trigger, phrase, start, windows, lead = parse(part, np.array([0, len(part)]))
+            yield first, row, trigger, phrase, start + at, windows, lead
+
+
 def _phrases(docs: DataFrame) -> DataFrame:
     """(trigger, phrase, node, start, windows, lead) of every phrase of (text, node)."""
 
     def run(batches):
         for batch in batches:
             node = column(batch, "node")
-            for first, _, buf, offsets in slices(column(batch, "text"), 1 << 19):
-                row, trigger, phrase, start, windows, lead = parse(buf, offsets)
+            for first, row, trigger, phrase, start, windows, lead in _parsed(column(batch, "text")):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(trigger.view(np.int64)), pa.array(phrase.view(np.int64)), node.take(pa.array(first + row)), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int16)), pa.array(lead.astype(np.int16))],
                     names=["trigger", "phrase", "node", "start", "windows", "lead"],
@@ -190,7 +205,7 @@ def _fingerprints(batches):
 
 def spread(starts: list[tuple[int, int, bytes | None]], size: int, length: int = LENGTH) -> list[list[int]]:
     """Maximal runs of bytes that the repeated windows cover, from (start, windows, flags or None for all)."""
-    edges = np.zeros(size + 1, dtype=np.int64)
+    edges = np.zeros(size + 1, dtype=np.int32)
     for start, windows, flags in starts:
         if flags is None:
             edges[start] += 1
@@ -199,7 +214,7 @@ def spread(starts: list[tuple[int, int, bytes | None]], size: int, length: int =
             at = start + np.flatnonzero(np.unpackbits(np.frombuffer(flags, dtype=np.uint8), count=windows))
             np.add.at(edges, at, 1)
             np.add.at(edges, at + length, -1)
-    inside = np.cumsum(edges[:-1]) > 0
+    inside = np.cumsum(edges[:-1], dtype=np.int32) > 0
     turn = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
     return turn.reshape(-1, 2).tolist()
 

@@ -320,7 +320,9 @@ def _strings(seed=4):
     return out
 
 
-def test_substrings_match_brute_force(spark):
+@pytest.mark.parametrize("piece", [1 << 20, 37])
+def test_substrings_match_brute_force(spark, monkeypatch, piece):
+    monkeypatch.setattr(substrings, "PIECE", piece)
     texts = [*_strings(), None]
     want = dict(enumerate(substrings.brute_force([(t or "").encode() for t in texts])))
     df = frame(spark, list(enumerate(texts)), "doc_id long, text string").withColumn("marks", F.lit(1)).withColumn("KEPT", F.lit("clash"))
