@@ -270,3 +270,96 @@ def test_audit_of_empty_tables_and_other_filters(spark):
     rows = spark.createDataFrame([("p", True, None, True), ("p", True, True, False), (None, False, False, True)], "part string, x boolean, y boolean, l boolean")
     got = {(r.part, r.filter_order, r.step): r for r in audit.audit(rows, ["x", "y"], ["l"]).collect()}
     assert len(got) == 8 and got["p", "xy", 1].removed == 2 and got["p", "xy", 2].redundant == 1 and got["p", "yx", 1].l_lost == 0 and got["", "xy", 2].kept == 1 and got["p", "yx", 2].shapley == 3
+
+
+# quality
+
+
+def slow_statistics(text):
+    b = (text or "").encode()
+    w = b.split()
+    n, many = max(1, len(b)), max(1, len(w))
+    up = [c for k, c in enumerate(b) if 65 <= c <= 90 or (c in range(0x80, 0x9F) and k and b[k - 1] == 0xC3)]
+    is_up = [65 <= c <= 90 or (k > 0 and b[k - 1] == 0xC3 and 0x80 <= c < 0x9F) for k, c in enumerate(b)]
+    letter = lambda c: 65 <= c <= 90 or 97 <= c <= 122 or c >= 128
+    times = {}
+    for x in w:
+        times[x] = times.get(x, 0) + 1
+    caps, at = 0, 0
+    for x in w:
+        at = b.index(x, at)
+        caps += sum(is_up[at : at + len(x)]) >= 2 and sum(map(letter, x)) > 1
+        at += len(x)
+    of = lambda s: sum(c in s for c in b) / n
+    return [
+        math.log1p(len(b)), math.log1p(len(w)), min(sum(map(len, w)) / many, 40), sum(len(x) > 16 for x in w) / many, len(up) / n, of(b"0123456789"), of(b".,;:?'\"()-"), of(b"#$%&*+/<=>@[\\]^_`{}~"),
+        of(b"!"), of(b"|"), sum(c > 127 for c in b) / n, b.count(10) / many, len(times) / many**0.9, sum(x == y for x, y in zip(w, w[1:])) / many, max(times.values(), default=0) / many, caps / many, sum(x[-1:] in (b".", b",") for x in w) / many,
+    ]
+
+
+def test_statistics_equal_the_slow_ones():
+    from massloom.llm import quality
+    from massloom.llm.bytehash import slices
+
+    rng = random.Random(13)
+    texts = [*ODD, *(prose(rng, n, 30) for n in (1, 20, 200)), "ÄÖ AB ÀÞ xY, Zz. 12\n\n#!| ", "a a A A b b.", "averyverylongwordindeed! OK OK"]
+    got = np.concatenate([quality.statistics(buf, offsets) for _, _, buf, offsets in slices(pa.array(texts))])
+    assert np.allclose(got, [slow_statistics(t) for t in texts])
+
+
+def test_quality_scores_equal_a_direct_ridge(spark):
+    """Features, normal equations, halves and calibration by plain numpy over one small table, with the model's random directions."""
+    from pyspark.sql import functions as F
+
+    from massloom.llm import quality
+
+    rng = random.Random(14)
+    texts = [(i, prose(rng, rng.randrange(5, 60)) if i % 3 else prose(rng, 8, 2).upper() + " |!") for i in range(240)] + [(900 + k, t) for k, t in enumerate(ODD)]
+    labels = [(i, int(i % 3 > 0 and i % 11 > 0)) for i in range(0, 240, 2)]
+    docs = spark.createDataFrame([(i, t, "clash", 1) for i, t in texts], "doc_id long, text string, statistics string, score int").repartition(5)
+    known = spark.createDataFrame(labels + [(4, 0), (None, 1)], "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in quality.classify(docs, known, F.col("doc_id") % 10 != 0).collect()}
+    fold = {r.doc_id: r.f for r in spark.createDataFrame(labels, "doc_id long, y int").select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("f")).collect()}
+    learnt = [(i, y) for i, y in labels if i % 10]
+    x = {i: np.array(slow_statistics(t)) for i, t in texts}
+    train = np.array([x[i] for i, _ in learnt])
+    y = np.array([float(v) for _, v in learnt])
+    f = np.array([fold[i] for i, _ in learnt])
+    r = np.random.default_rng(11)
+    omega, phase = r.normal(0, 1 / np.sqrt(17 / 2), (17, quality.FEATURES)), r.uniform(0, 2 * np.pi, quality.FEATURES)
+    spread = train.std(axis=0)
+    spread = np.where(spread > 1e-9, spread, 1.0)
+
+    def features(rows):
+        z = np.clip((rows - train.mean(axis=0)) / spread, -4, 4)
+        return np.hstack([np.ones((len(rows), 1)), np.cos(z @ omega + phase) * np.sqrt(2 / quality.FEATURES)])
+
+    def ridge(rows, want):
+        z = features(rows)
+        return np.linalg.lstsq(np.vstack([z, np.sqrt(0.1) * np.eye(z.shape[1])]), np.append(want, np.zeros(z.shape[1])), rcond=None)[0]
+
+    half = [ridge(train[f == k], y[f == k]) for k in (0, 1)]
+    raw = np.where(f == 0, features(train) @ half[1], features(train) @ half[0])
+    place = np.clip(np.floor((raw + 0.5) / 2 * quality.BINS), 0, quality.BINS - 1)
+    bins = np.unique(place)
+    weight = np.array([(place == b).sum() for b in bins], dtype=float)
+    level = [np.array([y[place == b].mean() for b in bins])]
+    # isotonic regression as the largest of the least means
+    sums, counts = np.concatenate([[0], np.cumsum(level[0] * weight)]), np.concatenate([[0], np.cumsum(weight)])
+    iso = [max(min((sums[b] - sums[a]) / (counts[b] - counts[a]) for b in range(k + 1, len(bins) + 1)) for a in range(k + 1)) for k in range(len(bins))]
+    whole = ridge(train, y)
+    for i, _ in texts:
+        s = float(features(x[i][None])[0] @ whole)
+        want = np.clip(0.99 * np.interp(s, (bins + 0.5) * 2 / quality.BINS - 0.5, iso) + 0.01 * np.clip(s, 0, 1), 0, 1)
+        assert abs(got[i] - want) < 1e-5, i
+
+
+def test_quality_of_an_empty_table_and_a_long_text(spark):
+    from pyspark.sql import functions as F
+
+    from massloom.llm import quality
+
+    docs, labels = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert quality.classify(docs, labels, F.lit(True)).count() == 0
+    long = spark.createDataFrame([(1, "word " * 400_000), (2, "|"), (3, None)], "doc_id long, text string")
+    assert all(0 <= r.score <= 1 for r in quality.classify(long, labels, F.lit(True)).collect())
