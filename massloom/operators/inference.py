@@ -9,10 +9,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from massloom.functions.sequence import PROTON
+from massloom.functions.sequence import PROTON, RESIDUE_MASS, WATER
 
 #: Fixed values of the estimator.
 AVERAGINE_STEP, PRECURSOR_FACTOR, FRAGMENT_FACTOR, LEAST_PAIRS, MAX_PAIRS = 1.000495, 37.404067, 0.004274, 200, 100_000
@@ -148,3 +149,87 @@ def silac_labels(spectra: DataFrame, reach: int = 50, z_limit: float = 6.0) -> d
     rest = np.array([counts.get(d, 0) for d in range(2, 31) if d not in marked], dtype=float)
     limit = rest.mean() + z_limit * max(rest.std(), 1.0)
     return {name: counts.get(round(m / AVERAGINE_STEP), 0) > limit for name, m in SILAC.items()}
+
+
+#: Places beside a reporter ion where nothing is expected, and the losses beside the phosphoric one, in Da.
+BESIDE, OTHER_LOSSES = (-0.1, -0.05, 0.05, 0.1), (-20.0, -15.0, -10.0, -5.0, 5.0, 10.0, 15.0, 20.0)
+#: t values from which on a signal counts.
+T_REPORTER, T_PHOSPHO, T_ENZYME = 3.5, 3.5, 2.0
+
+
+def detector_places() -> list[tuple[str, str, str, float]]:
+    """(detector, ion, kind, value): ``fixed`` stands at the value, ``loss`` at precursor m/z - value / charge, ``rest`` at M+H - value."""
+    out = []
+    for m in sorted({m for ms in REPORTERS.values() for m in ms}):
+        out.append(("reporter", f"{m}", "fixed", m))
+        out += [("reporter control", f"{m}{d:+}", "fixed", m + d) for d in BESIDE]
+    out.append(("phospho", "0.0", "loss", PHOSPHO_LOSS))
+    out += [("phospho control", f"{d}", "loss", PHOSPHO_LOSS + d) for d in OTHER_LOSSES]
+    for r, m in sorted(RESIDUE_MASS.items()):
+        out.append(("y1", r, "fixed", m + WATER + PROTON))
+        out.append(("last b", r, "rest", m + WATER))
+    return out
+
+
+def detector_counts(spectra: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """(detector, ion, n, total, squares): over spectra with charge, precursor_mz, mz and intensity, the intensity near each place as a share of the strongest peak.
+
+    One pass serves all detectors: a task keeps three sums for each place and sends them once.
+    """
+    places = detector_places()
+    kind, value = np.array([p[2] for p in places]), np.array([p[3] for p in places])
+
+    def run(batches):
+        sums = np.zeros((3, len(places)))
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                mz, intensity = np.asarray(r.mz, dtype=float), np.asarray(r.intensity, dtype=float)
+                if not len(mz) or intensity.max() <= 0:
+                    continue
+                order = np.argsort(mz, kind="stable")
+                mz, run_ = mz[order], np.concatenate([[0], np.cumsum(intensity[order])])
+                at = np.where(kind == "fixed", value, np.where(kind == "loss", r.precursor_mz - value / r.charge, (r.precursor_mz - PROTON) * r.charge + PROTON - value))
+                share = (run_[np.searchsorted(mz, at + tolerance, side="right")] - run_[np.searchsorted(mz, at - tolerance, side="left")]) / intensity.max()
+                sums += [np.ones(len(places)), share, share**2]
+        yield pd.DataFrame({"detector": [p[0] for p in places], "ion": [p[1] for p in places], "n": sums[0].astype(int), "total": sums[1], "squares": sums[2]})
+
+    rows = spectra.where("charge > 0").select("charge", "precursor_mz", "mz", "intensity")
+    parts = rows.mapInPandas(run, "detector string, ion string, n long, total double, squares double")
+    return parts.groupBy("detector", "ion").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"))
+
+
+def welch(a: tuple[float, float, float], b: tuple[float, float, float]) -> float:
+    """t value of the difference of two means from (n, total, squares); 0 where either has under two values."""
+    if a[0] < 2 or b[0] < 2:
+        return 0.0
+    mean = [x[1] / x[0] for x in (a, b)]
+    spread = [max(0.0, (x[2] - x[0] * m * m) / (x[0] - 1)) / x[0] for x, m in zip((a, b), mean, strict=True)]
+    gap = mean[0] - mean[1]
+    return gap / math.sqrt(sum(spread)) if sum(spread) > 0 else math.copysign(math.inf, gap) if gap else 0.0
+
+
+def infer_parameters(spectra: DataFrame, tolerance: float = 0.01, **pairing) -> dict:
+    """What the spectra (``spectrum_charges`` rows with ms_level 2) tell of search parameters, in one run.
+
+    ``mass_errors`` as that function gives them; ``reporters`` by set (the 10-plex only with the 6-plex, and the 6-plex alone where the 10-plex's own ions do not stand out);
+    ``phospho`` and its t value; ``silac``; ``enzyme``: trypsin, lys-c, arg-c or None, from the ions that the last residue makes, each
+    against all other residues.
+    """
+    rows = {(r.detector, r.ion): (float(r.n), r.total, r.squares) for r in detector_counts(spectra, tolerance).collect()}  # a row for each place
+
+    def summed(keys) -> tuple[float, float, float]:
+        return tuple(sum(rows.get(k, (0.0, 0.0, 0.0))[i] for k in keys) for i in range(3))
+
+    def reporter(m: float) -> float:
+        return welch(rows.get(("reporter", f"{m}"), (0.0, 0.0, 0.0)), summed([("reporter control", f"{m}{d:+}") for d in BESIDE]))
+
+    found = {name: all(reporter(m) > T_REPORTER for m in ms) for name, ms in REPORTERS.items()}
+    found["TMT 10-plex"] &= found["TMT 6-plex"]
+    phospho = welch(summed([("phospho", "0.0")]), summed([("phospho control", f"{d}") for d in OTHER_LOSSES]))
+    ends = {}
+    for r in sorted(RESIDUE_MASS):
+        if r not in "OU":
+            others = [x for x in RESIDUE_MASS if x not in "OUKR" and x != r]
+            ends[r] = sum(welch(summed([(d, r)]), summed([(d, x) for x in others])) > T_ENZYME for d in ("y1", "last b"))
+    enzyme = {(True, True): "trypsin", (True, False): "lys-c", (False, True): "arg-c"}.get((ends["K"] > 0, ends["R"] > 0))
+    return {"mass_errors": mass_errors(spectra, **pairing), "reporters": found, "phospho": phospho > T_PHOSPHO, "phospho_t": phospho, "silac": silac_labels(spectra), "enzyme": enzyme}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from massloom.functions.sequence import NEUTRON, PROTON
-from massloom.operators import dia, dia_run, digestion, joins, search, sweeps
+from massloom.operators import dia, dia_run, digestion, inference, joins, search, sweeps
 from massloom.plans.contract import _lines, _proteins, query
 from massloom.plans.contract_search import _order_spectra
 from massloom.plans.contract_spectra import _DIGEST
@@ -266,3 +266,20 @@ def trace_correlations(spark, sf_dir):
     points = _lines(spark, sf_dir).groupBy(F.col("l_suppkey").alias("trace_id"), at.alias("scan")).agg(F.sum("l_quantity").cast("double").alias("intensity"))
     found = sweeps.trace_correlations(points, least=4)
     return found.where("r is not null").select("a", "b", "n", F.round("r", 6).alias("r"))
+
+
+# parameters from the spectra
+
+
+_PLACES = ", ".join(f"('{d}', '{i}', '{k}', {v!r})" for d, i, k, v in inference.detector_places())
+
+
+@query(f"""WITH pl(detector, ion, kind, v) AS (VALUES {_PLACES}), sp AS (SELECT o_orderkey AS scan, (o_totalprice / 250) / 2 + {PROTON!r} AS pmz FROM orders SEMI JOIN lineitem ON l_orderkey = o_orderkey),
+pk AS (SELECT l_orderkey AS scan, l_extendedprice / 50 AS mz, CAST(l_quantity AS DOUBLE) AS i, max(CAST(l_quantity AS DOUBLE)) OVER (PARTITION BY l_orderkey) AS top FROM lineitem),
+a AS (SELECT scan, detector, ion, CASE kind WHEN 'fixed' THEN v WHEN 'loss' THEN pmz - v / 2 ELSE (pmz - {PROTON!r}) * 2 + {PROTON!r} - v END AS x FROM sp, pl),
+h AS (SELECT a.scan, detector, ion, sum(i / top) AS share FROM a JOIN pk ON pk.scan = a.scan AND abs(mz - x) <= 2.5 GROUP BY 1, 2, 3),
+t AS (SELECT detector, ion, sum(share) AS total, sum(share * share) AS squares FROM h GROUP BY 1, 2)
+SELECT detector, ion, (SELECT count(*) FROM sp) AS n, round(coalesce(total, 0), 4) AS total, round(coalesce(squares, 0), 4) AS squares FROM pl LEFT JOIN t USING (detector, ion)""")
+def detector_counts(spark, sf_dir):
+    found = inference.detector_counts(_order_spectra(spark, sf_dir), 2.5)
+    return found.select("detector", "ion", "n", F.round("total", 4).alias("total"), F.round("squares", 4).alias("squares"))
