@@ -65,7 +65,7 @@ def tdc_table(psms: DataFrame, score: str, is_decoy: Column, ascending: bool = F
     most; a q-value is the least estimate at this or a worse score.
     """
     counts = score_counts(psms, score, is_decoy)
-    before = running_before(counts, "score", ["targets", "decoys"], descending=not ascending)
+    before = running_before(counts, "score", ["targets", "decoys"], descending=not ascending, keep_range=True)
     fdr = F.least(F.lit(1.0), (F.col("decoys_before") + 1) / (F.col("targets_before") + 1))
     rated = before.where("targets > 0").withColumn("fdr", fdr)
     return running_extreme(rated, "score", "fdr", "q", descending=not ascending).select("score", "q")
@@ -98,14 +98,15 @@ def mixmax_table(psms: DataFrame, score: str, is_decoy: Column, pi0: float, asce
     if not 0 < pi0 < 1:
         raise ValueError("pi0 must lie between 0 and 1")
     counts = mixmax_counts(psms, score, is_decoy, ascending)
-    total = psms.agg(F.count_if(~is_decoy).alias("w"), F.count_if(is_decoy).alias("z")).first()
+    counts = written(counts, "mixmax")
+    total = counts.agg(F.coalesce(F.sum("targets"), F.lit(0)).alias("w"), F.coalesce(F.sum("decoys"), F.lit(0)).alias("z")).first()
     # rows no better than z: all but the strictly better ones, the ties of z included
     w_le = F.lit(total.w) - (F.col("n_w_ge") - F.col("targets"))
     z_le = F.lit(total.z) - (F.col("n_z_ge") - F.col("decoys"))
     share = (w_le - pi0 * z_le) / ((1 - pi0) * z_le)
     # within a tie group of decoys, every decoy but the worst placed uses the same counts
     weight = F.when(F.col("decoys") > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), share)) * (1 - pi0) * F.col("decoys")).otherwise(F.lit(0.0))
-    grown = running_before(counts.withColumn("e", weight), "score", ["e"], descending=not ascending)
+    grown = running_before(counts.withColumn("e", weight), "score", ["e"], descending=not ascending, keep_range=True)
     fdr = F.least(F.lit(1.0), (F.col("n_z_ge") * pi0 + F.col("e_before") + F.col("e")) / F.col("n_w_ge"))
     rated = grown.where("targets > 0").withColumn("fdr", fdr)
     return running_extreme(rated, "score", "fdr", "q", descending=not ascending).select("score", "q")

@@ -124,7 +124,7 @@ def targets_at(psms: DataFrame, score: str, peptide: list[str], is_decoy: Column
     from massloom.operators.ordered import running_before, running_extreme
 
     best = best_per_peptide(psms.withColumn("__decoy", is_decoy), [*peptide, "__decoy"], score)
-    before = running_before(score_counts(best, score, F.col("__decoy")), "score", ["targets", "decoys"], descending=True)
+    before = running_before(score_counts(best, score, F.col("__decoy")), "score", ["targets", "decoys"], descending=True, keep_range=True)
     rated = before.withColumn("fdr", (F.col("decoys_before") + F.col("decoys")) / F.greatest(F.col("targets_before") + F.col("targets"), F.lit(1)))
     rows = running_extreme(rated, "score", "fdr", "q", descending=True)
     return rows.where(F.col("q") <= limit).agg(F.max(F.col("targets_before") + F.col("targets"))).first()[0] or 0

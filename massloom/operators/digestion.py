@@ -228,8 +228,8 @@ def build_index(proteins: DataFrame, mods_spec: str = "C+57.02146", decoy: str =
 
 
 def write_index(index: DataFrame, path: str, bucket: float = 50.0, mode: str = "errorifexists") -> None:
-    """Parquet below ``path``, partitioned by mass so that a search reads the masses it needs."""
-    index.withColumn("mass_bucket", F.floor(F.col("mass") / bucket).cast("int")).repartition("mass_bucket").sortWithinPartitions("mass").write.mode(mode).partitionBy("mass_bucket").parquet(path)
+    """Parquet below ``path``, partitioned by mass so that a search reads the masses it needs; ranges of mass are the tasks, so a crowded bucket is several."""
+    index.withColumn("mass_bucket", F.floor(F.col("mass") / bucket).cast("int")).repartitionByRange("mass_bucket", "mass", "mod_sequence").sortWithinPartitions("mass_bucket", "mass").write.mode(mode).partitionBy("mass_bucket").parquet(path)
 
 
 def ion_masses(sequence: Column, static: dict[str, float] | None = None) -> Column:
@@ -266,3 +266,11 @@ def theoretical_ions(peptides: DataFrame, max_charge: int = 1, sequence: str = "
         rows = rows.withColumn("l", F.struct(F.lit("").alias("loss"), F.lit(0.0).alias("m")))
     mz = (F.col("mass") - F.col("l.m") + F.col("isotope") * NEUTRON) / F.col("charge") + PROTON
     return rows.select("sequence", "ion", "charge", "position", "isotope", F.col("l.loss").alias("loss"), mz.alias("mz"))
+
+
+def guard_decoys(proteins: DataFrame, prefix: str = "decoy_", column: str = "protein_id") -> DataFrame:
+    """The proteins as they are; an error if any id already begins with the decoys' prefix, since its peptides would count as decoys."""
+    found = proteins.where(F.startswith(F.col(column), F.lit(prefix))).select(column).first()
+    if found is not None:
+        raise ValueError(f"the database holds decoys already: {found[0]!r} begins with {prefix!r}")
+    return proteins

@@ -34,10 +34,11 @@ def with_range(df: DataFrame, key: str, rows: int | None = None, ranges: int = R
     return df.withColumn("__range", F.when(F.col(key).isNotNull(), F.size(F.filter(literal, lambda c: c < F.col(key)))))
 
 
-def running_before(df: DataFrame, key: str, sums: Iterable[str], descending: bool) -> DataFrame:
+def running_before(df: DataFrame, key: str, sums: Iterable[str], descending: bool, keep_range: bool = False) -> DataFrame:
     """Append ``<c>_before`` for each column c of ``sums``: its total over strictly better keys.
 
-    ``key`` must be distinct in ``df``. Better is larger where ``descending``. Rows with a null key come last.
+    ``key`` must be distinct in ``df``. Better is larger where ``descending``. Rows with a null key come last. With ``keep_range`` the column ``__range`` stays, which
+    ``running_extreme`` goes by instead of writing and cutting the rows again.
     """
     ranged = with_range(written(df, "ordered"), key)
     order = F.col(key).desc_nulls_last() if descending else F.col(key).asc_nulls_last()
@@ -48,12 +49,12 @@ def running_before(df: DataFrame, key: str, sums: Iterable[str], descending: boo
     within = Window.partitionBy("__range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     joined = ranged.join(F.broadcast(offsets), ranged["__range"].eqNullSafe(offsets["__range"])).drop(offsets["__range"])
     out = joined.select("*", *((F.coalesce(F.sum(c).over(within), F.lit(0)) + F.col(f"__o_{c}")).alias(f"{c}_before") for c in sums))
-    return out.drop("__range", *(f"__o_{c}" for c in sums))
+    return out.drop(*([] if keep_range else ["__range"]), *(f"__o_{c}" for c in sums))
 
 
 def running_extreme(df: DataFrame, key: str, value: str, out: str, descending: bool, from_worst: bool = True) -> DataFrame:
     """Append the least ``value`` from each key on to the worst key (or from the best key up to it)."""
-    ranged = with_range(written(df, "ordered"), key)
+    ranged = df if "__range" in df.columns else with_range(written(df, "ordered"), key)
     best_first = F.col(key).desc_nulls_last() if descending else F.col(key).asc_nulls_last()
     rank = F.col("__range").desc_nulls_last() if descending else F.col("__range").asc_nulls_last()
     frame = (1, Window.unboundedFollowing) if from_worst else (Window.unboundedPreceding, -1)

@@ -25,7 +25,7 @@ def generate_peptides(proteins: DataFrame, decoy: str = "shuffle", keep: str = "
 
 def build_index(spark: SparkSession, fasta: str, path: str, mode: str = "errorifexists", **options) -> DataFrame:
     """Digest a FASTA file into a search index below ``path`` and read it back."""
-    digestion.write_index(digestion.build_index(P.read_fasta(spark, fasta), **options), path, mode=mode)
+    digestion.write_index(digestion.build_index(digestion.guard_decoys(P.read_fasta(spark, fasta), options.get("decoy_prefix", "decoy_")), **options), path, mode=mode)
     return spark.read.parquet(path)
 
 

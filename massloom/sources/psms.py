@@ -257,3 +257,23 @@ def read_psms(spark: SparkSession, path: str, fmt: str = "auto", top_match: int
     """Matches of any format; ``auto`` goes by the extension, and a table is what is left."""
     kind = path.lower().removesuffix(".gz").rpartition(".")[2] if fmt == "auto" else fmt
     return READERS.get(kind, read_psm_table)(spark, path, top_match=top_match)
+
+
+def expand_inputs(spark: SparkSession, path: str, list_of_files: bool = False) -> list[str]:
+    """The inputs that a path stands for: those of a list of files (one to a line, ``#`` begins a comment, relative ones beside the list), or itself."""
+    if not list_of_files:
+        return [path]
+    lines = [r.v for r in spark.read.text(path, wholetext=False).select(F.trim(F.regexp_replace("value", r"#.*$", "")).alias("v")).where("v <> ''").collect()]
+    if not lines:
+        raise ValueError(f"{path} lists no files")
+    beside = path.rpartition("/")[0]
+    return [x if x.startswith("/") or "://" in x or not beside else f"{beside}/{x}" for x in lines]
+
+
+def read_psm_lists(spark: SparkSession, path: str, fmt: str = "auto", top_match: int = 0) -> DataFrame:
+    """Matches of all files that a list names, one table; columns that some lack are null there."""
+    tables = [read_psms(spark, x, fmt, top_match) for x in expand_inputs(spark, path, list_of_files=True)]
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
+    return out

@@ -274,3 +274,14 @@ def deisotope(spectra: DataFrame, ppm: float, max_charge: int = 3) -> DataFrame:
 
     rows = spectra.withColumn("__p", peaks).withColumn("__p", F.filter("__p", lambda p: ~shadowed(p)))
     return rows.withColumn("mz", F.transform("__p", lambda p: p["m"])).withColumn("intensity", F.transform("__p", lambda p: p["i"])).drop("__p")
+
+
+def top_per_region(spectra: DataFrame, regions: int = 10, keep: int = 20) -> DataFrame:
+    """The ``keep`` most intense peaks of each of ``regions`` equal stretches of a spectrum's m/z range, by growing m/z again; of equal peaks the one of larger m/z."""
+    lo, hi = F.array_min("mz"), F.array_max("mz")
+    width = F.greatest((hi - lo) / regions, F.lit(1e-12))
+    peaks = F.zip_with("mz", "intensity", lambda m, i: F.struct(F.least(F.floor((m - lo) / width), F.lit(regions - 1)).cast("int").alias("r"), i.alias("i"), m.alias("m")))
+    best = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(regions - 1)), lambda r: F.slice(F.reverse(F.array_sort(F.filter(peaks, lambda p: p["r"] == r))), 1, keep)))
+    back = F.array_sort(F.transform(best, lambda p: F.struct(p["m"].alias("m"), p["i"].alias("i"))))
+    rows = spectra.withColumn("__p", F.when(F.size("mz") > 0, back).otherwise(F.array().cast("array<struct<m:double,i:double>>")))
+    return rows.withColumn("mz", F.transform("__p", lambda p: p["m"])).withColumn("intensity", F.transform("__p", lambda p: p["i"])).drop("__p")
