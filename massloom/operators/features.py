@@ -7,6 +7,8 @@ a gap wider than the tolerance. Each group is traced on its own.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -82,8 +84,112 @@ def scan_features(mz: np.ndarray, intensity: np.ndarray, charges: range = range(
     return out
 
 
-def detect_features(spectra: DataFrame, profile: bool = False, **options) -> DataFrame:
-    """Isotope features of every MS1 scan; rt in minutes."""
+#: Grid of the charge detectors in Da, reach of a window on either side of its strongest peak, and candidates that a combination is sought among.
+GRID, REACH, CANDIDATES = 0.005, 1.6, 8
+
+
+def charge_order(mz: np.ndarray, intensity: np.ndarray, charges: range = range(1, 6), ppm: float = 10.0) -> list[int]:
+    """Charges by how strongly a window's peaks repeat at their spacing, the strongest first; those without any repeat are left out.
+
+    The peaks, each as wide as the tolerance, go on a grid. Its power spectrum gives the autocorrelation, read at the spacing and with
+    the amplitude of the spectrum at the charge's frequency; the product of both decides, so neither multiples of a spacing nor a lone pair of peaks do.
+    """
+    if len(mz) < 2:
+        return []
+    size = 1 << int(np.ceil(np.log2((mz[-1] - mz[0] + 2 * REACH + 1) / GRID)))
+    signal = np.zeros(size)
+    at = np.round((mz - mz[0]) / GRID).astype(int)
+    wide = max(1, int(np.ceil(mz[-1] * ppm / 1e6 / GRID)))
+    for shift in range(-wide, wide + 1):
+        inside = (at + shift >= 0) & (at + shift < size)
+        np.maximum.at(signal, at[inside] + shift, np.sqrt(intensity[inside]))
+    spectrum = np.fft.rfft(signal)
+    repeats = np.fft.irfft(np.abs(spectrum) ** 2, size)
+    found = []
+    for z in charges:
+        lag = NEUTRON / z / GRID
+        near = repeats[max(1, int(lag) - 1) : int(lag) + 3].max() / repeats[0]
+        tone = np.abs(spectrum[min(len(spectrum) - 1, int(round(size / lag)))]) / np.abs(spectrum[0])
+        if near > 0.02:
+            found.append((near * tone, z))
+    return [z for _, z in sorted(found, key=lambda x: (-x[0], x[1]))]
+
+
+def _envelope(mz: np.ndarray, mono: float, z: int, ppm: float) -> tuple[np.ndarray, float]:
+    """(averagine pattern of a feature on the peaks that are there, highest isotope 1; squares of the isotopes that lack a peak within the window)."""
+    pattern = averagine_pattern((mono - PROTON) * z)
+    want = mono + np.arange(len(pattern)) * NEUTRON / z
+    at = np.clip(np.searchsorted(mz, want), 1, len(mz) - 1)
+    at = np.where(np.abs(mz[at - 1] - want) <= np.abs(mz[at] - want), at - 1, at)
+    out = np.zeros(len(mz))
+    ok = np.abs(mz[at] - want) <= want * ppm / 1e6
+    np.add.at(out, at[ok], pattern[ok] / pattern.max())
+    gone = ~ok & (want >= mz[0]) & (want <= mz[-1])
+    return out, float(((pattern[gone] / pattern.max()) ** 2).sum())
+
+
+def overlapping_features(mz: np.ndarray, intensity: np.ndarray, charges: range = range(1, 6), ppm: float = 10.0, correlation: float = 0.9, depth: int = 3, isotopes: int = 4, noise: float = 0.0, gain: float = 0.01) -> list[tuple[float, int, float, float, float]]:
+    """(mono mass, charge, intensity, base m/z, correlation) of isotope patterns that may share peaks; ``mz`` ascends.
+
+    Around the strongest peak left, charges that repeat there and the first ``isotopes`` places of the peak give candidates. Sets of up to ``depth`` of the best
+    candidates are fitted with amounts that are not negative; a larger set is taken where its cosine is better by ``gain``. What the set explains is taken
+    off, the rest goes on.
+    """
+    left = intensity.astype(float).copy()
+    out = []
+    for top in np.argsort(-intensity, kind="stable"):
+        if left[top] <= max(noise, 1e-3 * intensity[top]):
+            continue
+        lo, hi = np.searchsorted(mz, [mz[top] - REACH, mz[top] + REACH])
+        m, i = mz[lo:hi], left[lo:hi]
+        tried = []
+        for z in charge_order(m[i > noise], i[i > noise], charges, ppm):
+            for peak in np.flatnonzero(i > 0.2 * left[top]):
+                for first in range(isotopes):
+                    mono = m[peak] - first * NEUTRON / z
+                    if (mono - PROTON) * z <= 0:
+                        continue
+                    shape, lost = _envelope(m, mono, z, ppm)
+                    if (shape > 0).sum() >= 2 and shape[peak] > 0:
+                        tried.append((float(shape @ i / np.sqrt((shape @ shape + lost) * (i @ i))), mono, z, shape, lost))
+        # one of each monoisotopic place and charge
+        best: dict[tuple[int, int], tuple] = {}
+        for t in tried:
+            key = (int(round(t[1] / 0.02)), t[2])
+            if key not in best or t[0] > best[key][0]:
+                best[key] = t
+        tried = sorted(best.values(), key=lambda t: (-t[0], t[2], t[1]))[:CANDIDATES]
+        chosen, score = None, 0.0
+        for n in range(1, depth + 1):
+            found = None
+            for some in combinations(tried, n):
+                shapes = np.stack([t[3] for t in some], axis=1)
+                lost = np.array([t[4] for t in some])
+                # a missing isotope is a peak of intensity 0
+                amount = np.linalg.lstsq(np.vstack([shapes, np.diag(np.sqrt(lost))]), np.append(i, np.zeros(n)), rcond=None)[0]
+                if (amount <= 0.02 * amount.max()).any():
+                    continue
+                fit = shapes @ amount
+                cos = float(fit @ i / np.sqrt((fit @ fit + amount**2 @ lost) * (i @ i)))
+                if found is None or cos > found[0]:
+                    found = (cos, some, amount, shapes)
+            if found and found[0] > score + (gain if chosen else 0.0):
+                chosen, score = found, found[0]
+        if chosen is None or score < correlation:
+            left[top] = 0
+            continue
+        cos, some, amount, shapes = chosen
+        for t, a, shape in zip(some, amount, shapes.T, strict=True):
+            out.append((float((t[1] - PROTON) * t[2]), int(t[2]), float(a * shape.sum()), float(m[np.argmax(shape)]), cos))
+        left[lo:hi] = np.maximum(i - shapes @ amount, 0)
+        left[lo:hi][left[lo:hi] < 0.05 * i] = 0
+        left[top] = 0
+    return out
+
+
+def detect_features(spectra: DataFrame, profile: bool = False, overlap: bool = False, **options) -> DataFrame:
+    """Isotope features of every MS1 scan; rt in minutes. With ``overlap`` patterns may share peaks and charges come from the window's repeats."""
+    find = overlapping_features if overlap else scan_features
 
     def run(batches):
         for rows in batches:
@@ -92,7 +198,7 @@ def detect_features(spectra: DataFrame, profile: bool = False, **options) -> Dat
                 mz, i = np.array(r.mz, dtype=float), np.array(r.intensity, dtype=float)
                 if profile:
                     mz, i = centroid(mz, savitzky_golay(i) if len(i) > 9 else i)
-                out += [(r.file, r.scan, r.rt, m, z, t, b, c) for m, z, t, b, c in scan_features(mz, i, **options)]
+                out += [(r.file, r.scan, r.rt, m, z, t, b, c) for m, z, t, b, c in find(mz, i, **options)]
             yield pd.DataFrame(out, columns=["file", "scan", "rt", "mono_mass", "charge", "intensity", "base_peak", "correlation"])
 
     return spectra.where("ms_level = 1").select("file", "scan", (F.col("rt") / 60).alias("rt"), "mz", "intensity").mapInPandas(run, _FEATURES)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from massloom.functions.sequence import NEUTRON, PROTON
-from massloom.operators import dia, dia_run, digestion, inference, joins, search, sweeps
+from massloom.operators import dia, dia_run, digestion, features, inference, joins, lfq, search, sweeps
 from massloom.plans.contract import _lines, _proteins, query
 from massloom.plans.contract_search import _order_spectra
 from massloom.plans.contract_spectra import _DIGEST
@@ -283,3 +283,57 @@ SELECT detector, ion, (SELECT count(*) FROM sp) AS n, round(coalesce(total, 0),
 def detector_counts(spark, sf_dir):
     found = inference.detector_counts(_order_spectra(spark, sf_dir), 2.5)
     return found.select("detector", "ion", "n", F.round("total", 4).alias("total"), F.round("squares", 4).alias("squares"))
+
+
+# features and quantification
+
+
+@query("""WITH p AS (SELECT l_returnflag AS file, CASE WHEN l_linenumber < 6 THEN CAST(l_partkey % 50 AS INTEGER) END AS apex_scan, CASE WHEN l_linenumber < 6 THEN CAST(l_suppkey % 7 AS DOUBLE) END AS apex_mz,
+  CASE WHEN l_linenumber < 6 THEN CAST(l_linenumber % 2 + 1 AS INTEGER) END AS apex_charge, l_quantity AS i, 'p' || (l_partkey % 20) AS s FROM lineitem)
+SELECT file, coalesce(apex_scan, -1) AS apex_scan, coalesce(apex_mz, -1) AS apex_mz, coalesce(apex_charge, -1) AS apex_charge, max(i) AS intensity, list_aggregate(list_sort(list(DISTINCT s)), 'string_agg', ',') AS sequences, count(*) AS n_psms
+FROM p GROUP BY file, p.apex_scan, p.apex_mz, p.apex_charge, CASE WHEN p.apex_scan IS NULL THEN s END""")
+def merge_by_apex(spark, sf_dir):
+    some = F.col("l_linenumber") < 6
+    rows = _lines(spark, sf_dir).select(
+        F.col("l_returnflag").alias("file"), F.when(some, (F.col("l_partkey") % 50).cast("int")).alias("apex_scan"), F.when(some, (F.col("l_suppkey") % 7).cast("double")).alias("apex_mz"), F.when(some, (F.col("l_linenumber") % 2 + 1).cast("int")).alias("apex_charge"),
+        F.col("l_quantity").alias("intensity"), F.lit(1.0).alias("apex_rt"), F.lit(1).alias("n_charges"), F.concat(F.lit("p"), (F.col("l_partkey") % 20).cast("string")).alias("mod_sequence"),
+    )
+    return lfq.merge_by_apex(rows).select("file", *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("apex_scan", "apex_mz", "apex_charge")), "intensity", F.array_join("sequences", ",").alias("sequences"), "n_psms")
+
+
+@query("""WITH s AS (SELECT o_orderkey AS spec_id, 400 + (o_totalprice / 1000) AS mz, (o_custkey % 60) AS rt FROM orders),
+f AS (SELECT event_id, user_id % 4 + 1 AS z, 400 + value AS base, 400 + value + 0.3 AS mono, event_id % 55 AS a, event_id % 55 + user_id % 3 AS b FROM events),
+n AS (SELECT *, base * (1 - 1e-5) AS lo, base * (1 + 1e-5) AS hi FROM f UNION ALL SELECT *, mono - 0.05, mono + CASE z WHEN 1 THEN 3.10 WHEN 2 THEN 2.10 ELSE 4.0 / z END FROM f)
+SELECT DISTINCT spec_id, event_id FROM s JOIN n ON s.mz BETWEEN lo AND hi AND s.rt BETWEEN a - 0.5 AND b + 0.5""")
+def match_features(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("spec_id"), (400 + F.col("o_totalprice") / 1000).alias("precursor_mz"), (F.col("o_custkey") % 60).cast("double").alias("rt_time"))
+    base = 400 + F.col("value")
+    first = (F.col("event_id") % 55).cast("double")
+    found = table(spark, sf_dir, "events").select(F.col("event_id").alias("feature_id"), (F.col("user_id") % 4 + 1).alias("charge"), base.alias("base_mz"), (base + 0.3).alias("mono_mz"), first.alias("first_rt"), (first + F.col("user_id") % 3).alias("last_rt"))
+    return joins.match_features(rows, found).select("spec_id", F.col("feature_id").alias("event_id"))
+
+
+@query("""WITH p AS (SELECT l_orderkey AS scan, l_extendedprice AS mz, CAST(l_quantity AS DOUBLE) AS i, min(l_extendedprice) OVER w AS lo, max(l_extendedprice) OVER w AS hi FROM lineitem WINDOW w AS (PARTITION BY l_orderkey)),
+r AS (SELECT *, row_number() OVER (PARTITION BY scan, least(floor((mz - lo) / greatest((hi - lo) / 3, 1e-12)), 2) ORDER BY i DESC, mz DESC) AS n FROM p)
+SELECT scan, mz, i AS intensity FROM r WHERE n = 1""")
+def top_per_region(spark, sf_dir):
+    rows = _order_spectra(spark, sf_dir).withColumn("mz", F.transform("mz", lambda x: F.round(x * 50, 2)))
+    kept = spectra.top_per_region(rows, 3, 1)
+    return kept.select("scan", F.explode(F.arrays_zip("mz", "intensity")).alias("p")).select("scan", "p.mz", "p.intensity")
+
+
+@query("""WITH l AS (SELECT user_id, list(value ORDER BY event_id) AS v, list(event_id ORDER BY event_id) AS e FROM events GROUP BY 1), k AS (SELECT user_id, v, e, unnest(range(1, len(v) + 1)) AS k FROM l)
+SELECT e[k] AS event_id, round(list_sum(list_transform(range(-4, 5), lambda j: [-21, 14, 39, 54, 59, 54, 39, 14, -21][j + 5] * v[least(greatest(k + j, 1), len(v))])) / 231, 6) AS smooth FROM k""")
+def savitzky_golay(spark, sf_dir):
+    import numpy as np
+    import pandas as pd
+
+    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "value"))).alias("p"))
+    rows = rows.select(F.transform("p", lambda x: x["event_id"]).alias("e"), F.transform("p", lambda x: x["value"]).alias("v"))
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                yield pd.DataFrame({"event_id": r.e, "smooth": np.round(features.savitzky_golay(np.asarray(r.v, dtype=float)), 6)})
+
+    return rows.mapInPandas(run, "event_id long, smooth double")
