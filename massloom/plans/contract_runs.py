@@ -103,9 +103,9 @@ def fasta_round_trip(spark, sf_dir):
 
 
 @query(f"""{_DIGEST}, s AS (SELECT DISTINCT sequence FROM g), places AS (SELECT sequence, unnest(range(1, length(sequence) + 1)) AS k FROM s),
-f AS (SELECT sequence, 0 AS k, sequence AS mod_sequence, 0.0 AS delta FROM s UNION ALL
-  SELECT sequence, k, substr(sequence, 1, CAST(k AS INTEGER)) || '[+15.99]' || substr(sequence, CAST(k + 1 AS INTEGER)), 15.994915 FROM places WHERE substr(sequence, CAST(k AS INTEGER), 1) = 'L' UNION ALL
-  SELECT sequence, k, substr(sequence, 1, CAST(k AS INTEGER)) || '[+79.97]' || substr(sequence, CAST(k + 1 AS INTEGER)), 79.966331 FROM places WHERE substr(sequence, CAST(k AS INTEGER), 1) IN ('S', 'T'))
+f AS (SELECT sequence, 0 AS k, sequence AS mod_sequence, 0e0 AS delta FROM s UNION ALL
+  SELECT sequence, k, substr(sequence, 1, CAST(k AS INTEGER)) || '[+15.99]' || substr(sequence, CAST(k + 1 AS INTEGER)), 15.994915e0 FROM places WHERE substr(sequence, CAST(k AS INTEGER), 1) = 'L' UNION ALL
+  SELECT sequence, k, substr(sequence, 1, CAST(k AS INTEGER)) || '[+79.97]' || substr(sequence, CAST(k + 1 AS INTEGER)), 79.966331e0 FROM places WHERE substr(sequence, CAST(k AS INTEGER), 1) IN ('S', 'T'))
 SELECT sequence, mod_sequence, round(100 + delta, 4) AS mass FROM f""")
 def modified_forms(spark, sf_dir):
     rows = digestion.digest(_proteins(spark, sf_dir), min_length=2, max_length=50).select("sequence").distinct().withColumn("mass", F.lit(100.0))
@@ -162,7 +162,7 @@ def coelution(spark, sf_dir):
     return found.select("l_orderkey", *(F.round(c, 9).alias(c) for c in ("ms1", "ms2", "ms1_ms2")))
 
 
-@query("""WITH p AS (SELECT DISTINCT l_suppkey AS win, l_shipdate AS day, 500 + (l_partkey % 40) + (l_linenumber - 4) * 0.003 AS mz FROM lineitem), n AS (SELECT *, dense_rank() OVER (PARTITION BY win ORDER BY day) AS k FROM p),
+@query("""WITH p AS (SELECT DISTINCT l_suppkey AS win, l_shipdate AS day, 500 + (l_partkey % 40) + (l_linenumber - 4) * 3e-3 AS mz FROM lineitem), n AS (SELECT *, dense_rank() OVER (PARTITION BY win ORDER BY day) AS k FROM p),
 l AS (SELECT win, max(k) AS last FROM n GROUP BY 1),
 c AS (SELECT n.*, last, EXISTS (SELECT 1 FROM n o WHERE o.win = n.win AND o.k = n.k - 1 AND abs(o.mz - n.mz) <= n.mz * 20 / 1e6) AS before, EXISTS (SELECT 1 FROM n o WHERE o.win = n.win AND o.k = n.k + 1 AND abs(o.mz - n.mz) <= n.mz * 20 / 1e6) AS after FROM n JOIN l USING (win))
 SELECT win, day, round(mz, 4) AS mz FROM c WHERE (before OR k = 1) AND (after OR k = last)""")
@@ -244,7 +244,7 @@ def window_intersection(spark, sf_dir):
     return sweeps.covered(_windows(spark, sf_dir), least=3).select(F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
-@query("""WITH s AS (SELECT l_suppkey % 5 AS file, l_orderkey AS scan, 500 + (l_partkey % 60) + l_linenumber * 0.001 AS mz, CAST(l_quantity AS DOUBLE) AS i FROM lineitem),
+@query("""WITH s AS (SELECT l_suppkey % 5 AS file, l_orderkey AS scan, 500 + (l_partkey % 60) + l_linenumber * 1e-3 AS mz, CAST(l_quantity AS DOUBLE) AS i FROM lineitem),
 k AS (SELECT file, scan, row_number() OVER (PARTITION BY file ORDER BY scan) AS k FROM (SELECT DISTINCT file, scan FROM s)),
 p AS (SELECT s.*, k FROM s JOIN k USING (file, scan)), m AS (SELECT row_number() OVER () AS id, * FROM p),
 o AS (SELECT m.id, q.k, max(q.i) AS best FROM m JOIN p q ON q.file = m.file AND q.k <> m.k AND q.k BETWEEN m.k - 3 AND m.k + 3 AND q.mz BETWEEN m.mz * (1 - 8 / 1e6) AND m.mz * (1 + 8 / 1e6) GROUP BY 1, 2),
