@@ -7,11 +7,16 @@ dimensions; each segment is a node with a score list of its own for every query.
    best of a query is a cutoff that its true k-th best cannot miss.
 2. The cutoff goes back to the nodes. An entry below cutoff/nodes on every node
    has a sum below the cutoff, and so has one that the other nodes' best entries cannot lift to it; each node sends the rest.
-3. Candidates whose sent parts leave room to reach the cutoff are scored in full.
+3. Candidates that were sent are scored in full, and those that reach the cutoff go on.
+
+All nodes of a block of candidates work in one task, so that no list of a node is shuffled.
 
 Equal vectors form one class that is searched once, as a candidate and as a query, and
 gives its smallest ids at the end, so a common vector multiplies nothing. Classes are dealt to blocks by
 hash; a task multiplies a block of candidates with blocks of queries.
+
+Blocks of queries meet every block of candidates, and vectors compress well, so their sizes as files say
+little about their rows: joins that carry vectors are merged, never broadcast through the driver.
 """
 
 from __future__ import annotations
@@ -25,8 +30,12 @@ from pyspark.sql import functions as F
 
 from massloom.session import written
 
-CANDIDATE_BLOCK = 2048
+CANDIDATE_BLOCK = 4096
 QUERY_BLOCK = 512
+#: Queries whose best scores a task of phase 1 keeps before it gives them back.
+STATE_QUERIES = 200_000
+#: Below any score.
+LEAST = -(1 << 62)
 
 
 def quantised(vectors: DataFrame, vec_id: str, embedding: str, scale: int = 1024) -> DataFrame:
@@ -37,26 +46,27 @@ def quantised(vectors: DataFrame, vec_id: str, embedding: str, scale: int = 1024
     return good.select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(e * F.lit(float(scale))).cast("long")).alias("v"))
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce(x * y, F.lit(0))), F.lit(0).cast("long"), lambda s, x: s + x)
+def _narrow(matrix: np.ndarray) -> tuple[str, bytes]:
+    """The matrix in the narrowest integer type that holds it, and that type."""
+    low, high = int(matrix.min(initial=0)), int(matrix.max(initial=0))
+    kind = next(k for k in ("i2", "i4", "i8") if np.iinfo(k).min <= low and high <= np.iinfo(k).max)
+    return kind, matrix.astype(kind).tobytes()
 
 
-def _blocks(df: DataFrame, size: int, count: int, dim: int, nodes: int, cutoff: bool, partitions: int) -> DataFrame:
-    """Pack rows (``rep``, ``v``[, ``limits``]) into ``count`` blocks by hash, one row for each node: block, node, ids, matrix, limits."""
-    cuts = [dim * k // nodes for k in range(nodes + 1)]
+def _blocks(df: DataFrame, size: int, count: int, dim: int, width: int, partitions: int) -> DataFrame:
+    """Pack rows (``rep``, ``v``[, ``limits``]) into ``count`` blocks by hash: block, ids, kind, matrix, limits."""
 
     def pack(batches):
         held: list[tuple[int, int, list, list]] = []
 
         def flush():
-            ids = np.array([h[1] for h in held], dtype=np.int64)
             matrix = np.zeros((len(held), dim), dtype=np.int64)
             for r, h in enumerate(held):
                 matrix[r, : len(h[2])] = h[2]
-            limit = np.array([h[3] for h in held], dtype=np.int64)
-            rows = [(held[0][0], k, ids.tobytes(), np.ascontiguousarray(matrix[:, cuts[k] : cuts[k + 1]]).tobytes(), np.ascontiguousarray(limit[:, k]).tobytes()) for k in range(nodes)]
-            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["block", "node", "ids", "matrix", "limits"])
+            ids, limit = (np.array([h[k] for h in held], dtype=np.int64) for k in (1, 3))
+            row = (held[0][0], ids.tobytes(), *_narrow(matrix), limit.tobytes())
+            kinds = (pa.int32(), pa.binary(), pa.string(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=["block", "ids", "kind", "matrix", "limits"])
 
         for batch in batches:
             cols = batch.to_pydict()
@@ -68,8 +78,9 @@ def _blocks(df: DataFrame, size: int, count: int, dim: int, nodes: int, cutoff:
         if held:
             yield flush()
 
-    ready = df.select(F.pmod(F.xxhash64("rep"), F.lit(count)).cast("int").alias("block"), "rep", "v", F.col("limits") if cutoff else F.array_repeat(F.lit(0).cast("long"), nodes).alias("limits"))
-    return ready.repartition(partitions, "block").sortWithinPartitions("block").mapInArrow(pack, "block int, node int, ids binary, matrix binary, limits binary")
+    limits = F.col("limits") if "limits" in df.columns else F.array_repeat(F.lit(0).cast("long"), width).alias("limits")
+    ready = df.select(F.pmod(F.xxhash64("rep"), F.lit(count)).cast("int").alias("block"), "rep", "v", limits)
+    return ready.repartition(partitions, "block").sortWithinPartitions("block").mapInArrow(pack, "block int, ids binary, kind string, matrix binary, limits binary")
 
 
 def _product(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -80,30 +91,73 @@ def _product(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return q @ c.T
 
 
-def _node_lists(pairs: DataFrame, k: int | None) -> DataFrame:
-    """Entries (query, node, candidate, part) of each pair of blocks: the ``k`` best, or all at or above the node's limit."""
+def _nodes(row: dict, nodes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Of a pair of blocks: ids of the candidates and of the queries, the queries' limits, and each node's part of every score."""
+    ids, qids = np.frombuffer(row["ids"], dtype=np.int64), np.frombuffer(row["q_ids"], dtype=np.int64)
+    c, q = (np.frombuffer(row[f"{side}matrix"], dtype=row[f"{side}kind"]).astype(np.int64).reshape(len(n), -1) for side, n in (("", ids), ("q_", qids)))
+    cuts = [c.shape[1] * k // nodes for k in range(nodes + 1)]
+    return ids, qids, np.frombuffer(row["q_limits"], dtype=np.int64).reshape(len(qids), -1), [_product(q[:, cuts[k] : cuts[k + 1]], c[:, cuts[k] : cuts[k + 1]]) for k in range(nodes)]
+
+
+def _listed(pairs: DataFrame, keep: int, nodes: int) -> DataFrame:
+    """Phase 1: for each query and task the ``keep`` best full scores of candidates on some node's local list, and each node's best part.
+
+    A candidate stands in one block, so none of its scores comes twice.
+    """
 
     def run(batches):
+        state: dict[bytes, list[np.ndarray]] = {}
+
+        def flush():
+            for raw, tables in state.items():
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel())) for x in tables]
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(raw, dtype=np.int64)), *lists], names=["query", "scores", "peaks"])
+            state.clear()
+
         for batch in batches:
             for row in batch.to_pylist():
-                ids, qids = np.frombuffer(row["ids"], dtype=np.int64), np.frombuffer(row["q_ids"], dtype=np.int64)
-                width = len(row["matrix"]) // 8 // max(1, len(ids))
-                c = np.frombuffer(row["matrix"], dtype=np.int64).reshape(len(ids), width)
-                q = np.frombuffer(row["q_matrix"], dtype=np.int64).reshape(len(qids), width)
-                part = _product(q, c)
-                if k is not None:
-                    n = min(k, len(ids))
-                    at = np.argpartition(-part, n - 1, axis=1)[:, :n]
-                    r = np.repeat(np.arange(len(qids)), n)
-                    at = at.ravel()
-                else:
-                    least = np.frombuffer(row["q_limits"], dtype=np.int64)
-                    r, at = np.nonzero(part >= least[:, None])
-                for lo in range(0, len(r), 100_000):
-                    a, b = r[lo : lo + 100_000], at[lo : lo + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(qids[a]), pa.array(np.full(len(a), row["node"], dtype=np.int32)), pa.array(ids[b]), pa.array(part[a, b])], names=["query", "node", "rep", "part"])
-
-    return pairs.mapInArrow(run, "query long, node int, rep long, part long")
+                ids, qids, _, parts = _nodes(row, nodes)
+                n = min(keep, len(ids))
+                on_list = np.zeros(parts[0].shape, dtype=bool)
+                for part in parts:
+                    np.put_along_axis(on_list, np.argpartition(part, len(ids) - n, axis=1)[:, len(ids) - n :], True, axis=1)
+                found = np.where(on_list, sum(parts), LEAST)
+                peaks = np.stack([part.max(axis=1) for part in parts], axis=1)
+                if found.shape[1] > keep:
+                    found = np.partition(found, -keep, axis=1)[:, -keep:]
+                if row["q_ids"] in state:
+                    best, most = state[row["q_ids"]]
+                    found, peaks = np.concatenate([best, found], axis=1), np.maximum(most, peaks)
+                if found.shape[1] > keep:
+                    found = np.partition(found, -keep, axis=1)[:, -keep:]
+                state[row["q_ids"]] = [found, peaks]
+                if len(state) * QUERY_BLOCK > STATE_QUERIES:
+                    yield from flush()
+        yield from flush()
+
+    return pairs.mapInArrow(run, "query long, scores array<long>, peaks array<long>")
+
+
+def _reaching(pairs: DataFrame, keep: int, nodes: int) -> DataFrame:
+    """Phases 2 and 3: entries (query, rep, score) that some node's limit lets pass and whose full score reaches the cutoff, of each pair of blocks the ``keep`` best."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, qids, limits, parts = _nodes(row, nodes)
+                sent = np.zeros(parts[0].shape, dtype=bool)
+                for k, part in enumerate(parts):
+                    sent |= part >= limits[:, k, None]
+                r, at = np.nonzero(sent)
+                score = sum(part[r, at] for part in parts)
+                good = score >= limits[r, nodes]
+                r, at, score = r[good], at[good], score[good]
+                order = np.lexsort((ids[at], -score, r))
+                r, at, score = r[order], at[order], score[order]
+                first = np.arange(len(r)) - np.searchsorted(r, r) < keep
+                yield pa.RecordBatch.from_arrays([pa.array(qids[r[first]]), pa.array(ids[at[first]]), pa.array(score[first])], names=["query", "rep", "score"])
+
+    return pairs.mapInArrow(run, "query long, rep long, score long")
 
 
 def top_k(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 10, nodes: int = 2, scale: int = 1024) -> DataFrame:
@@ -120,50 +174,38 @@ def top_k(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embeddin
     first = Window.partitionBy("v").orderBy("vec_id")
     best = rows.distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= keep)
     classes = written(best.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("members")).select(F.col("members")[0].alias("rep"), "members", "v"), "vector-classes")
+    by_vector = classes.select("rep", "v").hint("merge")
+    asked = written(quantised(vectors.where(is_query), vec_id, embedding, scale).distinct().join(by_vector, "v").select("vec_id", F.col("rep").alias("query"), "v"), "queries")
     size = classes.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
-    n_blocks = max(1, math.ceil(size.n / CANDIDATE_BLOCK))
+    # small tables still make a block for each task
+    n_blocks = max(1, math.ceil(size.n / CANDIDATE_BLOCK), min(partitions, math.ceil(size.n / 1024)))
     dim = max(size.d or 0, nodes)
-    asked = written(quantised(vectors.where(is_query), vec_id, embedding, scale).distinct().join(classes.select("rep", "v"), "v").select("vec_id", F.col("rep").alias("query"), "v"), "queries")
     wanted = asked.select(F.col("query").alias("rep"), "v").dropDuplicates(["rep"])
     n_wanted = max(1, math.ceil(wanted.count() / QUERY_BLOCK))
-    candidates = _blocks(classes, CANDIDATE_BLOCK, n_blocks, dim, nodes, False, partitions)
-
-    def against(queries: DataFrame, cutoff: bool) -> DataFrame:
-        """Each block of queries beside each block of candidates, node by node."""
-        q = _blocks(queries, QUERY_BLOCK, n_wanted, dim, nodes, cutoff, min(partitions, n_wanted))
-        q = q.select("node", *(F.col(c).alias(f"q_{c}") for c in ("ids", "matrix", "limits")), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
-        return candidates.drop("limits").join(q, ["block", "node"])
-
-    by_vector = classes.select("rep", "v")
-    query_vector = wanted.select(F.col("rep").alias("query"), F.col("v").alias("q"))
+    candidates = _blocks(classes, CANDIDATE_BLOCK, n_blocks, dim, nodes + 1, partitions)
 
-    def scored(pairs: DataFrame) -> DataFrame:
-        return pairs.join(by_vector, "rep").join(query_vector, "query").withColumn("score", _dot(F.col("v"), F.col("q"))).drop("v", "q")
+    def against(queries: DataFrame) -> DataFrame:
+        """Each block of queries beside each block of candidates."""
+        q = _blocks(queries, QUERY_BLOCK, n_wanted, dim, nodes + 1, min(partitions, n_wanted))
+        q = q.select(*(F.col(c).alias(f"q_{c}") for c in ("ids", "kind", "matrix", "limits")), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
+        return candidates.drop("limits").join(q.hint("merge"), "block")
 
     # phase 1
-    local = written(_node_lists(against(wanted, False), keep), "node-lists")
-    listed = local.withColumn("n", F.row_number().over(Window.partitionBy("query", "node").orderBy(F.desc("part"), "rep"))).where(F.col("n") <= keep)
-    known = scored(listed.select("query", "rep").distinct())
-    kth = known.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "rep"))).where(F.col("n") == keep).select("query", F.col("score").alias("cutoff"))
-    peaks = local.groupBy("query").agg(*(F.max(F.when(F.col("node") == j, F.col("part"))).alias(f"p{j}") for j in range(nodes)))
+    local = written(_listed(against(wanted), keep, nodes), "node-lists")
+    scores = local.select("query", F.explode("scores").alias("score")).where(F.col("score") > LEAST)
+    kth = scores.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score")))).where(F.col("n") == keep).select("query", F.col("score").alias("cutoff"))
+    peaks = local.groupBy("query").agg(*(F.max(F.col("peaks")[j]).alias(f"p{j}") for j in range(nodes)))
     # fewer classes than are asked for: everything has to be sent, so the cutoff is low enough for any part
-    cutoff = F.coalesce("cutoff", F.lit(-(1 << 62)))
-    share = F.expr(f"-((-coalesce(cutoff, {-(1 << 62)})) div {nodes})") + F.when((cutoff > 0) & (cutoff % nodes != 0), 1).otherwise(0)  # rounded up
+    cutoff = F.coalesce("cutoff", F.lit(LEAST))
+    share = F.expr(f"-((-coalesce(cutoff, {LEAST})) div {nodes})") + F.when((cutoff > 0) & (cutoff % nodes != 0), 1).otherwise(0)  # rounded up
     others = [sum((F.col(f"p{i}") for i in range(nodes) if i != j), F.lit(0).cast("long")) for j in range(nodes)]
-    limits = F.array(*(F.greatest(share, cutoff - rest) for rest in others))
+    limits = F.array(*(F.greatest(share, cutoff - rest) for rest in others), cutoff)
     bounds = wanted.select(F.col("rep").alias("query"), "v").join(kth, "query", "left").join(peaks, "query", "left")
-    cutoffs = written(bounds.select(F.col("query").alias("rep"), "v", cutoff.alias("cutoff"), limits.alias("limits")), "cutoffs")
-    # phase 2
-    sent = _node_lists(against(cutoffs, True), None)
-    sums = sent.groupBy("query", "rep").agg(F.sum("part").alias("sum"), F.count("*").alias("parts"))
-    limit = cutoffs.select(F.col("rep").alias("query"), "cutoff")
-    bound = F.col("sum") + (F.lit(nodes) - F.col("parts")) * (F.ceil(F.col("cutoff") / F.lit(nodes)) - 1)
-    alive = written(sums.join(limit, "query").where((F.col("parts") == nodes) | (bound >= F.col("cutoff"))).select("query", "rep", "sum", "parts"), "candidates")
-    # phase 3
-    full = alive.where(F.col("parts") == nodes).select("query", "rep", F.col("sum").alias("score"))
-    resolved = scored(alive.where(F.col("parts") < nodes).select("query", "rep"))
-    ranked = full.unionByName(resolved).withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "rep"))).where(F.col("n") <= keep).drop("n")
-    members = ranked.join(classes.select("rep", "members"), "rep").select("query", "score", F.explode("members").alias("vec_id"))
+    cutoffs = written(bounds.select(F.col("query").alias("rep"), "v", limits.alias("limits")), "cutoffs")
+    # phases 2 and 3
+    reached = _reaching(against(cutoffs), keep, nodes)
+    ranked = reached.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "rep"))).where(F.col("n") <= keep).drop("n")
+    members = ranked.join(classes.select("rep", "members").hint("merge"), "rep").select("query", "score", F.explode("members").alias("vec_id"))
     top = members.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= keep)
     lists = top.groupBy("query").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("best"))
     own = asked.select(F.col("vec_id").alias("query_id"), "query").join(lists, "query")

@@ -12,8 +12,9 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from massloom.llm import audit, fingerprints, resample
+from massloom.llm import audit, fingerprints, resample, topk
 
 ODD = [None, "", " ", "\n\n", "a", "one two three four", "é字☃ ▁x", "x " * 4000, "tie tie", "tie tie", "A1!b2_C3", "日本語 テキスト " * 50]
 
@@ -363,3 +364,14 @@ def test_quality_of_an_empty_table_and_a_long_text(spark):
     assert quality.classify(docs, labels, F.lit(True)).count() == 0
     long = spark.createDataFrame([(1, "word " * 400_000), (2, "|"), (3, None)], "doc_id long, text string")
     assert all(0 <= r.score <= 1 for r in quality.classify(long, labels, F.lit(True)).collect())
+
+
+def test_search_broadcasts_no_vectors(spark):
+    rows = [(i, [float((i * k) % 7) for k in range(4)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = topk.top_k(df, F.col("vec_id") % 100 == 0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin \[block", plan) and not re.search(r"BroadcastHashJoin \[(block|rep|v)#", plan)
+    v = {i: [int(1024 * x) for x in e] for i, e in rows}
+    want = [(q, n + 1, i, -s) for q in (0, 100, 200) for n, (s, i) in enumerate(sorted((-sum(a * b for a, b in zip(v[q], v[i])), i) for i in v if i != q)[:10])]
+    assert sorted(map(tuple, found.select("query_id", "rank", "vec_id", "score").collect())) == want
