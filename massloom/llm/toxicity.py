@@ -4,12 +4,14 @@ A word is the sum of two hashed embeddings, of its bytes and of its first four b
 inflected forms share evidence). Filters of widths 1, 2 and 3 slide over the words, the
 strongest response of each is pooled over the whole text, and a logistic unit scores
 the pooled responses. Training begins at random weights and drops words at random, so that a text's second strongest
-word is learnt too; it ends when a quarter of the rows, kept out of it, are ordered no better. Each quarter is kept out once, in
-four tasks; two of their models score together. Scores are calibrated on what was kept out, and thresholds by language are chosen on
-all rows as the model that had not seen them scored them; the language takes no part in the score itself.
+word is learnt too.
 
-Training takes a sample of labelled rows in hash order, bounded in rows and bytes; scoring is one pass
-over whole texts in which filter responses are table look-ups.
+All labelled rows are learnt from. They are packed into shards of bounded size, each with the same mixture of labels; in a round every
+shard trains from the shared weights over its own rows, and what the shards moved is added up in fixed point and averaged, so that the result
+depends neither on partitions nor on their order. A quarter of the rows is kept out of each model; rounds end when it is ordered no
+better. Scores are calibrated on all rows as the model that had not seen them scored them. Two models score together.
+
+Scoring is one pass over whole texts in which filter responses are table look-ups.
 """
 
 from __future__ import annotations
@@ -18,9 +20,8 @@ import pickle
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,15 +30,17 @@ from massloom.llm.bytehash import prefix, slices, span_hash, words
 from massloom.llm.contamination import FOLD
 from massloom.session import written
 
-#: Bound of the labelled sample that training takes.
-MAX_TRAIN_ROWS = 6000
-#: Bound of their texts' bytes; a sample of longer texts has fewer rows.
-MAX_TRAIN_BYTES = 64 << 20
-EPOCHS, PATIENCE, DROPPED = 28, 6, 0.4
-#: Parts of the sample, each of which is kept out of one training.
-FOLDS = 4
-#: Models, of those that training leaves, whose logits are averaged.
-MODELS = 2
+#: Bounds of a shard of the labelled rows, in rows and in bytes of text; a longer text makes its shard longer.
+SHARD_ROWS = 2000
+SHARD_BYTES = 8 << 20
+#: Rounds of training at most, rounds without progress after which it ends, and the share of words dropped.
+ROUNDS, PATIENCE, DROPPED = 28, 6, 0.4
+#: Share of ordered pairs at which training ends at once.
+ENOUGH = 0.9995
+#: Models, each of which learns from the rows outside its part, and how many of them score together; two have learnt from every row.
+FOLDS, MODELS = 4, 2
+#: Steps of the fixed point in which moves are added up, and of the logits that are counted.
+FIXED, GRID = 1 << 24, 100
 BUCKETS = 1 << 18
 WIDTHS = (1, 2, 3)
 _FOLD = np.frombuffer(FOLD, dtype=np.uint8)
@@ -96,12 +99,25 @@ class ConvModel:
         """Filter responses of single words, so that a convolution is a sum of look-ups."""
         self.tables = [[[(self.emb[k] @ f[j]).astype(np.float32) for k in (0, 1)] for j in range(len(f))] for f in self.filt]
 
+    def weights(self) -> np.ndarray:
+        """All weights but the embeddings, in a row."""
+        return np.concatenate([*(f.ravel() for f in self.filt), self.bias, self.out, [self.out_bias]]).astype(np.float64)
+
+    def take(self, flat: np.ndarray) -> None:
+        """The reverse of ``weights``."""
+        parts = np.split(flat.astype(np.float32), np.cumsum([*(f.size for f in self.filt), self.bias.size, self.out.size]))
+        self.filt = [x.reshape(f.shape) for x, f in zip(parts, self.filt)]
+        self.bias, self.out, self.out_bias = parts[-3], parts[-2], np.float32(parts[-1][0])
+
     def pooled(self, whole: np.ndarray, stem: np.ndarray, bounds: np.ndarray, places: bool = False):
         """Strongest response of each filter in each row (0 where no window fits), and where it stands."""
         n = len(bounds) - 1
         length = np.diff(bounds)
         best = np.zeros((n, len(WIDTHS) * self.filters), dtype=np.float32)
         where = np.full(best.shape, -1, dtype=np.int64) if places else None
+        if self.tables is None:  # the embeddings still move: responses of the words at hand
+            single = (self.emb[0][whole] + self.emb[1][stem]) @ np.concatenate([x for f in self.filt for x in f], axis=1)
+            first = np.cumsum([0, *WIDTHS]) * self.filters
         for g, w in enumerate(WIDTHS):
             m = len(whole) - w + 1
             rows = np.flatnonzero(length >= w)
@@ -109,8 +125,11 @@ class ConvModel:
                 continue
             conv = np.zeros((m, self.filters), dtype=np.float32)
             for j in range(w):
-                conv += self.tables[g][j][0][whole[j : j + m]]
-                conv += self.tables[g][j][1][stem[j : j + m]]
+                if self.tables is None:
+                    conv += single[j : j + m, first[g] + j * self.filters : first[g] + (j + 1) * self.filters]
+                else:
+                    conv += self.tables[g][j][0][whole[j : j + m]]
+                    conv += self.tables[g][j][1][stem[j : j + m]]
             if w > 1:  # windows that cross into the next row
                 row = np.repeat(np.arange(n), length)
                 conv[row[:m] != row[w - 1 :]] = -1e9
@@ -118,8 +137,11 @@ class ConvModel:
             top = np.maximum.reduceat(conv, bounds[:-1][rows], axis=0)
             best[rows, cols] = top
             if places:
-                for r, t in zip(rows, top, strict=True):
-                    where[r, cols] = bounds[r] + np.argmax(conv[bounds[r] : min(bounds[r + 1], m)] >= t, axis=0)
+                start = bounds[:-1][rows]
+                at, k = np.nonzero(conv[start[0] :] >= np.repeat(top, np.diff(np.append(start, m)), axis=0))
+                r = np.searchsorted(start, at + start[0], side="right") - 1
+                _, earliest = np.unique(r * self.filters + k, return_index=True)
+                where[rows[r[earliest]], g * self.filters + k[earliest]] = at[earliest] + start[0]
         return (best, where) if places else best
 
     def logits(self, whole: np.ndarray, stem: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -129,48 +151,25 @@ class ConvModel:
     def scores(self, whole: np.ndarray, stem: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         return sigmoid(self.logits(whole, stem, bounds).astype(np.float64) * self.scale + self.shift)
 
-    def learn(self, whole: list[np.ndarray], stem: list[np.ndarray], y: np.ndarray, held: list[int], epochs: int = EPOCHS) -> np.ndarray:
-        """Train on the rows outside ``held`` and keep the weights of the epoch that orders ``held`` best; returns their logits."""
-        use = np.setdiff1d(np.arange(len(y)), held)
-        rng = np.random.default_rng(self.seed + 1)
-        self.start()
-        best, since, kept, found = -1.0, 0, None, None
-        for epoch in range(epochs):
-            here = [rng.random(len(whole[i])) >= DROPPED for i in use]
-            self.train([whole[i][k] for i, k in zip(use, here, strict=True)], [stem[i][k] for i, k in zip(use, here, strict=True)], y[use], rng, rate=0.4 / (1 + 0.1 * epoch))
-            z = np.concatenate([self.logits(whole[i], stem[i], np.array([0, len(whole[i])])) for i in held]).astype(np.float64)
-            order, since = ordered_share(z, y[held]), since + 1
-            if order > best:
-                best, since, found = order, 0, z
-                kept = (self.emb.copy(), [f.copy() for f in self.filt], self.bias.copy(), self.out.copy(), self.out_bias)
-            elif since >= PATIENCE and best > 0.9:
-                break
-        self.emb, self.filt, self.bias, self.out, self.out_bias = kept
-        self.tables = None  # made again where texts are scored
-        return found
-
     def train(self, whole: list[np.ndarray], stem: list[np.ndarray], y: np.ndarray, rng: np.random.Generator, epochs: int = 1, batch: int = 64, rate: float = 0.4) -> None:
         """Adagrad on the log loss; the gradient of a filter flows through its strongest window."""
         squares = {"emb": np.full(self.emb.shape, 1e-2, np.float32), "out": np.full(self.out.shape, 1e-2), "bias": np.full(self.bias.shape, 1e-2), "ob": 1e-2, "filt": [np.full(f.shape, 1e-2) for f in self.filt]}
         for _ in range(epochs):
-            order = rng.permutation(len(y))
+            order, self.tables = rng.permutation(len(y)), None
             for lo in range(0, len(order), batch):
                 pick = order[lo : lo + batch]
                 lens = [len(whole[i]) for i in pick]
                 bounds = np.concatenate([[0], np.cumsum(lens)])
                 a = np.concatenate([whole[i] for i in pick])
                 b = np.concatenate([stem[i] for i in pick])
-                ua, ia = np.unique(a, return_inverse=True)
-                ub, ib = np.unique(b, return_inverse=True)
-                self.tables = [[[self.emb[0][ua] @ f[j], self.emb[1][ub] @ f[j]] for j in range(len(f))] for f in self.filt]
-                best, where = self.pooled(ia, ib, bounds, places=True)
+                best, where = self.pooled(a, b, bounds, places=True)
                 pre = best + self.bias
                 hidden = np.maximum(pre, 0)
                 p = 1 / (1 + np.exp(-np.clip(hidden @ self.out + self.out_bias, -30, 30)))
                 grad = (p - y[pick]) / len(pick)
                 g_out = hidden.T @ grad
                 g_hidden = np.outer(grad, self.out) * (pre > 0)
-                g_emb = [np.zeros((len(ua), self.dim), np.float32), np.zeros((len(ub), self.dim), np.float32)]
+                touched, pushes = [], []
                 for g, w in enumerate(WIDTHS):
                     cols = slice(g * self.filters, (g + 1) * self.filters)
                     at, gh = where[:, cols], g_hidden[:, cols] * (where[:, cols] >= 0)
@@ -180,11 +179,15 @@ class ConvModel:
                         e = self.emb[0][a[pos]] + self.emb[1][b[pos]]
                         g_f[j] = np.einsum("nf,nfd->df", gh, e)
                         push = gh[:, :, None] * self.filt[g][j].T[None]
-                        np.add.at(g_emb[0], ia[pos].ravel(), push.reshape(-1, self.dim))
-                        np.add.at(g_emb[1], ib[pos].ravel(), push.reshape(-1, self.dim))
+                        some = gh.ravel() != 0
+                        touched.append(pos.ravel()[some])
+                        pushes.append(push.reshape(-1, self.dim)[some])
                     squares["filt"][g] += g_f**2
                     self.filt[g] -= (rate * g_f / np.sqrt(squares["filt"][g])).astype(np.float32)
-                for k, (u, ge) in enumerate(((ua, g_emb[0]), (ub, g_emb[1]))):
+                for k, words_at in enumerate((a, b)):
+                    u, place = np.unique(words_at[np.concatenate(touched)], return_inverse=True)
+                    ge = np.zeros((len(u), self.dim), np.float32)
+                    np.add.at(ge, place, np.concatenate(pushes))
                     squares["emb"][k][u] += ge**2
                     self.emb[k][u] -= rate * ge / np.sqrt(squares["emb"][k][u])
                 squares["out"] += g_out**2
@@ -194,7 +197,6 @@ class ConvModel:
                 self.bias -= (rate * g_b / np.sqrt(squares["bias"])).astype(np.float32)
                 squares["ob"] += grad.sum() ** 2
                 self.out_bias -= np.float32(rate * grad.sum() / np.sqrt(squares["ob"]))
-        self.fold()
 
 
 @dataclass
@@ -204,12 +206,20 @@ class Ensemble:
     models: list[ConvModel]
     thresholds: dict[str, float] = field(default_factory=dict)
     constant: float | None = None
+    packed: list[bytes] | None = None
+
+    def folded(self) -> Ensemble:
+        """A copy with look-ups and without embeddings, for one task: its worker keeps neither when the task is done."""
+        models = []
+        for raw in self.packed or []:
+            m = pickle.loads(raw)
+            m.fold()
+            m.emb = None
+            models.append(m)
+        return Ensemble(models, constant=self.constant)
 
-    def fold(self) -> None:
-        for m in self.models:
-            if getattr(m, "tables", None) is None:
-                m.fold()
-                m.emb = None  # scoring needs the look-ups alone
+    def __getstate__(self) -> dict:
+        return {"models": [], "thresholds": self.thresholds, "constant": self.constant, "packed": [pickle.dumps(m) for m in self.models]}
 
     def scores(self, whole: np.ndarray, stem: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         if self.constant is not None:
@@ -222,9 +232,10 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def platt(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Scale and shift that turn logits into chances, with rows weighted as the sample thinned them."""
+    """Scale and shift that turn logits into chances, each weighted by the rows that it stands for."""
     scale, shift = 1.0, 0.0
-    target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((y == 0).sum() + 2))
+    toxic, clean = weight[y == 1].sum(), weight[y == 0].sum()
+    target = np.where(y == 1, (toxic + 1) / (toxic + 2), 1 / (clean + 2))
     for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(scale * z + shift, -30, 30)))
         h = np.maximum(p * (1 - p), 1e-6) * weight
@@ -237,18 +248,19 @@ def platt(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, floa
     return float(scale), float(shift)
 
 
-def language_thresholds(s: np.ndarray, y: np.ndarray, weight: np.ndarray, lang: list[str], precision: float = 0.9) -> dict[str, float]:
-    """Each language's lowest score, 0.3 at least, from which on the rows reach the precision; none for a language of under 10 positive rows."""
-    out = {}
-    for one in sorted(set(lang)):
-        mine = np.array([x == one for x in lang])
-        if y[mine].sum() < 10:
-            continue
-        cand = np.unique(np.floor(s[mine & (y == 1)] * 1000) / 1000)
-        good = [c for c in cand if c >= 0.3 and np.average(y[mine & (s >= c)], weights=weight[mine & (s >= c)]) >= precision]
-        if good:
-            out[one] = float(good[0])
-    return out
+def language_thresholds(kept: DataFrame, models: list[ConvModel], precision: float = 0.9) -> dict[str, float]:
+    """Each language's lowest score, in thousandths and 0.3 at least, from which on all labelled rows reach the precision; none for a language of under 10 positive rows.
+
+    ``kept`` has every labelled row's logit by the model that it was kept out of.
+    """
+    scale, shift = (F.element_at(F.array(*(F.lit(float(getattr(m, name))) for m in models)), F.col("part") + 1) for name in ("scale", "shift"))
+    logit = F.least(F.greatest(scale * F.col("z") + shift, F.lit(-30.0)), F.lit(30.0))
+    counts = kept.select("language", "y", F.floor(1000 / (1 + F.exp(-logit))).alias("at")).groupBy("language", "at").agg(F.count("*").alias("n"), F.sum("y").alias("toxic"))
+    # a thousand rows a language at most
+    above = Window.partitionBy("language").orderBy(F.desc("at"))
+    summed = counts.withColumns({"n_above": F.sum("n").over(above), "toxic_above": F.sum("toxic").over(above), "total": F.sum("toxic").over(Window.partitionBy("language"))})
+    good = summed.where((F.col("total") >= 10) & (F.col("toxic") > 0) & (F.col("at") >= 300) & (F.col("toxic_above") >= F.lit(precision) * F.col("n_above")))
+    return {r.language: r.at / 1000 for r in good.groupBy("language").agg(F.min("at").alias("at")).orderBy("language").collect()}
 
 
 def ordered_share(z: np.ndarray, y: np.ndarray) -> float:
@@ -265,67 +277,197 @@ def crc_mod(doc_id: str, n: int) -> F.Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(n))
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", lang: str | None = "lang", max_rows: int = MAX_TRAIN_ROWS, max_bytes: int = MAX_TRAIN_BYTES) -> Ensemble:
-    """Train on at most ``max_rows`` labelled rows and ``max_bytes`` of text, half of each label, the first by a hash of the id.
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", lang: str | None = "lang", max_rows: int = SHARD_ROWS, max_bytes: int = SHARD_BYTES) -> Ensemble:
+    """Train on the whole texts of all labelled rows, in shards of about ``max_rows`` rows and ``max_bytes`` of text.
 
     Rows without a label or an id are left out, an id that is labelled more than once takes its
     largest label, one that several texts have takes the least of them, and texts that are null count as empty. Without labels of both kinds the model
     scores every text with the labels' mean (0 without any).
     """
-    known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.max(label).alias("y"))
-    known = known.withColumn("y", (F.col("y") > 0).cast("int"))
-    both = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    # both kinds fill half of the sample each, as far as there are labels
-    sample = known.where("y = 1").orderBy(F.xxhash64(doc_id), doc_id).limit(max_rows // 2)
-    sample = sample.unionByName(known.where("y = 0").orderBy(F.xxhash64(doc_id), doc_id).limit(max_rows // 2))
+    known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg((F.max(label) > 0).cast("int").alias("y"))
     language = F.coalesce(F.col(lang).cast("string"), F.lit("")) if lang and lang in docs.columns else F.lit("")
     texts = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), language.alias("language"))
-    # the sample has max_rows rows at most, whatever the size of the tables
-    drawn = texts.join(F.broadcast(sample.select(F.col(doc_id).alias("id"), "y")), "id").groupBy("id", "y").agg(F.min(F.struct("text", "language")).alias("t"))
-    drawn = written(drawn.select("id", "y", "t.*", F.octet_length("t.text").alias("size")), "sample")
-    taken: list = []
-    for label_value in (0, 1):
-        room = max_bytes // 2
-        for r in drawn.where(F.col("y") == label_value).select("id", "size").orderBy(F.xxhash64("id"), "id").collect():
-            room -= r["size"]
-            if room >= 0:
-                taken.append(r.id)
-    chosen = docs.sparkSession.createDataFrame([(i,) for i in taken], drawn.select("id").schema)
-    found = written(with_word_ids(drawn.join(F.broadcast(chosen), "id", "left_semi")).select(F.col("id").cast("string").alias("id"), "y", "language", "whole", "stem"), "sample")
-    kinds = found.agg(F.count("*").alias("n"), F.min("y").alias("low"), F.max("y").alias("high"), F.avg("y").alias("mean")).first()
-    if kinds.n < 20 or kinds.low == kinds.high:
-        return Ensemble([], constant=float(kinds.mean) if kinds.n else 0.0)
-    fits = sorted(found.withColumn("quarter", F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1)))).groupBy("quarter").applyInPandas(_kept_out, "quarter int, z binary, y binary, languages array<string>, model binary").collect())
-    model = Ensemble([pickle.loads(f.model) for f in fits if f.model])
-    scores, labelled, weights, languages = [], [], [], []
-    for f in fits:
-        z, y = np.frombuffer(f.z), np.frombuffer(f.y)
-        weight = np.array([both[k] / (y == k).sum() for k in y.astype(int)])
-        scale, shift = platt(z, y, weight)
-        if f.quarter < MODELS:
-            model.models[f.quarter].scale, model.models[f.quarter].shift = scale, shift
-        scores.append(1 / (1 + np.exp(-np.clip(scale * z + shift, -30, 30))))
-        labelled.append(y)
-        weights.append(weight)
-        languages += f.languages
-    model.thresholds = language_thresholds(np.concatenate(scores), np.concatenate(labelled), np.concatenate(weights), languages)
-    return model
-
-
-def _kept_out(rows: pd.DataFrame) -> pd.DataFrame:
-    """Train without one quarter of the sample and score it; the sample is the same whatever the order of its rows."""
-    quarter = int(rows["quarter"].iloc[0])
-    rows = rows.sort_values("id").reset_index(drop=True)
-    y = (rows["y"].to_numpy() > 0).astype(np.float64)
-    whole, stem = ([np.frombuffer(x, dtype=np.int32) for x in rows[c]] for c in ("whole", "stem"))
-    # either label is dealt to the quarters on its own, so that each has both
-    order = np.random.default_rng(3).permutation(len(y))
-    hold = np.concatenate([order[y[order] == label][quarter::FOLDS] for label in (1, 0)])
-    model = ConvModel()
-    z = model.learn(whole, stem, y, hold)
-    out = {"quarter": quarter, "z": z.tobytes(), "y": y[hold].tobytes(), "languages": rows["language"].to_numpy()[hold].tolist(), "model": pickle.dumps(model) if quarter < MODELS else b""}
-    release()
-    return pd.DataFrame({k: [v] for k, v in out.items()})
+    found = texts.join(known, "id").groupBy("id", "y").agg(F.min(F.struct("text", "language")).alias("t")).select(F.col("id").cast("string").alias("id"), "y", "t.*", F.octet_length("t.text").alias("size"))
+    found = written(with_word_ids(found).select("id", "y", "language", "size", "whole", "stem"), "labelled")
+    kinds = found.agg(F.count("*").alias("n"), F.sum("y").alias("toxic"), F.sum("size").alias("size")).first()
+    if (kinds.n or 0) < 20 or kinds.toxic in (0, kinds.n):
+        return Ensemble([], constant=kinds.toxic / kinds.n if kinds.n else 0.0)
+    shards = _shards(found, max(1, round(kinds.n / max_rows), round(kinds.size / max_bytes)))
+    models = _trained(shards)
+    kept = written(_kept_out(shards, models), "kept-out")
+    for k, m in enumerate(models):
+        # a few thousand rows, whatever the size of the tables
+        counts = kept.where(F.col("part") == k).groupBy("y", F.floor(F.col("z") * GRID + 0.5).alias("z")).agg(F.count("*").alias("n")).orderBy("y", "z").collect()
+        m.scale, m.shift = platt(np.array([c.z for c in counts]) / GRID, np.array([float(c.y) for c in counts]), np.array([float(c.n) for c in counts]))
+    return Ensemble(models[:MODELS], language_thresholds(kept, models))
+
+
+def _shards(found: DataFrame, count: int) -> DataFrame:
+    """A row for each shard: its rows' labels, languages, parts, numbers of words and words, as bytes; the same for the same rows.
+
+    Rows of a shard stand in the order of a hash of their ids; either label is dealt to the parts in turn.
+    """
+
+    def pack(batches):
+        held: list[tuple] = []
+
+        def flush():
+            y = np.array([h[1] for h in held], dtype=np.int32)
+            part = np.zeros(len(y), dtype=np.int32)
+            for label in (0, 1):
+                part[y == label] = (np.arange((y == label).sum()) + held[0][0]) % FOLDS
+            length = np.array([len(h[3]) // 4 for h in held], dtype=np.int64)
+            row = [held[0][0], y.tobytes(), [h[2] for h in held], part.tobytes(), length.tobytes(), b"".join(h[3] for h in held), b"".join(h[4] for h in held)]
+            kinds = (pa.int32(), pa.binary(), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=["shard", "y", "languages", "part", "length", "whole", "stem"])
+
+        for batch in batches:
+            for row in zip(*(column(batch, c).to_pylist() for c in ("shard", "y", "language", "whole", "stem")), strict=True):
+                if held and held[0][0] != row[0]:
+                    yield flush()
+                    held = []
+                held.append(row)
+        if held:
+            yield flush()
+        held = []
+        release()
+
+    dealt = found.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(count)).cast("int")).select("shard", "id", "y", "language", "whole", "stem")
+    ordered = dealt.repartition(max(1, min(count, 1000)), "shard").sortWithinPartitions("shard", F.xxhash64("id"), "id")
+    return written(ordered.mapInArrow(pack, "shard int, y binary, languages array<string>, part binary, length binary, whole binary, stem binary"), "shards")
+
+
+def _rows_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Labels, parts, bounds of the rows' words, and the words of a shard."""
+    bounds = np.concatenate([[0], np.cumsum(np.frombuffer(row["length"], dtype=np.int64))])
+    return np.frombuffer(row["y"], dtype=np.int32), np.frombuffer(row["part"], dtype=np.int32), bounds, np.frombuffer(row["whole"], dtype=np.int32), np.frombuffer(row["stem"], dtype=np.int32)
+
+
+def _of(rows: np.ndarray, bounds: np.ndarray, whole: np.ndarray, stem: np.ndarray, keep: np.ndarray | None = None):
+    """Words and bounds of some rows, without the words that ``keep`` leaves out."""
+    mask = np.repeat(np.isin(np.arange(len(bounds) - 1), rows), np.diff(bounds))
+    if keep is not None:
+        mask &= keep
+    sums = np.concatenate([[0], np.cumsum(mask)])
+    return whole[mask], stem[mask], np.concatenate([[0], np.cumsum((sums[bounds[1:]] - sums[bounds[:-1]])[rows])])
+
+
+def _summed(parts: list[bytes]) -> dict[str, np.ndarray]:
+    """Moves of several shards added up; whole numbers, so that their order does not matter."""
+    made = [pickle.loads(x) for x in parts]
+    out = {"at": np.unique(np.concatenate([m["at"] for m in made]))}
+    out["moves"], out["times"] = np.zeros((len(out["at"]), made[0]["moves"].shape[1]), np.int64), np.zeros(len(out["at"]), np.int64)
+    for m in made:
+        here = np.searchsorted(out["at"], m["at"])
+        out["moves"][here] += m["moves"]
+        out["times"][here] += m["times"]
+    return out | {k: sum(m[k] for m in made) for k in ("rest", "shards", "counts")}
+
+
+def _trained(shards: DataFrame) -> list[ConvModel]:
+    """Rounds in which every shard trains from the shared weights; what reaches the driver is bounded by the models' shape."""
+    spark = shards.sparkSession
+    models = [ConvModel(seed=7 + k) for k in range(FOLDS)]
+    for m in models:
+        m.start()
+    best: list[tuple] = [(-1.0, 0, None)] * FOLDS
+    live = list(range(FOLDS))
+    for turn in range(ROUNDS + 1):
+        packed = {k: pickle.dumps(models[k]) for k in live}
+        shared = spark.sparkContext.broadcast(packed)
+
+        def run(batches, shared=shared, turn=turn, live=tuple(live)):
+            made: dict[int, list[bytes]] = {k: [] for k in live}
+            fresh = {k: pickle.loads(raw) for k, raw in shared.value.items()}
+            for m in fresh.values():
+                m.tables = None
+            for batch in batches:
+                for row in batch.to_pylist():
+                    for k in live:
+                        made[k].append(_moves(row, fresh[k], k, turn))
+                        if len(made[k]) > 3:
+                            made[k] = [pickle.dumps(_summed(made[k]))]
+            some = [k for k in live if made[k]]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([pickle.dumps(_summed(made[k])) for k in some], pa.binary())], names=["model", "sums"])
+            del made, fresh
+            release()
+
+        def added(batches):
+            found: dict[int, list[bytes]] = {}
+            for batch in batches:
+                for k, raw in zip(*(column(batch, c).to_pylist() for c in ("model", "sums")), strict=True):
+                    found[k] = [pickle.dumps(_summed([*found.get(k, []), raw]))]
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([x[0] for x in found.values()], pa.binary())], names=["model", "sums"])
+            release()
+
+        sums = shards.select("shard", "y", "part", "length", "whole", "stem").mapInArrow(run, "model int, sums binary").repartition(FOLDS, "model").mapInArrow(added, "model int, sums binary")
+        got = {r.model: pickle.loads(r.sums) for r in sums.collect()}
+        shared.destroy()
+        for k in list(live):
+            m, moved = models[k], got[k]
+            score, since, kept = best[k]
+            order = counted_share(moved["counts"])
+            best[k] = (order, 0, packed[k]) if order > score else (score, since + 1, kept)
+            if best[k][1] >= PATIENCE or best[k][0] >= ENOUGH or turn == ROUNDS:
+                live.remove(k)
+                models[k] = pickle.loads(best[k][2])
+                continue
+            # a word's move is the mean of the shards that moved it, all other weights' that of all shards
+            m.emb.reshape(-1, m.dim)[moved["at"]] += (moved["moves"] / FIXED / moved["times"][:, None]).astype(np.float32)
+            m.take(m.weights() + moved["rest"] / FIXED / moved["shards"])
+        if not live:
+            break
+    return models
+
+
+def _moves(row: dict, given: ConvModel, k: int, turn: int) -> bytes:
+    """What training over a shard's rows moves in a model, and how often each logit and label stands among the rows kept out of it."""
+    y, part, bounds, whole, stem = _rows_of(row)
+    held, use = np.flatnonzero(part == k), np.flatnonzero(part != k)
+    model = ConvModel(given.dim, given.filters, given.seed)
+    model.emb, model.tables = given.emb.copy(), None
+    model.filt, model.bias, model.out, model.out_bias = [f.copy() for f in given.filt], given.bias.copy(), given.out.copy(), given.out_bias
+    z = model.logits(*_of(held, bounds, whole, stem))
+    counts = np.zeros((2, 60 * GRID + 1), dtype=np.int64)
+    np.add.at(counts, (y[held], np.floor((np.clip(z, -30, 30) + 30) * GRID + 0.5).astype(np.int64)), 1)
+    rng = np.random.default_rng([model.seed, turn, row["shard"]])
+    before, start = given.weights(), given.emb
+    if len(use):
+        w, s, b = _of(use, bounds, whole, stem, rng.random(len(whole)) >= DROPPED)
+        cut = lambda x: [x[b[i] : b[i + 1]] for i in range(len(use))]
+        model.train(cut(w), cut(s), y[use].astype(np.float64), rng, rate=0.4 / (1 + 0.1 * turn))
+    at = np.flatnonzero((model.emb != start).any(axis=2).ravel()).astype(np.int32)
+    fixed = lambda x: np.round(np.asarray(x, dtype=np.float64) * FIXED).astype(np.int64)
+    moves = fixed(model.emb.reshape(-1, model.dim)[at] - start.reshape(-1, model.dim)[at])
+    return pickle.dumps({"at": at, "moves": moves, "times": np.ones(len(at), np.int64), "rest": fixed(model.weights() - before), "shards": 1, "counts": counts})
+
+
+def _kept_out(shards: DataFrame, models: list[ConvModel]) -> DataFrame:
+    """(part, y, language, z): the logit of every labelled row by the model that it was kept out of."""
+    shared = shards.sparkSession.sparkContext.broadcast([pickle.dumps(m) for m in models])
+
+    def run(batches):
+        models = [pickle.loads(x) for x in shared.value]
+        for m in models:
+            m.tables = None
+        for batch in batches:
+            for row in batch.to_pylist():
+                y, part, bounds, whole, stem = _rows_of(row)
+                z = np.zeros(len(y))
+                for k, m in enumerate(models):
+                    z[part == k] = m.logits(*_of(np.flatnonzero(part == k), bounds, whole, stem))
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(y), pa.array(row["languages"], pa.string()), pa.array(np.clip(z, -30, 30))], names=["part", "y", "language", "z"])
+        del models, m
+        release()
+
+    return shards.mapInArrow(run, "part int, y int, language string, z double")
+
+
+def counted_share(counts: np.ndarray) -> float:
+    """``ordered_share`` of logits that are counted by label."""
+    neg, pos = counts.astype(float)
+    pairs = neg.sum() * pos.sum()
+    return float((pos * (np.cumsum(neg) - neg / 2)).sum() / pairs) if pairs else 0.0
 
 
 def with_word_ids(df: DataFrame) -> DataFrame:
@@ -353,8 +495,7 @@ def score(docs: DataFrame, model: Ensemble, text: str = "text", lang: str | None
     shared = docs.sparkSession.sparkContext.broadcast(model)  # weights without look-up tables, of a size fixed by the models' shape
 
     def make():
-        model = shared.value
-        model.fold()
+        model = shared.value.folded()
 
         def step(batch: pa.RecordBatch) -> dict[str, pa.Array]:
             parts = [model.scores(*word_ids(buf, offsets)) for _, _, buf, offsets in slices(column(batch, text), 1 << 19)]

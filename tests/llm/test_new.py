@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from massloom.llm import audit, fingerprints, resample, topk
+from massloom.llm import audit, fingerprints, resample, topk, toxicity
 
 ODD = [None, "", " ", "\n\n", "a", "one two three four", "é字☃ ▁x", "x " * 4000, "tie tie", "tie tie", "A1!b2_C3", "日本語 テキスト " * 50]
 
@@ -375,3 +375,17 @@ def test_search_broadcasts_no_vectors(spark):
     v = {i: [int(1024 * x) for x in e] for i, e in rows}
     want = [(q, n + 1, i, -s) for q in (0, 100, 200) for n, (s, i) in enumerate(sorted((-sum(a * b for a, b in zip(v[q], v[i])), i) for i in v if i != q)[:10])]
     assert sorted(map(tuple, found.select("query_id", "rank", "vec_id", "score").collect())) == want
+
+
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 20) + (" vile" if i % 4 == 0 else ""), "en", int(i % 4 == 0)) for i in range(300)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    counted, platt = [], toxicity.platt
+    monkeypatch.setattr(toxicity, "platt", lambda z, y, weight: counted.append((weight.sum(), (weight * y).sum())) or platt(z, y, weight))
+    monkeypatch.setattr(toxicity, "ROUNDS", 3, raising=False)
+    made = [toxicity.fit(docs.repartition(n), labels, max_rows=100, max_bytes=1000) for n in (1, 7)]
+    # each row is kept out once, whatever the bounds of a shard
+    assert [sum(x) for x in zip(*counted[:4])] == [300, 75] and counted[:4] == counted[4:]
+    assert [(m.scale, m.shift, m.out.tolist()) for m in made[0].models] == [(m.scale, m.shift, m.out.tolist()) for m in made[1].models]
