@@ -389,3 +389,16 @@ def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
     # each row is kept out once, whatever the bounds of a shard
     assert [sum(x) for x in zip(*counted[:4])] == [300, 75] and counted[:4] == counted[4:]
     assert [(m.scale, m.shift, m.out.tolist()) for m in made[0].models] == [(m.scale, m.shift, m.out.tolist()) for m in made[1].models]
+
+
+def test_language_thresholds_count_every_row(spark):
+    rng = random.Random(9)
+    rows = [(i % 4, int(rng.random() < 0.3), rng.choice(["de", "en"])) for i in range(2000)] + [(0, 1, "fr")] * 9
+    rows = [(part, y, lang, rng.gauss(2 * y - 1, 1)) for part, y, lang in rows]
+    models = [toxicity.ConvModel(scale=1 + 0.1 * k, shift=-0.2 * k) for k in range(4)]
+    want = {}
+    for lang in ("de", "en"):
+        at = sorted((math.floor(1000 / (1 + math.exp(-(models[p].scale * z + models[p].shift)))), y) for p, y, l, z in rows if l == lang)
+        good = [c for c, y in at if y and c >= 300 and sum(y for b, y in at if b >= c) >= 0.9 * sum(b >= c for b, _ in at)]
+        want |= {lang: good[0] / 1000} if good else {}
+    assert want and toxicity.language_thresholds(spark.createDataFrame(rows, "part int, y int, language string, z double").repartition(5), models) == want
