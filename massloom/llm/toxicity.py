@@ -3,7 +3,9 @@
 A word is the sum of two hashed embeddings, of its bytes and of its first four bytes (so
 inflected forms share evidence). Filters of widths 1, 2 and 3 slide over the words, the
 strongest response of each is pooled over the whole text, and a logistic unit scores
-the pooled responses. Training begins at random weights and drops words at random, so that a text's second strongest
+the pooled responses. Training begins at random weights, but for one component of the embeddings of words that
+stand in toxic or in other texts clearly more often than by chance; Spark counts them over all labelled rows. (From random weights alone
+the averaged moves of small shards do not leave the start.) Training drops words at random, so that a text's second strongest
 word is learnt too.
 
 All labelled rows are learnt from. They are packed into shards of bounded size, each with the same mixture of labels; in a round every
@@ -11,13 +13,16 @@ shard trains from the shared weights over its own rows, and what the shards move
 depends neither on partitions nor on their order. A quarter of the rows is kept out of each model; rounds end when it is ordered no
 better. Scores are calibrated on all rows as the model that had not seen them scored them. Two models score together.
 
+A model carries only the embeddings that training has moved: others are drawn from the seed where a shard trains them and count as zero where
+a text is scored. So neither a task nor the driver holds a table of all buckets, and a shard trains on a table of its own words.
+
 Scoring is one pass over whole texts in which filter responses are table look-ups.
 """
 
 from __future__ import annotations
 
 import pickle
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +31,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from massloom.llm.arrow import add_columns, column, release
-from massloom.llm.bytehash import prefix, slices, span_hash, words
+from massloom.llm.bytehash import mix, prefix, slices, span_hash, words
 from massloom.llm.contamination import FOLD
 from massloom.session import written
 
 #: Bounds of a shard of the labelled rows, in rows and in bytes of text; a longer text makes its shard longer.
 SHARD_ROWS = 2000
 SHARD_BYTES = 8 << 20
-#: Rounds of training at most, rounds without progress after which it ends, and the share of words dropped.
-ROUNDS, PATIENCE, DROPPED = 28, 6, 0.4
+#: Rounds of training at most, rounds without progress after which it ends, what more pairs in order count as progress, and the share of words dropped.
+ROUNDS, PATIENCE, PROGRESS, DROPPED = 28, 3, 0.001, 0.4
+#: Deviations from chance from which on a word's counts are in its first embedding, and their weight there.
+CLEAR, COUNTED = 1.5, 0.1
 #: Share of ordered pairs at which training ends at once.
 ENOUGH = 0.9995
 #: Models, each of which learns from the rows outside its part, and how many of them score together; two have learnt from every row.
@@ -57,47 +64,85 @@ def word_ids(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return whole.astype(np.int32), stem.astype(np.int32), np.searchsorted(row, np.arange(len(offsets)))
 
 
+def drawn(seed: int, at: np.ndarray, dim: int) -> np.ndarray:
+    """Random embeddings that a seed gives to places, uniform with a deviation of 0.05."""
+    bits = mix((at.astype(np.uint64)[:, None] * np.uint64(dim) + np.arange(dim, dtype=np.uint64)) ^ mix(np.array([seed], dtype=np.uint64)))
+    return (((bits >> np.uint64(40)).astype(np.float32) / (1 << 24) - 0.5) * (0.05 * 12**0.5)).astype(np.float32)
+
+
 @dataclass
 class ConvModel:
-    """Embeddings, filters and output weights; ``tables`` holds what scoring looks up."""
+    """Filters, output weights and the embeddings ``moved`` to ``values``, by place: a word's bucket, or ``BUCKETS`` and that of its first bytes.
+
+    ``emb`` holds embeddings for training: those of all buckets after ``start``, those of a vocabulary in the models that ``over`` makes.
+    ``tables`` holds what scoring looks up, ``index`` where in it a bucket stands.
+    """
 
     dim: int = 8
     filters: int = 4
     seed: int = 7
     scale: float = 1.0
     shift: float = 0.0
+    emb = tables = index = None
 
-    def start(self) -> None:
-        """Random weights."""
-        rng = np.random.default_rng(self.seed)
-        self.emb = rng.normal(0, 0.05, (2, BUCKETS, self.dim)).astype(np.float32)
+    def begin(self, rng: np.random.Generator | None = None) -> None:
+        """Random filters, and no embedding moved yet."""
+        rng = rng or np.random.default_rng(self.seed)
         self.filt = [rng.normal(0, 0.3, (w, self.dim, self.filters)).astype(np.float32) for w in WIDTHS]
         self.bias = np.zeros(len(WIDTHS) * self.filters, dtype=np.float32)
         self.out = rng.normal(0, 0.2, len(WIDTHS) * self.filters).astype(np.float32)
         self.out_bias = np.float32(-1.0)
+        self.moved, self.values = np.zeros(0, dtype=np.int32), np.zeros((0, self.dim), dtype=np.float32)
 
-    def __getstate__(self) -> dict:
-        """Of the embeddings only those that training has moved; the rest are drawn again from the seed."""
-        state = {k: v for k, v in self.__dict__.items() if k not in ("emb", "tables")}
-        if "emb" in self.__dict__:
-            fresh = ConvModel(self.dim, self.filters, self.seed)
-            fresh.start()
-            moved = [np.flatnonzero((a != b).any(axis=1)).astype(np.int32) for a, b in zip(self.emb, fresh.emb, strict=True)]
-            state["moved"] = [(at, e[at]) for at, e in zip(moved, self.emb, strict=True)]
-        return state
-
-    def __setstate__(self, state: dict) -> None:
-        moved = state.pop("moved", None)
-        if moved is not None:
-            self.dim, self.filters, self.seed = state["dim"], state["filters"], state["seed"]
-            self.start()
-            for e, (at, values) in zip(self.emb, moved, strict=True):
-                e[at] = values
-        self.__dict__.update(state)
+    def start(self) -> None:
+        """Random weights, with embeddings for all buckets."""
+        rng = np.random.default_rng(self.seed)
+        self.emb = rng.normal(0, 0.05, (2, BUCKETS, self.dim)).astype(np.float32)
+        self.begin(rng)
+
+    def counted(self, at: np.ndarray, strength: np.ndarray) -> None:
+        """Begin with the evidence of places, which stand in order, in the first component; every filter and output looks for it."""
+        self.begin()
+        self.moved, self.values = at.astype(np.int32), drawn(self.seed, at, self.dim)
+        self.values[:, 0] += (COUNTED * strength).astype(np.float32)
+        for f in self.filt:
+            f[:, 0] = np.abs(f[:, 0])
+        self.out = np.abs(self.out)
+
+    def rows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(embeddings of places, zero where not moved; which ones are not moved)."""
+        out = np.zeros((len(at), self.dim), dtype=np.float32)
+        place = np.searchsorted(self.moved, at)
+        known = np.zeros(len(at), dtype=bool)
+        if len(self.moved):
+            known = self.moved[np.minimum(place, len(self.moved) - 1)] == at
+            out[known] = self.values[place[known]]
+        return out, ~known
+
+    def over(self, at: np.ndarray, whole: int) -> tuple[ConvModel, np.ndarray]:
+        """A copy whose embeddings are those of a vocabulary, ``whole`` words and then first bytes, and which of them have not moved."""
+        model, (rows, fresh) = replace(self), self.rows(at)
+        model.emb = [rows[:whole], rows[whole:]]
+        model.filt, model.bias, model.out, model.out_bias = [f.copy() for f in self.filt], self.bias.copy(), self.out.copy(), self.out_bias
+        return model, fresh
+
+    def responses(self) -> np.ndarray:
+        """The filters side by side: for each width, what its first, second ... word adds."""
+        return np.concatenate([x for f in self.filt for x in f], axis=1)
 
     def fold(self) -> None:
         """Filter responses of single words, so that a convolution is a sum of look-ups."""
-        self.tables = [[[(self.emb[k] @ f[j]).astype(np.float32) for k in (0, 1)] for j in range(len(f))] for f in self.filt]
+        side = self.responses()
+        if self.emb is not None:
+            self.tables = [e @ side for e in self.emb]
+            return
+        self.tables, self.index = [], []
+        for k in (0, 1):
+            lo, hi = np.searchsorted(self.moved, [k * BUCKETS, (k + 1) * BUCKETS])
+            index = np.zeros(BUCKETS, dtype=np.int32)  # 0: not moved
+            index[self.moved[lo:hi] - k * BUCKETS] = np.arange(1, hi - lo + 1)
+            self.index.append(index)
+            self.tables.append(np.concatenate([np.zeros((1, side.shape[1]), np.float32), self.values[lo:hi] @ side]))
 
     def weights(self) -> np.ndarray:
         """All weights but the embeddings, in a row."""
@@ -109,38 +154,49 @@ class ConvModel:
         self.filt = [x.reshape(f.shape) for x, f in zip(parts, self.filt)]
         self.bias, self.out, self.out_bias = parts[-3], parts[-2], np.float32(parts[-1][0])
 
+    def move(self, at: np.ndarray, moves: np.ndarray) -> None:
+        """Add ``moves`` to the embeddings of the places ``at``, which stand in order."""
+        rows, fresh = self.rows(at)
+        rows[fresh] = drawn(self.seed, at[fresh], self.dim)
+        rows += moves.astype(np.float32)
+        keep = ~np.isin(self.moved, at)
+        places = np.concatenate([self.moved[keep], at])
+        order = np.argsort(places)
+        self.moved, self.values = places[order].astype(np.int32), np.concatenate([self.values[keep], rows])[order]
+
     def pooled(self, whole: np.ndarray, stem: np.ndarray, bounds: np.ndarray, places: bool = False):
         """Strongest response of each filter in each row (0 where no window fits), and where it stands."""
         n = len(bounds) - 1
         length = np.diff(bounds)
         best = np.zeros((n, len(WIDTHS) * self.filters), dtype=np.float32)
         where = np.full(best.shape, -1, dtype=np.int64) if places else None
+        # a row for each filter's share of a word, so that windows and maxima run along memory
         if self.tables is None:  # the embeddings still move: responses of the words at hand
-            single = (self.emb[0][whole] + self.emb[1][stem]) @ np.concatenate([x for f in self.filt for x in f], axis=1)
-            first = np.cumsum([0, *WIDTHS]) * self.filters
+            single = self.responses().T @ (self.emb[0][whole] + self.emb[1][stem]).T
+        else:
+            a, b = (whole, stem) if self.index is None else (self.index[0][whole], self.index[1][stem])
+            single = np.ascontiguousarray((self.tables[0][a] + self.tables[1][b]).T)
+        first = np.cumsum([0, *WIDTHS]) * self.filters
         for g, w in enumerate(WIDTHS):
             m = len(whole) - w + 1
             rows = np.flatnonzero(length >= w)
             if m <= 0 or not len(rows):
                 continue
-            conv = np.zeros((m, self.filters), dtype=np.float32)
-            for j in range(w):
-                if self.tables is None:
-                    conv += single[j : j + m, first[g] + j * self.filters : first[g] + (j + 1) * self.filters]
-                else:
-                    conv += self.tables[g][j][0][whole[j : j + m]]
-                    conv += self.tables[g][j][1][stem[j : j + m]]
-            if w > 1:  # windows that cross into the next row
-                row = np.repeat(np.arange(n), length)
-                conv[row[:m] != row[w - 1 :]] = -1e9
+            shares = [single[first[g] + j * self.filters : first[g] + (j + 1) * self.filters, j : j + m] for j in range(w)]
+            conv = shares[0] + shares[1] if w > 1 else shares[0]
+            for x in shares[2:]:
+                conv += x
+            for j in range(1, w):  # windows that cross into the next row
+                over = bounds[1:] - j
+                conv[:, over[(over >= 0) & (over < m)]] = -1e9
+            start = bounds[:-1][rows]
+            top = np.maximum.reduceat(conv, start, axis=1)
             cols = slice(g * self.filters, (g + 1) * self.filters)
-            top = np.maximum.reduceat(conv, bounds[:-1][rows], axis=0)
-            best[rows, cols] = top
+            best[rows, cols] = top.T
             if places:
-                start = bounds[:-1][rows]
-                at, k = np.nonzero(conv[start[0] :] >= np.repeat(top, np.diff(np.append(start, m)), axis=0))
+                k, at = np.nonzero(conv[:, start[0] :] == np.repeat(top, np.diff(np.append(start, m)), axis=1))
                 r = np.searchsorted(start, at + start[0], side="right") - 1
-                _, earliest = np.unique(r * self.filters + k, return_index=True)
+                earliest = np.flatnonzero(np.diff(k * len(rows) + r, prepend=-1))
                 where[rows[r[earliest]], g * self.filters + k[earliest]] = at[earliest] + start[0]
         return (best, where) if places else best
 
@@ -153,7 +209,7 @@ class ConvModel:
 
     def train(self, whole: list[np.ndarray], stem: list[np.ndarray], y: np.ndarray, rng: np.random.Generator, epochs: int = 1, batch: int = 64, rate: float = 0.4) -> None:
         """Adagrad on the log loss; the gradient of a filter flows through its strongest window."""
-        squares = {"emb": np.full(self.emb.shape, 1e-2, np.float32), "out": np.full(self.out.shape, 1e-2), "bias": np.full(self.bias.shape, 1e-2), "ob": 1e-2, "filt": [np.full(f.shape, 1e-2) for f in self.filt]}
+        squares = {"emb": [np.full(e.shape, 1e-2, np.float32) for e in self.emb], "out": np.full(self.out.shape, 1e-2), "bias": np.full(self.bias.shape, 1e-2), "ob": 1e-2, "filt": [np.full(f.shape, 1e-2) for f in self.filt]}
         for _ in range(epochs):
             order, self.tables = rng.permutation(len(y)), None
             for lo in range(0, len(order), batch):
@@ -185,9 +241,12 @@ class ConvModel:
                     squares["filt"][g] += g_f**2
                     self.filt[g] -= (rate * g_f / np.sqrt(squares["filt"][g])).astype(np.float32)
                 for k, words_at in enumerate((a, b)):
-                    u, place = np.unique(words_at[np.concatenate(touched)], return_inverse=True)
-                    ge = np.zeros((len(u), self.dim), np.float32)
-                    np.add.at(ge, place, np.concatenate(pushes))
+                    at = words_at[np.concatenate(touched)]
+                    if not len(at):
+                        continue
+                    order_at = np.argsort(at, kind="stable")
+                    u, begin = np.unique(at[order_at], return_index=True)
+                    ge = np.add.reduceat(np.concatenate(pushes).astype(np.float32)[order_at], begin, axis=0)
                     squares["emb"][k][u] += ge**2
                     self.emb[k][u] -= rate * ge / np.sqrt(squares["emb"][k][u])
                 squares["out"] += g_out**2
@@ -214,7 +273,6 @@ class Ensemble:
         for raw in self.packed or []:
             m = pickle.loads(raw)
             m.fold()
-            m.emb = None
             models.append(m)
         return Ensemble(models, constant=self.constant)
 
@@ -303,7 +361,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
 
 def _shards(found: DataFrame, count: int) -> DataFrame:
-    """A row for each shard: its rows' labels, languages, parts, numbers of words and words, as bytes; the same for the same rows.
+    """A row for each shard: its rows' labels, languages, parts, numbers of words, words, and the places that its words stand for, as bytes; the same for the same rows.
 
     Rows of a shard stand in the order of a hash of their ids; either label is dealt to the parts in turn.
     """
@@ -317,9 +375,11 @@ def _shards(found: DataFrame, count: int) -> DataFrame:
             for label in (0, 1):
                 part[y == label] = (np.arange((y == label).sum()) + held[0][0]) % FOLDS
             length = np.array([len(h[3]) // 4 for h in held], dtype=np.int64)
-            row = [held[0][0], y.tobytes(), [h[2] for h in held], part.tobytes(), length.tobytes(), b"".join(h[3] for h in held), b"".join(h[4] for h in held)]
-            kinds = (pa.int32(), pa.binary(), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=["shard", "y", "languages", "part", "length", "whole", "stem"])
+            own = [np.unique(np.frombuffer(b"".join(h[k] for h in held), dtype=np.int32), return_inverse=True) for k in (3, 4)]
+            places = np.concatenate([own[0][0], own[1][0] + BUCKETS]).astype(np.int32)
+            row = [held[0][0], y.tobytes(), [h[2] for h in held], part.tobytes(), length.tobytes(), places.tobytes(), len(own[0][0]), *(x.astype(np.int32).tobytes() for _, x in own)]
+            kinds = (pa.int32(), pa.binary(), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=["shard", "y", "languages", "part", "length", "places", "words", "whole", "stem"])
 
         for batch in batches:
             for row in zip(*(column(batch, c).to_pylist() for c in ("shard", "y", "language", "whole", "stem")), strict=True):
@@ -334,27 +394,38 @@ def _shards(found: DataFrame, count: int) -> DataFrame:
 
     dealt = found.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(count)).cast("int")).select("shard", "id", "y", "language", "whole", "stem")
     ordered = dealt.repartition(max(1, min(count, 1000)), "shard").sortWithinPartitions("shard", F.xxhash64("id"), "id")
-    return written(ordered.mapInArrow(pack, "shard int, y binary, languages array<string>, part binary, length binary, whole binary, stem binary"), "shards")
-
-
-def _rows_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Labels, parts, bounds of the rows' words, and the words of a shard."""
-    bounds = np.concatenate([[0], np.cumsum(np.frombuffer(row["length"], dtype=np.int64))])
-    return np.frombuffer(row["y"], dtype=np.int32), np.frombuffer(row["part"], dtype=np.int32), bounds, np.frombuffer(row["whole"], dtype=np.int32), np.frombuffer(row["stem"], dtype=np.int32)
-
+    return written(ordered.mapInArrow(pack, "shard int, y binary, languages array<string>, part binary, length binary, places binary, words int, whole binary, stem binary"), "shards")
 
-def _of(rows: np.ndarray, bounds: np.ndarray, whole: np.ndarray, stem: np.ndarray, keep: np.ndarray | None = None):
-    """Words and bounds of some rows, without the words that ``keep`` leaves out."""
-    mask = np.repeat(np.isin(np.arange(len(bounds) - 1), rows), np.diff(bounds))
-    if keep is not None:
-        mask &= keep
-    sums = np.concatenate([[0], np.cumsum(mask)])
-    return whole[mask], stem[mask], np.concatenate([[0], np.cumsum((sums[bounds[1:]] - sums[bounds[:-1]])[rows])])
 
-
-def _summed(parts: list[bytes]) -> dict[str, np.ndarray]:
+@dataclass
+class Shard:
+    """Labels and parts of some rows, the bounds of their words, the words as numbers in ``places``, and how many of those are whole words."""
+
+    number: int
+    y: np.ndarray
+    part: np.ndarray
+    bounds: np.ndarray
+    places: np.ndarray
+    words: int
+    whole: np.ndarray
+    stem: np.ndarray
+
+    @classmethod
+    def of(cls, row: dict) -> Shard:
+        y, part, places, whole, stem = (np.frombuffer(row[c], dtype=np.int32) for c in ("y", "part", "places", "whole", "stem"))
+        return cls(row["shard"], y, part, np.concatenate([[0], np.cumsum(np.frombuffer(row["length"], dtype=np.int64))]), places, row["words"], whole, stem)
+
+    def only(self, rows: np.ndarray, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words and bounds of a mask's rows, without the words that ``keep`` leaves out."""
+        mask = np.repeat(rows, np.diff(self.bounds))
+        if keep is not None:
+            mask &= keep
+        sums = np.concatenate([[0], np.cumsum(mask)])
+        return self.whole[mask], self.stem[mask], np.concatenate([[0], np.cumsum((sums[self.bounds[1:]] - sums[self.bounds[:-1]])[rows])])
+
+
+def _summed(made: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
     """Moves of several shards added up; whole numbers, so that their order does not matter."""
-    made = [pickle.loads(x) for x in parts]
     out = {"at": np.unique(np.concatenate([m["at"] for m in made]))}
     out["moves"], out["times"] = np.zeros((len(out["at"]), made[0]["moves"].shape[1]), np.int64), np.zeros(len(out["at"]), np.int64)
     for m in made:
@@ -364,82 +435,115 @@ def _summed(parts: list[bytes]) -> dict[str, np.ndarray]:
     return out | {k: sum(m[k] for m in made) for k in ("rest", "shards", "counts")}
 
 
+def _begun(shards: DataFrame) -> list[ConvModel]:
+    """Models that know which places stand in toxic rows more, or less, often than by chance; each counts the rows that are not kept out of it."""
+
+    def count(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                s = Shard.of(row)
+                n, kind = len(s.places), 2 * s.part + s.y  # no places: no words
+                text = np.repeat(np.arange(len(s.y), dtype=np.int64), np.diff(s.bounds)) * n
+                seen = [np.unique(text + ids) for ids in (s.whole, s.stem.astype(np.int64) + s.words)]
+                found = sum(np.bincount(x % n * 2 * FOLDS + kind[x // n], minlength=n * 2 * FOLDS) for x in seen).reshape(n, 2 * FOLDS)
+                # place -1 stands in every row
+                found = np.concatenate([found, np.bincount(kind, minlength=2 * FOLDS)[None]]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(s.places, np.int32(-1))), *(pa.array(np.ascontiguousarray(c)) for c in found.T)], names=names)
+        release()
+
+    names = ["place", *(f"c{c}" for c in range(2 * FOLDS))]
+    each = shards.drop("languages").mapInArrow(count, ", ".join(f"{c} int" for c in names))
+    counts = written(each.groupBy("place").agg(*(F.sum(c).alias(c) for c in names[1:])), "word-counts")
+    total, strength = counts.where("place = -1").first(), []
+    for k in range(FOLDS):
+        toxic, clean = ([f"c{2 * p + y}" for p in range(FOLDS) if p != k] for y in (1, 0))
+        share = sum(total[c] for c in toxic) / max(1, sum(total[c] for c in toxic + clean))
+        chance = sum(F.col(c) for c in toxic + clean) * F.lit(share)
+        z = (sum(F.col(c) for c in toxic) - chance) / F.sqrt(chance * F.lit(1 - share) + 1)
+        strength.append(F.when(F.abs(z) >= CLEAR, F.signum(z) * F.log1p(F.abs(z))).cast("float").alias(f"s{k}"))
+    # two places a bucket at most
+    clear = counts.where("place >= 0").select("place", *strength).where(F.coalesce(*(F.col(f"s{k}") for k in range(FOLDS))).isNotNull()).toArrow().sort_by("place")
+    models = [ConvModel(seed=7 + k) for k in range(FOLDS)]
+    for k, m in enumerate(models):
+        own = clear.filter(clear[f"s{k}"].is_valid())
+        m.counted(own["place"].to_numpy(), own[f"s{k}"].to_numpy())
+    return models
+
+
 def _trained(shards: DataFrame) -> list[ConvModel]:
-    """Rounds in which every shard trains from the shared weights; what reaches the driver is bounded by the models' shape."""
+    """Rounds in which every shard trains from the shared weights. Moves are added up and made in tasks; the driver passes models on, as bytes of a size bounded by their shape."""
     spark = shards.sparkSession
-    models = [ConvModel(seed=7 + k) for k in range(FOLDS)]
-    for m in models:
-        m.start()
-    best: list[tuple] = [(-1.0, 0, None)] * FOLDS
-    live = list(range(FOLDS))
+    packed = {k: pickle.dumps(m) for k, m in enumerate(_begun(shards))}
+    best, marks = [(-1.0, b"")] * FOLDS, [(-1.0, 0)] * FOLDS  # the best model; the last progress and the rounds since
     for turn in range(ROUNDS + 1):
-        packed = {k: pickle.dumps(models[k]) for k in live}
         shared = spark.sparkContext.broadcast(packed)
 
-        def run(batches, shared=shared, turn=turn, live=tuple(live)):
-            made: dict[int, list[bytes]] = {k: [] for k in live}
-            fresh = {k: pickle.loads(raw) for k, raw in shared.value.items()}
-            for m in fresh.values():
-                m.tables = None
+        def run(batches, shared=shared, turn=turn):
+            models = {k: pickle.loads(raw) for k, raw in shared.value.items()}
+            made: dict[int, list[dict]] = {k: [] for k in models}
             for batch in batches:
                 for row in batch.to_pylist():
-                    for k in live:
-                        made[k].append(_moves(row, fresh[k], k, turn))
+                    shard = Shard.of(row)
+                    for k, m in models.items():
+                        made[k].append(_moves(shard, m, k, turn))
                         if len(made[k]) > 3:
-                            made[k] = [pickle.dumps(_summed(made[k]))]
-            some = [k for k in live if made[k]]
+                            made[k] = [_summed(made[k])]
+            some = [k for k in made if made[k]]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([pickle.dumps(_summed(made[k])) for k in some], pa.binary())], names=["model", "sums"])
-            del made, fresh
+            del made, models
             release()
 
-        def added(batches):
-            found: dict[int, list[bytes]] = {}
+        def moved(batches, shared=shared):
+            found: dict[int, dict] = {}
             for batch in batches:
                 for k, raw in zip(*(column(batch, c).to_pylist() for c in ("model", "sums")), strict=True):
-                    found[k] = [pickle.dumps(_summed([*found.get(k, []), raw]))]
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([x[0] for x in found.values()], pa.binary())], names=["model", "sums"])
+                    found[k] = _summed([*([found[k]] if k in found else []), pickle.loads(raw)])
+            for k, sums in found.items():
+                # a word's move is the mean of the shards that moved it, all other weights' that of all shards
+                m = pickle.loads(shared.value[k])
+                m.move(sums["at"], sums["moves"] / FIXED / sums["times"][:, None])
+                m.take(m.weights() + sums["rest"] / FIXED / sums["shards"])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([counted_share(sums["counts"])]), pa.array([pickle.dumps(m)], pa.binary())], names=["model", "share", "packed"])
+            found = {}
             release()
 
-        sums = shards.select("shard", "y", "part", "length", "whole", "stem").mapInArrow(run, "model int, sums binary").repartition(FOLDS, "model").mapInArrow(added, "model int, sums binary")
-        got = {r.model: pickle.loads(r.sums) for r in sums.collect()}
+        sums = shards.drop("languages").mapInArrow(run, "model int, sums binary").repartition(FOLDS, "model")
+        got = sums.mapInArrow(moved, "model int, share double, packed binary").collect()
         shared.destroy()
-        for k in list(live):
-            m, moved = models[k], got[k]
-            score, since, kept = best[k]
-            order = counted_share(moved["counts"])
-            best[k] = (order, 0, packed[k]) if order > score else (score, since + 1, kept)
-            if best[k][1] >= PATIENCE or best[k][0] >= ENOUGH or turn == ROUNDS:
-                live.remove(k)
-                models[k] = pickle.loads(best[k][2])
-                continue
-            # a word's move is the mean of the shards that moved it, all other weights' that of all shards
-            m.emb.reshape(-1, m.dim)[moved["at"]] += (moved["moves"] / FIXED / moved["times"][:, None]).astype(np.float32)
-            m.take(m.weights() + moved["rest"] / FIXED / moved["shards"])
-        if not live:
+        for r in got:
+            k, (mark, since) = r.model, marks[r.model]
+            marks[k] = (r.share, 0) if r.share >= mark + PROGRESS else (mark, since + 1)
+            if r.share > best[k][0]:
+                best[k] = (r.share, packed[k])
+            packed[k] = bytes(r.packed)
+            if marks[k][1] >= PATIENCE or r.share >= ENOUGH:
+                del packed[k]
+        del got
+        if not packed:
             break
-    return models
+    return [pickle.loads(raw) for _, raw in best]
 
 
-def _moves(row: dict, given: ConvModel, k: int, turn: int) -> bytes:
+def _moves(shard: Shard, given: ConvModel, k: int, turn: int) -> dict[str, np.ndarray]:
     """What training over a shard's rows moves in a model, and how often each logit and label stands among the rows kept out of it."""
-    y, part, bounds, whole, stem = _rows_of(row)
-    held, use = np.flatnonzero(part == k), np.flatnonzero(part != k)
-    model = ConvModel(given.dim, given.filters, given.seed)
-    model.emb, model.tables = given.emb.copy(), None
-    model.filt, model.bias, model.out, model.out_bias = [f.copy() for f in given.filt], given.bias.copy(), given.out.copy(), given.out_bias
-    z = model.logits(*_of(held, bounds, whole, stem))
+    model, fresh = given.over(shard.places, shard.words)
+    held = shard.part == k
+    z = model.logits(*shard.only(held))
     counts = np.zeros((2, 60 * GRID + 1), dtype=np.int64)
-    np.add.at(counts, (y[held], np.floor((np.clip(z, -30, 30) + 30) * GRID + 0.5).astype(np.int64)), 1)
-    rng = np.random.default_rng([model.seed, turn, row["shard"]])
-    before, start = given.weights(), given.emb
-    if len(use):
-        w, s, b = _of(use, bounds, whole, stem, rng.random(len(whole)) >= DROPPED)
-        cut = lambda x: [x[b[i] : b[i + 1]] for i in range(len(use))]
-        model.train(cut(w), cut(s), y[use].astype(np.float64), rng, rate=0.4 / (1 + 0.1 * turn))
-    at = np.flatnonzero((model.emb != start).any(axis=2).ravel()).astype(np.int32)
+    np.add.at(counts, (shard.y[held], np.floor((np.clip(z, -30, 30) + 30) * GRID + 0.5).astype(np.int64)), 1)
+    drawn_rows = drawn(given.seed, shard.places[fresh], given.dim)
+    for e, new, rows in zip(model.emb, np.split(fresh, [shard.words]), np.split(drawn_rows, [fresh[: shard.words].sum()]), strict=True):
+        e[new] = rows
+    start = np.concatenate(model.emb)
+    rng = np.random.default_rng([model.seed, turn, shard.number])
+    if not held.all():
+        w, s, b = shard.only(~held, rng.random(len(shard.whole), dtype=np.float32) >= DROPPED)
+        cut = lambda x: [x[i:j] for i, j in zip(b[:-1], b[1:])]
+        model.train(cut(w), cut(s), shard.y[~held].astype(np.float64), rng, rate=0.4 / (1 + 0.1 * turn))
+    end = np.concatenate(model.emb)
+    at = np.flatnonzero((end != start).any(axis=1))
     fixed = lambda x: np.round(np.asarray(x, dtype=np.float64) * FIXED).astype(np.int64)
-    moves = fixed(model.emb.reshape(-1, model.dim)[at] - start.reshape(-1, model.dim)[at])
-    return pickle.dumps({"at": at, "moves": moves, "times": np.ones(len(at), np.int64), "rest": fixed(model.weights() - before), "shards": 1, "counts": counts})
+    return {"at": shard.places[at], "moves": fixed(end[at] - start[at]), "times": np.ones(len(at), np.int64), "rest": fixed(model.weights() - given.weights()), "shards": 1, "counts": counts}
 
 
 def _kept_out(shards: DataFrame, models: list[ConvModel]) -> DataFrame:
@@ -448,16 +552,14 @@ def _kept_out(shards: DataFrame, models: list[ConvModel]) -> DataFrame:
 
     def run(batches):
         models = [pickle.loads(x) for x in shared.value]
-        for m in models:
-            m.tables = None
         for batch in batches:
             for row in batch.to_pylist():
-                y, part, bounds, whole, stem = _rows_of(row)
-                z = np.zeros(len(y))
+                shard = Shard.of(row)
+                z = np.zeros(len(shard.y))
                 for k, m in enumerate(models):
-                    z[part == k] = m.logits(*_of(np.flatnonzero(part == k), bounds, whole, stem))
-                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(y), pa.array(row["languages"], pa.string()), pa.array(np.clip(z, -30, 30))], names=["part", "y", "language", "z"])
-        del models, m
+                    z[shard.part == k] = m.over(shard.places, shard.words)[0].logits(*shard.only(shard.part == k))
+                yield pa.RecordBatch.from_arrays([pa.array(shard.part), pa.array(shard.y), pa.array(row["languages"], pa.string()), pa.array(np.clip(z, -30, 30))], names=["part", "y", "language", "z"])
+        del models
         release()
 
     return shards.mapInArrow(run, "part int, y int, language string, z double")
@@ -498,7 +600,7 @@ def score(docs: DataFrame, model: Ensemble, text: str = "text", lang: str | None
         model = shared.value.folded()
 
         def step(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-            parts = [model.scores(*word_ids(buf, offsets)) for _, _, buf, offsets in slices(column(batch, text), 1 << 19)]
+            parts = [model.scores(*word_ids(buf, offsets)) for _, _, buf, offsets in slices(column(batch, text), 1 << 18)]
             return {out: pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())}
 
         return step

@@ -391,6 +391,20 @@ def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
     assert [(m.scale, m.shift, m.out.tolist()) for m in made[0].models] == [(m.scale, m.shift, m.out.tolist()) for m in made[1].models]
 
 
+def test_toxicity_models_hold_their_words_alone_and_leave_the_start(spark):
+    rng = random.Random(12)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7))) for _ in range(500)]
+    rows = [(i, " ".join([*rng.choices(vocab, k=60), *(["vile"] if i % 8 == 0 else []), *rng.choices(vocab, k=60)]), "en", int(i % 8 == 0)) for i in range(600)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows if r[0] < 400], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, max_rows=50)
+    # words and beginnings of words, and no table of all buckets on the driver
+    assert all(getattr(m, "emb", None) is None and len(m.moved) <= 1002 for m in model.models)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    z, y = (np.array(x) for x in zip(*((got[r[0]], r[3]) for r in rows if r[0] >= 400)))
+    assert toxicity.ordered_share(z, y) >= 0.95
+
+
 def test_language_thresholds_count_every_row(spark):
     rng = random.Random(9)
     rows = [(i % 4, int(rng.random() < 0.3), rng.choice(["de", "en"])) for i in range(2000)] + [(0, 1, "fr")] * 9
