@@ -226,7 +226,7 @@ class ConvModel:
                 g_out = hidden.T @ grad
                 g_hidden = np.outer(grad, self.out) * (pre > 0)
                 touched, pushes = [], []
-                for g, w in enumerate(WIDTHS):
+                for g, w in enumerate(WIDTHS if len(a) else ()):
                     cols = slice(g * self.filters, (g + 1) * self.filters)
                     at, gh = where[:, cols], g_hidden[:, cols] * (where[:, cols] >= 0)
                     g_f = np.zeros(self.filt[g].shape)
@@ -240,7 +240,7 @@ class ConvModel:
                         pushes.append(push.reshape(-1, self.dim)[some])
                     squares["filt"][g] += g_f**2
                     self.filt[g] -= (rate * g_f / np.sqrt(squares["filt"][g])).astype(np.float32)
-                for k, words_at in enumerate((a, b)):
+                for k, words_at in enumerate((a, b) if len(a) else ()):  # no words: output weights alone
                     at = words_at[np.concatenate(touched)]
                     if not len(at):
                         continue

@@ -405,6 +405,19 @@ def test_toxicity_models_hold_their_words_alone_and_leave_the_start(spark):
     assert toxicity.ordered_share(z, y) >= 0.95
 
 
+def test_toxicity_trains_on_batches_without_words(spark):
+    model = toxicity.ConvModel()
+    model.start()
+    before = model.out_bias
+    none = [np.zeros(0, dtype=np.int32)] * 3
+    model.train(none, none, np.array([0.0, 1.0, 1.0]), np.random.default_rng(0))
+    assert model.out_bias > before
+    docs = spark.createDataFrame([(i, None if i % 2 else "") for i in range(40)], "doc_id long, text string")
+    fitted = toxicity.fit(docs, docs.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic")))
+    scores = [r.score for r in toxicity.score(docs, fitted).collect()]
+    assert len(scores) == 40 and len(set(scores)) == 1 and abs(scores[0] - 0.25) < 0.05
+
+
 def test_language_thresholds_count_every_row(spark):
     rng = random.Random(9)
     rows = [(i % 4, int(rng.random() < 0.3), rng.choice(["de", "en"])) for i in range(2000)] + [(0, 1, "fr")] * 9
