@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,15 +109,34 @@ def static_fragment_score(matched: DataFrame, by: list[str], intensity: str = "i
 def dynamic_fragment_score(psms: DataFrame, trials: str, hits: str, chance: str, out: str = "dynamic_fragment") -> DataFrame:
     """Append -ln of the binomial chance of at least ``hits`` of ``trials`` ions matching at random with ``chance`` each."""
 
-    def log_choose(n: Column, k: Column) -> Column:
-        top = F.aggregate(F.sequence(F.lit(1), F.greatest(k, F.lit(1)).cast("int")), F.lit(0.0), lambda s, j: s + F.ln((n - k + j) / j))
-        return F.when(k > 0, top).otherwise(0.0)
-
-    n, k, p = F.col(trials), F.col(hits), F.least(F.greatest(F.col(chance), F.lit(1e-12)), F.lit(1 - 1e-12))
-    terms = F.transform(F.sequence(k.cast("int"), n.cast("int")), lambda j: log_choose(n, j) + j * F.ln(p) + (n - j) * F.ln(1 - p))
-    most = F.array_max(terms)
-    tail = most + F.ln(total(F.transform(terms, lambda t: F.exp(t - most))))
-    return psms.withColumn(out, F.when(k > 0, -tail).otherwise(0.0))
+    @F.pandas_udf("double")
+    def rated(n: pd.Series, k: pd.Series, p: pd.Series) -> pd.Series:
+        score = np.full(len(n), np.nan)
+        known = np.flatnonzero((n.notna() & k.notna() & p.notna()).to_numpy())
+        cases, back = np.unique(np.stack([x.to_numpy(dtype=float)[known] for x in (n, k, p)], axis=1), axis=0, return_inverse=True)
+        score[known] = -binomial_tail(*cases.T)[back.ravel()]
+        return pd.Series(score).astype(object).where(~np.isnan(score), None)
+
+    k, p = F.col(hits).cast("int"), F.least(F.greatest(F.col(chance), F.lit(1e-12)), F.lit(1 - 1e-12))
+    return psms.withColumn(out, F.when(k > 0, rated(F.col(trials).cast("int"), k, p)).otherwise(0.0))
+
+
+def binomial_tail(n: np.ndarray, k: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """ln of the chance of at least ``k`` of ``n`` with chance ``p`` each, NaN where ``k`` > ``n``; all cases take one term at a time."""
+    total = np.full(len(n), -np.inf)
+    if len(n):
+        log_factorial = np.cumsum(np.log(np.maximum(np.arange(int(max(n.max(), 0)) + 1), 1)))
+        log_p, log_q = np.log(p), np.log1p(-p)
+        left, j = np.flatnonzero(n >= k), k.copy()
+        while len(left):
+            m, i = n[left].astype(np.int64), j[left].astype(np.int64)
+            term = log_factorial[m] - log_factorial[i] - log_factorial[m - i] + i * log_p[left] + (m - i) * log_q[left]
+            total[left] = np.logaddexp(total[left], term)
+            # past the mode terms fall faster and faster: those below 1e-20 of the sum add nothing
+            over = (i == m) | ((i > m * p[left] + 1) & (term < total[left] - 50))
+            j[left] += 1
+            left = left[~over]
+    return np.where(n >= k, total, np.nan)
 
 
 def targets_at(psms: DataFrame, score: str, peptide: list[str], is_decoy: Column, limit: float = 0.01) -> int:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -80,6 +81,21 @@ def test_fragment_scores(spark):
     assert got[0] == pytest.approx(-math.log(tail)) and got[1] == 0
 
 
+def test_fragment_scores_of_many_trials(spark):
+    began = time.monotonic()
+    rows = spark.range(20_000).select(F.lit(400).alias("n"), (F.col("id") % 300 + 1).cast("int").alias("k"), (F.lit(0.001) + F.col("id") * 1e-5).alias("p"))
+    odd = spark.createDataFrame([(5, 6, 0.1), (5, 5, 0.0), (None, 1, 0.5), (5, None, 0.5)], "n int, k int, p double")
+    got = {(r.n, r.k, r.p): r.dynamic_fragment for r in dia.dynamic_fragment_score(rows.unionByName(odd), "n", "k", "p").collect()}
+    # every term by lambdas took minutes
+    assert time.monotonic() - began < 40
+    for (n, k, p), score in [x for x in got.items() if x[0][0] == 400][::997]:
+        a, b = p.as_integer_ratio()
+        tail = sum(math.comb(n, j) * a**j * (b - a) ** (n - j) for j in range(k, n + 1))
+        assert score == pytest.approx(n * math.log(b) - math.log(tail), rel=1e-8, abs=1e-8)
+    assert got[(5, 5, 0.0)] == pytest.approx(-5 * math.log(1e-12)) and got[(5, None, 0.5)] == 0
+    assert [got[k] for k in ((5, 6, 0.1), (None, 1, 0.5))] == [None, None]
+
+
 def test_weights_are_chosen(spark):
     rng = np.random.default_rng(2)
     rows = [(i, bool(i % 2), float(rng.normal()), 0.0, 0.0, float(rng.normal() + (4 if i % 2 == 0 else 0)), 0.0) for i in range(200)]
