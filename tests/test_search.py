@@ -203,3 +203,15 @@ def test_decoys_take_all_attempts(spark):
         made = digestion.make_decoys(peptides, kind).collect()
         assert len(made) >= 98  # each try keeps the order in one of three cases
         assert all(sorted(r.decoy) == sorted(r.sequence) and r.decoy != r.sequence for r in made)
+
+
+def test_peaks_of_many_spectra_equal_the_bins_of_each():
+    rng = np.random.default_rng(11)
+    made = [(rng.uniform(50, 1500, n), rng.uniform(0, 9, n) * (rng.random(n) < 0.9), float(rng.uniform(100, 800)), int(rng.integers(1, 4))) for n in [0, 1, 3, 40, 200, 0, 7, 500]]
+    made += [(np.full(3, 700.0), np.ones(3), 100.0, 1), (np.array([100.0, 100.001, 101.0]), np.zeros(3), 300.0, 2)]
+    owner = np.repeat(np.arange(len(made)), [len(m[0]) for m in made])
+    got = search.ten_bin_peaks(owner, np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made]), np.array([m[2] for m in made]), np.array([m[3] for m in made]))
+    for k, (mz, intensity, precursor, charge) in enumerate(made):
+        want = search.preprocess(mz, intensity, precursor, charge, stop_after="ten-bin")
+        mine = got[0] == k
+        assert got[1][mine].tolist() == np.flatnonzero(want).tolist() and got[2][mine].tolist() == want[np.flatnonzero(want)].tolist()
