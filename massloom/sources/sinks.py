@@ -224,7 +224,8 @@ def write_ms2(spectra: DataFrame, path: str, overwrite: bool = False) -> None:
     z = F.array_join(F.transform("zstates", lambda s: F.concat(F.lit("\nZ\t"), s["charge"].cast("string"), F.lit("\t"), _number(s["mh"], 5))), "")
     rt = F.when(F.col("rt").isNotNull(), F.concat(F.lit("\nI\tRTime\t"), _number(F.col("rt") / 60, 6))).otherwise("")
     peaks = F.array_join(F.zip_with("mz", "intensity", lambda m, i: F.concat(F.lit("\n"), _number(m, 4), F.lit(" "), _number(i, 4))), "")
-    scan = F.lpad(F.col("scan").cast("string"), 6, "0")
+    plain = F.col("scan").cast("string")
+    scan = F.lpad(plain, F.greatest(F.length(plain), F.lit(6)), F.lit("0"))  # lpad alone cuts what is longer
     body = spectra.select(F.concat(F.lit("S\t"), scan, F.lit("\t"), scan, F.lit("\t"), _number(F.coalesce("precursor_mz", F.lit(0.0)), 5), rt, z, peaks))
     _write_lines(spectra.sparkSession, ["H\tExtractor\tmassloom"], body, [], path, overwrite)
 

@@ -148,3 +148,10 @@ def test_side_files(spark, tmp_path):
     assert [(r.scan, r.charge, r.sequence, r.mod_sequence) for r in psms.read_percolator_psms(spark, put(tmp_path, "t.txt", t)).collect()] == [(14, 1, "VMF", "VM[15.99]F")]
     l = "scan\tcharge\tspectrum precursor m/z\tpeptide mass\tsequence\tunmodified sequence\tspectrum neutral mass\tretention time\ttdc q-value\tprotein id\tfile\n36\t2\t676.3\t1350.6\tEG\tEG\t1350.6\t120\t0.001\tP\t/z/s.mzML\n37\t2\t6\t1\tE\tE\t1\t1\t0.5\tP\ts\n"
     assert [(r.file, r.scan, r.rt) for r in psms.read_lfq_psms(spark, put(tmp_path, "l.tsv", l), rt_seconds=True).collect()] == [("s", 36, 2.0)]
+
+
+def test_ms2_keeps_scans_of_seven_digits(spark, tmp_path):
+    z = "array<struct<charge:int,mh:double>>"
+    made = [(s, 500.0, [(2, 999.0)], None, [100.0, 200.5], [1.0, 2.0]) for s in (7, 999_999, 1_000_000, 1_000_001, 21_474_836)]
+    sinks.write_ms2(spark.createDataFrame(made, f"scan int, precursor_mz double, zstates {z}, rt double, mz array<double>, intensity array<double>"), str(tmp_path / "wide.ms2"))
+    assert sorted(r.scan for r in spectra.read_ms2(spark, str(tmp_path / "wide.ms2")).collect()) == [r[0] for r in made]
