@@ -56,3 +56,13 @@ def test_top_peaks_of_each_region(spark):
     df = spark.createDataFrame([(1, [0.0, 1.0, 2.0, 5.0, 9.0, 10.0], [5.0, 7.0, 6.0, 1.0, 2.0, 2.0]), (2, [], []), (3, [4.0], [1.0])], "scan int, mz array<double>, intensity array<double>")
     got = {r.scan: (r.mz, r.intensity) for r in spectra.top_per_region(df, 2, 2).collect()}
     assert got == {1: ([1.0, 2.0, 9.0, 10.0], [7.0, 6.0, 2.0, 2.0]), 2: ([], []), 3: ([4.0], [1.0])}
+
+
+def test_ranks_of_a_set_that_many_proteins_share(spark):
+    # with a copy of the members for each of them this was 3.2 billion values
+    pairs = spark.range(40_000).select(F.col("id").alias("protein"), F.explode(F.when(F.col("id") < 2, F.array(F.lit("x"))).otherwise(F.array(F.lit("x"), F.lit("y")))).alias("peptide"))
+    scores = spark.range(1, 40_001).select(F.col("id").alias("protein"), F.col("id").alias("score"))
+    sets = counting.peptide_sets(pairs)
+    assert sorted(tuple(r) for r in counting.peptide_set_ranks(sets, scores).collect()) == [(["x"], 0, 1, 2), (["x", "y"], 2, 39_999, 1)]
+    ranks = counting.meta_ranks(counting.meta_proteins(pairs), scores)
+    assert ranks.columns == ["score", "proteins", "rank"] and sorted((r.proteins[0], len(r.proteins), r.score, r["rank"]) for r in ranks.collect()) == [(0, 2, 1, 2), (2, 39_998, 39_999, 1)]
