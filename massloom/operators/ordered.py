@@ -8,10 +8,12 @@ input is written first, since its quantiles, its totals and its rows are each re
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from massloom.session import written
 
@@ -30,8 +32,14 @@ def with_range(df: DataFrame, key: str, rows: int | None = None, ranges: int = R
         cuts = []
     if not cuts:
         return df.withColumn("__range", F.when(F.col(key).isNotNull(), F.lit(0)))
-    literal = F.array(*map(F.lit, cuts))
-    return df.withColumn("__range", F.when(F.col(key).isNotNull(), F.size(F.filter(literal, lambda c: c < F.col(key)))))
+    # two short searches: whole blocks of cuts below the key, then cuts within the next block
+    size = math.isqrt(len(cuts)) + 1
+    blocks = [cuts[k : k + size] for k in range(0, len(cuts) + 1, size)]
+    below = lambda known: F.size(F.filter(known, lambda c: c < F.col(key)))
+    listed = lambda some: F.array(*map(F.lit, some)).cast(T.ArrayType(df.schema[key].dataType))
+    full = below(listed([b[-1] for b in blocks if len(b) == size]))
+    within = below(F.element_at(F.array(*map(listed, blocks)), F.col("__range") + 1))
+    return df.withColumn("__range", F.when(F.col(key).isNotNull(), full)).withColumn("__range", F.col("__range") * size + within)
 
 
 def running_before(df: DataFrame, key: str, sums: Iterable[str], descending: bool, keep_range: bool = False) -> DataFrame:
@@ -66,3 +74,13 @@ def running_extreme(df: DataFrame, key: str, value: str, out: str, descending: b
     within = Window.partitionBy("__range").orderBy(worst_first if from_worst else best_first).rowsBetween(Window.unboundedPreceding, 0)
     mine = F.min(value).over(within)
     return joined.withColumn(out, F.least(mine, "__rest")).drop("__range", "__rest")
+
+
+def numbered(df: DataFrame, by: list[str], key: str, out: str) -> DataFrame:
+    """Append ``out``, the place of each row of a group by ``key``, from 0 on; rows with a null group or key go. No group is sorted in one task."""
+    ranged = with_range(written(df, "ordered"), key)
+    counts = ranged.groupBy(*by, "__range").agg(F.count("*").alias("__n"))
+    ahead = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range of a group
+    offsets = counts.select(*by, "__range", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__o"))
+    place = F.row_number().over(Window.partitionBy(*by, "__range").orderBy(key)) - 1 + F.col("__o")
+    return ranged.join(offsets, [*by, "__range"]).withColumn(out, place).drop("__range", "__o")
