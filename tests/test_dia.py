@@ -26,6 +26,28 @@ def test_overlap_join_equals_the_nested_loop(spark):
     assert joins.overlap_join(a.limit(0), b, "a", "b", "c", "d").count() == 0
 
 
+@pytest.mark.parametrize("exact", [False, True])
+def test_feature_matches_equal_the_loop(spark, exact):
+    rng = np.random.default_rng(4)
+    asked = [(i, float(400 + rng.integers(0, 400) / 50), float(rng.integers(0, 40) / 4)) for i in range(120)] + [(900, None, 1.0), (901, 401.0, None)]
+    known = [(j, int(j % 4 + 1), float(400 + b / 50), float(400 + m / 50), float(f), float(f + w)) for j, (b, m, f, w) in enumerate(zip(rng.integers(0, 400, 60), rng.integers(0, 400, 60), rng.integers(0, 10, 60), rng.integers(-2, 6, 60)))]
+    known += [(900, 1, None, 401.0, 0.0, 9.0), (901, 1, 401.0, None, 0.0, 9.0)]
+    s, f = spark.createDataFrame(asked, "spec_id long, precursor_mz double, rt_time double"), spark.createDataFrame(known, "feature_id long, charge int, base_mz double, mono_mz double, first_rt double, last_rt double")
+    found = joins.match_features(s, f, 100.0, 0.5, exact)
+    want = set()
+    for i, x, t in asked:
+        for j, z, base, mono, first, last in known:
+            if x is not None and t is not None and first - 0.5 <= t <= last + 0.5:
+                near = base is not None and base * (1 - 1e-4) <= x <= base * (1 + 1e-4)
+                if near or (not exact and mono is not None and mono - 0.05 <= x <= mono + {1: 3.10, 2: 2.10}.get(z, 4.0 / z)):
+                    want.add((i, j))
+    got = [(r.spec_id, r.feature_id) for r in found.collect()]
+    assert sorted(got) == sorted(want) and found.columns == [*s.columns, *f.columns]
+    # time is part of the key, and pairs go through no aggregate afterwards
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert any("Join" in line and "__late" in line for line in plan) and not any("Aggregate" in line for line in plan[: next(k for k, line in enumerate(plan) if "Join" in line)])
+
+
 def ions(seq):
     m = np.array([RESIDUE_MASS[c] for c in seq])
     b = np.cumsum(m)[:-1]
