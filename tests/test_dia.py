@@ -26,6 +26,23 @@ def test_overlap_join_equals_the_nested_loop(spark):
     assert joins.overlap_join(a.limit(0), b, "a", "b", "c", "d").count() == 0
 
 
+def test_nearest_join_equals_the_loop_and_makes_no_pairs(spark):
+    rng = np.random.default_rng(3)
+    left = [(i, "ab"[i % 2], float(rng.integers(-40, 40)) / 4) for i in range(80)] + [(900, "a", None), (901, "c", 1.0), (902, "a", 500.0)]
+    right = [("ab"[j % 2], float(rng.integers(-48, 48)) / 4, int(rng.integers(0, 9)) * 100 + j % 100) for j in range(150)] + [("a", None, 1)]
+    l, r = spark.createDataFrame(left, "i long, g string, x double"), spark.createDataFrame(right, "g string, y double, t long")
+    found = joins.nearest_join(l, r, "i", "x", "y", 1.0, ["g"], ["t"])
+    want = {}
+    for i, g, x in left:
+        near = [(abs(x - y), t, y) for h, y, t in right if h == g and x is not None and y is not None and abs(x - y) <= 1.0]
+        want[i] = min(near)[1:] if near else (None, None)
+    assert {q.i: (q.t, q.y) for q in found.collect()} == want
+    # 400 left and 400 right rows at one place: the old join made a row for each of the 160,000 pairs
+    many = joins.nearest_join(spark.range(400).select("id", F.lit(0.0).alias("x")), spark.range(400).select(F.lit(0.5).alias("y"), F.col("id").alias("t")), "id", "x", "y", 1.0, (), ["t"])
+    assert {q.t for q in many.collect()} == {0} and many.count() == 400
+    assert not any("__bin" in line for line in many._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line)
+
+
 @pytest.mark.parametrize("exact", [False, True])
 def test_feature_matches_equal_the_loop(spark, exact):
     rng = np.random.default_rng(4)
