@@ -38,14 +38,14 @@ def write_by_kind(rows: DataFrame, path: str, is_decoy: str = "is_decoy", overwr
     rows.withColumn("kind", kind).write.mode(_mode(overwrite)).option("sep", "\t").option("header", True).partitionBy("kind").csv(path)
 
 
-def _write_lines(spark: SparkSession, head: list[str], body: DataFrame, tail: list[str], path: str, overwrite: bool) -> None:
-    """``body`` (one text column) between fixed lines; parts are named in order."""
+def _write_lines(spark: SparkSession, head: list[str], body: DataFrame, tail: list[str], path: str, overwrite: bool, compression: str = "none") -> None:
+    """``body`` (one text column) between fixed lines; parts are named in order. ``compression`` is one of the text writer's, such as gzip."""
     parts = body.toDF("value")
     if head:
         parts = spark.createDataFrame([("\n".join(head),)], "value string").coalesce(1).union(parts)
     if tail:
         parts = parts.union(spark.createDataFrame([("\n".join(tail),)], "value string").coalesce(1))
-    parts.write.mode(_mode(overwrite)).text(path)
+    parts.write.mode(_mode(overwrite)).option("compression", compression).text(path)
 
 
 def _col(rows: DataFrame, name: str, default: str = "") -> Column:
@@ -53,9 +53,15 @@ def _col(rows: DataFrame, name: str, default: str = "") -> Column:
 
 
 def _matches(psms: DataFrame, fields: list[Column]) -> DataFrame:
-    """A row per spectrum with its matches in rank order; a spectrum's matches are few (top-match). Files with the same scans stay apart."""
+    """A row per spectrum with its matches in rank order, spectra in order; a spectrum's matches are few (top-match). Files with the same scans stay apart.
+
+    The plain columns are dealt by ranges of spectra once. What is made of them, the texts above all, is shuffled no more.
+    """
     by = [c for c in ("file", "scan", "charge") if c in psms.columns]
-    return psms.groupBy(*by).agg(F.max("spectrum neutral mass").alias("mass"), F.sort_array(F.collect_list(F.struct(F.col("xcorr rank").alias("rank"), *fields))).alias("m")).orderBy(*by)
+    # one key: of several, a constant one (a fixed charge) would be folded away on one side and cost a second shuffle
+    dealt = psms.withColumn("__key", F.struct(*by)).repartitionByRange("__key")
+    rows = dealt.groupBy("__key").agg(F.max("spectrum neutral mass").alias("mass"), F.sort_array(F.collect_list(F.struct(F.col("xcorr rank").alias("rank"), *fields))).alias("m"))
+    return rows.sortWithinPartitions("__key").select("__key.*", "mass", "m")
 
 
 def write_sqt(psms: DataFrame, path: str, database: str = "", overwrite: bool = False) -> None:
@@ -83,7 +89,7 @@ def _attributes(**values: Column) -> Column:
     return F.concat(*(F.concat(F.lit(f' {k}="'), _xml(F.coalesce(v.cast("string"), F.lit(""))), F.lit('"')) for k, v in values.items()))
 
 
-def write_pepxml(psms: DataFrame, path: str, overwrite: bool = False) -> None:
+def write_pepxml(psms: DataFrame, path: str, overwrite: bool = False, compression: str = "none") -> None:
     """pepXML: a spectrum_query per spectrum with its search hits."""
     proteins = F.split("protein id", ",")
     flank = F.coalesce(F.col("flanking aa"), F.lit("--")) if "flanking aa" in psms.columns else F.lit("--")
@@ -100,10 +106,10 @@ def write_pepxml(psms: DataFrame, path: str, overwrite: bool = False) -> None:
         F.lit("<spectrum_query"), _attributes(spectrum=F.concat_ws(".", F.col("scan").cast("string"), F.col("scan").cast("string"), F.col("charge").cast("string")), start_scan=F.col("scan"), end_scan=F.col("scan"), precursor_neutral_mass=F.col("mass"), assumed_charge=F.col("charge")),
         F.lit("><search_result>"), F.array_join(F.transform("m", lambda x: x["text"]), ""), F.lit("</search_result></spectrum_query>"),
     )
-    _write_lines(psms.sparkSession, ['<?xml version="1.0" encoding="UTF-8"?>', '<msms_pipeline_analysis xmlns="http://regis-web.systemsbiology.net/pepXML">', "<msms_run_summary>"], rows.select(query), ["</msms_run_summary>", "</msms_pipeline_analysis>"], path, overwrite)
+    _write_lines(psms.sparkSession, ['<?xml version="1.0" encoding="UTF-8"?>', '<msms_pipeline_analysis xmlns="http://regis-web.systemsbiology.net/pepXML">', "<msms_run_summary>"], rows.select(query), ["</msms_run_summary>", "</msms_pipeline_analysis>"], path, overwrite, compression)
 
 
-def write_mzid(psms: DataFrame, path: str, overwrite: bool = False) -> None:
+def write_mzid(psms: DataFrame, path: str, overwrite: bool = False, compression: str = "none") -> None:
     """mzIdentML: proteins, peptides, evidences and results; each list is distributed, ids are the things themselves."""
     spark = psms.sparkSession
     pairs = psms.select("sequence", F.explode(F.split("protein id", ",")).alias("protein"), F.col("is_decoy") if "is_decoy" in psms.columns else F.lit(False).alias("is_decoy"))
@@ -124,7 +130,7 @@ def write_mzid(psms: DataFrame, path: str, overwrite: bool = False) -> None:
         return spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1)
 
     body = proteins.union(peptides).union(evidence).union(fixed("</SequenceCollection>", '<DataCollection><AnalysisData><SpectrumIdentificationList id="L">')).union(rows.select(result))
-    _write_lines(spark, ['<?xml version="1.0" encoding="UTF-8"?>', '<MzIdentML version="1.1.0" xmlns="http://psidev.info/psi/pi/mzIdentML/1.1">', "<SequenceCollection>"], body, ["</SpectrumIdentificationList></AnalysisData></DataCollection>", "</MzIdentML>"], path, overwrite)
+    _write_lines(spark, ['<?xml version="1.0" encoding="UTF-8"?>', '<MzIdentML version="1.1.0" xmlns="http://psidev.info/psi/pi/mzIdentML/1.1">', "<SequenceCollection>"], body, ["</SpectrumIdentificationList></AnalysisData></DataCollection>", "</MzIdentML>"], path, overwrite, compression)
 
 
 #: Score columns of mzTab with their terms.
