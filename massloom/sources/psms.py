@@ -116,12 +116,26 @@ def read_sqt(spark: SparkSession, path: str, top_match: int = 0) -> DataFrame:
     return out.where(F.col("xcorr rank") <= top_match) if top_match else out
 
 
-def _elements(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
+def _in_lines(spark: SparkSession, path: str, tags: tuple[str, ...]) -> bool:
+    """Whether no element of ``tags`` goes over the end of a line."""
+    cut = F.lit(False)
+    for tag in tags:
+        last = F.substring_index("value", f"<{tag} ", -1)
+        cut |= F.contains("value", F.lit(f"<{tag} ")) & ~(F.contains(last, F.lit(f"</{tag}>")) | last.rlike(r"^(?:[^>\"]|\"[^\"]*\")*/>")) | F.endswith("value", F.lit(f"<{tag}"))
+    return spark.read.text(path).where(cut).isEmpty()
+
+
+def _elements(spark: SparkSession, path: str, tag: str, schema: str, lines: bool = False) -> DataFrame:
     """(file, attributes and children) of every element ``tag``, which has attributes and holds no other of its kind.
 
-    Text is split at the tag, so a large document is read in parallel and the parts of a distributed write need no root of their own.
+    Text is split at the tag, so a large document is read in parallel and the parts of a distributed write need no root of their own. A long stretch without the tag makes one
+    long record then; with ``lines``, for documents whose elements end in the line they begin in, no record is longer than a line.
     """
-    rows = spark.read.option("lineSep", f"<{tag} ").text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    if lines:
+        rows = spark.read.text(path).where(F.contains("value", F.lit(f"<{tag} "))).select(F.col("_metadata.file_path").alias("file"), F.split("value", f"<{tag} ").alias("v"))
+        rows = rows.select("file", F.explode(F.slice("v", 2, F.size("v") - 1)).alias("value"))
+    else:
+        rows = spark.read.option("lineSep", f"<{tag} ").text(path).select(F.col("_metadata.file_path").alias("file"), "value")
     alone = F.regexp_extract("value", r"^(?:[^>\"]|\"[^\"]*\")*/>", 0)
     whole = F.when(alone != "", alone).otherwise(F.concat(F.substring_index("value", f"</{tag}>", 1), F.lit(f"</{tag}>")))
     found = rows.where(F.contains("value", F.lit(f"</{tag}>")) | (alone != "")).select("file", F.from_xml(F.concat(F.lit(f"<{tag} "), whole), schema).alias("e"))
@@ -157,8 +171,10 @@ def read_mzid(spark: SparkSession, path: str, top_match: int = 0) -> DataFrame:
     cv = "array<struct<_accession:string,_name:string,_value:string>>"
     item = f"struct<_peptide_ref:string,_chargeState:int,_experimentalMassToCharge:double,_calculatedMassToCharge:double,_rank:int,PeptideEvidenceRef:array<struct<_peptideEvidence_ref:string>>,cvParam:{cv}>"
 
+    lines = _in_lines(spark, path, ("SpectrumIdentificationResult", "Peptide", "PeptideEvidence", "DBSequence"))
+
     def tag(name: str, schema: str) -> DataFrame:
-        return _elements(spark, path, name, schema).withColumn("file", F.regexp_replace("file", r"/part-[^/]*$", ""))
+        return _elements(spark, path, name, schema, lines).withColumn("file", F.regexp_replace("file", r"/part-[^/]*$", ""))
 
     results = tag("SpectrumIdentificationResult", f"_spectrumID string, SpectrumIdentificationItem array<{item}>")
     peptides = tag("Peptide", "_id string, PeptideSequence string, Modification array<struct<_location:int,_monoisotopicMassDelta:double>>")

@@ -155,3 +155,26 @@ def test_ms2_keeps_scans_of_seven_digits(spark, tmp_path):
     made = [(s, 500.0, [(2, 999.0)], None, [100.0, 200.5], [1.0, 2.0]) for s in (7, 999_999, 1_000_000, 1_000_001, 21_474_836)]
     sinks.write_ms2(spark.createDataFrame(made, f"scan int, precursor_mz double, zstates {z}, rt double, mz array<double>, intensity array<double>"), str(tmp_path / "wide.ms2"))
     assert sorted(r.scan for r in spectra.read_ms2(spark, str(tmp_path / "wide.ms2")).collect()) == [r[0] for r in made]
+
+
+@pytest.mark.parametrize("compression", ["none", "gzip"])
+def test_match_files_without_long_records(spark, tmp_path, compression):
+    """Parts without a tag are no single record, texts are dealt once, and parts may be compressed."""
+    rows = spark.range(3000).select(F.col("id").cast("int").alias("scan"), F.lit(2).alias("charge"), F.lit(900.5).alias("spectrum neutral mass"), F.lit(899.0).alias("peptide mass"), F.lit(1.5).alias("xcorr score"), F.lit(1).alias("xcorr rank"), F.concat(F.lit("PEPTIDE"), F.translate(F.col("id").cast("string"), "0123456789", "ACDEFGHIKL")).alias("sequence"), F.lit("A,B").alias("protein id"), F.lit("KR").alias("flanking aa"))
+    sinks.write_mzid(rows, str(tmp_path / "a.mzid"), compression=compression)
+    assert psms._in_lines(spark, str(tmp_path / "a.mzid"), ("SpectrumIdentificationResult", "Peptide", "PeptideEvidence", "DBSequence"))
+    found = psms._elements(spark, str(tmp_path / "a.mzid"), "Peptide", "_id string, PeptideSequence string", lines=True)
+    assert found.count() == 3000
+    back = psms.read_mzid(spark, str(tmp_path / "a.mzid"))
+    assert sorted((r.scan, r["protein id"]) for r in back.select("scan", "protein id").collect()) == [(k, "A,B") for k in range(3000)]
+    sinks.write_pepxml(rows, str(tmp_path / "a.pepxml"), compression=compression)
+    assert psms.read_pepxml(spark, str(tmp_path / "a.pepxml")).select("scan", "sequence").distinct().count() == 3000
+    plan = sinks._matches(rows, [F.col("sequence").alias("text")])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
+
+
+def test_elements_over_lines_are_read_by_tag(spark, tmp_path):
+    text = '<DBSequence id="DB_A" accession="A"/><DBSequence id="DB_B"\n accession="B"/>\n'
+    path = put(tmp_path, "over.mzid", text)
+    assert not psms._in_lines(spark, path, ("DBSequence",))
+    assert sorted(r._accession for r in psms._elements(spark, path, "DBSequence", "_id string, _accession string").collect()) == ["A", "B"]
