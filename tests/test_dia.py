@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -65,6 +66,14 @@ def test_feature_matches_equal_the_loop(spark, exact):
     assert any("Join" in line and "__late" in line for line in plan) and not any("Aggregate" in line for line in plan[: next(k for k, line in enumerate(plan) if "Join" in line)])
 
 
+def test_overlap_join_visits_few_levels(spark):
+    """Widths from 0.01 to 1.28 were eight levels, each another copy of every interval."""
+    rows = spark.range(400).select(F.col("id").alias("i"), (F.col("id") % 20 / 10).alias("a"), (F.col("id") % 20 / 10 + 0.01 * F.pow(F.lit(2.0), F.col("id") % 8)).alias("b"))
+    plan = joins.overlap_join(rows, rows.toDF("j", "c", "d"), "a", "b", "c", "d", base=0.01)._jdf.queryExecution().optimizedPlan().toString()
+    levels = [len(x.split(",")) for x in re.findall(r"filter\(\[([0-9, ]+)\]", plan)]
+    assert levels and max(levels) <= 4
+
+
 def ions(seq):
     m = np.array([RESIDUE_MASS[c] for c in seq])
     b = np.cumsum(m)[:-1]
