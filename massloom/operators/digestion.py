@@ -213,8 +213,8 @@ def expand_mods(peptides: DataFrame, mods: list[Modification], max_mods: int = 2
     return peptides.mapInPandas(lambda b: (p[order] for p in run(b)), fields)
 
 
-def build_index(proteins: DataFrame, mods_spec: str = "C+57.02146", decoy: str = "shuffle", keep: str = "NC", decoy_prefix: str = "decoy_", min_mass: float = 200.0, max_mass: float = 7200.0, max_mods: int = 255, seed: int = 1, **digestion) -> DataFrame:
-    """(sequence, mod_sequence, mass, mass_key, mods, locations, is_decoy, target_sequence): targets and decoys ready to search."""
+def build_index(proteins: DataFrame, mods_spec: str = "C+57.02146", decoy: str = "shuffle", keep: str = "NC", decoy_prefix: str = "decoy_", min_mass: float = 200.0, max_mass: float = 7200.0, max_mods: int = 255, seed: int = 1, locations: bool = True, **digestion) -> DataFrame:
+    """(sequence, mod_sequence, mass, mass_key, mods, locations, is_decoy, target_sequence): targets and decoys ready to search; ``locations`` may be left out."""
     mods = parse_mods(mods_spec)
     static = static_masses(mods)
     base = peptide_locations(digest(proteins, **digestion), min_mass, max_mass, static)
@@ -224,6 +224,8 @@ def build_index(proteins: DataFrame, mods_spec: str = "C+57.02146", decoy: str =
         pairs = make_decoys(base, "reverse" if decoy == "peptide-reverse" else "shuffle", keep, seed)
         decoys = base.join(pairs, "sequence").select(F.col("decoy").alias("sequence"), "locations", "mass", F.lit(True).alias("is_decoy"), F.col("sequence").alias("target_sequence"))
         rows = targets.unionByName(decoys)
+    if not locations:
+        rows = rows.drop("locations")
     return expand_mods(rows, mods, max_mods).withColumn("mass_key", mass_key(F.col("mass")))
 
 

@@ -256,6 +256,10 @@ def search_blocks(
     def run(spectra: pa.Table, peptides: pa.Table) -> pa.Table:
         p = Peptides(peptides, static, width, offset)
         picked, who, values = [], [], {c: [] for c in numbers}
+        # spectra without candidates give no rows, so they are left out before any becomes Python objects
+        asked, many = pc.list_flatten(spectra["windows"]).combine_chunks(), pc.list_value_length(spectra["windows"]).to_numpy()
+        met = np.searchsorted(p.mass, asked.field("hi").to_numpy(), side="right") > np.searchsorted(p.mass, asked.field("lo").to_numpy(), side="left")
+        spectra = spectra.filter(pa.array(np.bincount(np.repeat(np.arange(len(many)), many), weights=met, minlength=len(many)) > 0))
         for k, one in enumerate(spectra.to_pylist()):
             spans = [(np.searchsorted(p.mass, w["lo"], side="left"), np.searchsorted(p.mass, w["hi"], side="right")) for w in one["windows"]]
             at = np.unique(np.concatenate([np.arange(a, b) for a, b in spans]))

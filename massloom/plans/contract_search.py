@@ -92,6 +92,7 @@ based AS (SELECT *, max(x) FILTER (WHERE k = least(greatest(CAST(floor(0.01 * n
 best AS (SELECT *, row_number() OVER (PARTITION BY scan ORDER BY x DESC, sequence) AS rank FROM based WHERE active)
 SELECT scan, sequence, CAST(rank AS INTEGER) AS rank, round(x + 3e-9, 4) AS xcorr, CAST(hits AS INTEGER) AS hits, round((x + 5) / (q + 5), 6) AS tailor FROM best WHERE rank <= 5""")
 def search_xcorr(spark, sf_dir):
-    index = digestion.build_index(_proteins(spark, sf_dir), mods_spec="", decoy="none", min_length=2, max_length=50)
+    # a peptide's places in its proteins are no part of the result, and every block of the search would hold them
+    index = digestion.build_index(_proteins(spark, sf_dir), mods_spec="", decoy="none", locations=False, min_length=2, max_length=50)
     found = search.search(_order_spectra(spark, sf_dir), index, kind="mass", window=3.0)
     return found.select("scan", "sequence", F.col("`xcorr rank`").alias("rank"), F.round(F.col("`xcorr score`") + 3e-9, 4).alias("xcorr"), F.col("`b/y ions matched`").alias("hits"), F.round("`tailor score`", 6).alias("tailor"))

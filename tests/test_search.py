@@ -215,3 +215,12 @@ def test_peaks_of_many_spectra_equal_the_bins_of_each():
         want = search.preprocess(mz, intensity, precursor, charge, stop_after="ten-bin")
         mine = got[0] == k
         assert got[1][mine].tolist() == np.flatnonzero(want).tolist() and got[2][mine].tolist() == want[np.flatnonzero(want)].tolist()
+
+
+def test_search_query_carries_no_places_of_peptides(spark):
+    from massloom.plans import contract_search  # noqa: F401
+    from massloom.plans.contract import QUERIES
+
+    # places of a peptide in all its proteins went to every block and into every match
+    plan = QUERIES["search_xcorr"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "locations" not in plan and "collect_set" not in plan
